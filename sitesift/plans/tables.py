@@ -46,3 +46,25 @@ def benchmark_queries(spark: SparkSession, sf_dir: str, limit: int = 10, offset:
                     F.lit("or").alias("mode"), F.array(F.lit("data")).alias("fields"),
                     F.lit(offset).alias("offset"), F.lit(limit).alias("limit"))
     return and_q.unionByName(or_q)
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with a fetch outcome derived from each page itself.
+
+    status 200 for a non-empty body (else 404); content type from the page's
+    ``<meta charset>``; etag = md5 of the body (exact copies share it); a
+    tracking URL (``utm_source=`` in its query) redirects to the same URL
+    without query and fragment.
+    """
+    from ..functions.html import attribute_of_first
+    p = read(spark, sf_dir, "pages")
+    charset = attribute_of_first("html", "meta", "charset")
+    return p.select(
+        "page_id", "url", "html",
+        F.when(F.length("html") > 0, F.lit(200)).otherwise(F.lit(404)).alias("status"),
+        F.when(charset.isNotNull(), F.concat(F.lit("text/html; charset="), F.lower(charset)))
+        .otherwise(F.lit("text/html")).alias("content_type"),
+        F.md5("html").alias("etag"),
+        F.when(F.col("url").rlike(r"\?[^#]*utm_source="), F.regexp_replace("url", r"[?#].*$", ""))
+        .alias("redirect_to"),
+    )
