@@ -5,7 +5,7 @@ The crawl is a level-synchronous BFS over a precomputed edge table:
     edges   = chain(link_edges(pages))        # B, C3-C5 applied once
     level 0 = dedup(chain(seeds))
     repeat d: fetched = level_d ⋈ captures    # A2, A3
-              kept    = etag_dedup(fetched)   # D2, order (depth, url)
+              kept    = etag verdict(fetched) # D2, first by url, seen ETags
               cand    = kept ⋈ edges(src) ∪ redirects, depth d+1
               level   = first_per_url(cand) ▷ visited  -> written as depth=d+1
     until level empty or d+1 > max_depth
@@ -21,13 +21,13 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import content_route, extract_links
 from ..session import scratch_path
 from ..sources.pages import capture_index, fetch, seed_frontier
-from .dedup import anti_join_seen, etag_dedup, first_per_key
+from .dedup import anti_join_seen, first_per_key
 from .filters import CrawlConfig, http_chain
 
 FRONTIER_COLS = ["url", "referrer", "depth", "pos"]
@@ -75,20 +75,36 @@ class CrawlResult:
         return self._read(spark, "frontier")
 
     def fetched(self, spark) -> DataFrame:
-        """Crawl log: admitted URLs with capture and route."""
+        """Crawl log: admitted URLs with capture, route and ``keep`` flag."""
         return self._read(spark, "fetched")
 
     def kept(self, spark) -> DataFrame:
         """Successfully fetched documents that passed the ETag filter."""
-        return self._read(spark, "kept")
+        return self.fetched(spark).where(F.col("keep")).drop("keep")
 
 
 def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def _count(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(path).count()
+def _write_counted(df: DataFrame, path: str) -> int:
+    """Write and return the row count, observed during the write itself."""
+    obs = Observation()
+    _write(df.observe(obs, F.count(F.lit(1)).alias("n")), path)
+    return int(obs.get["n"])
+
+
+def mark_kept(fetched: DataFrame, seen_etags: DataFrame | None) -> DataFrame:
+    """D2 inside the loop, as a flag: a success is kept when its ETag is empty
+    or new (not in ``seen_etags``) and it is the first of its ETag in this
+    level by URL."""
+    ok = F.col("route") == "success"
+    tagged = fetched.where(ok & F.col("etag").isNotNull() & (F.col("etag") != "")).select("url", "etag")
+    first = first_per_key(anti_join_seen(tagged, seen_etags, "etag"), "etag", ["url"])
+    return (fetched.join(first.select("url", F.lit(True).alias("__first")), "url", "left")
+            .withColumn("keep", ok & (F.col("etag").isNull() | (F.col("etag") == "")
+                                      | F.coalesce("__first", F.lit(False))))
+            .drop("__first"))
 
 
 def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig,
@@ -98,15 +114,15 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
     ``captures``: ``(page_id, url, html, status, content_type, etag,
     redirect_to)``. ``edges`` may be given precomputed (``src_url, dst_url,
     pos`` over normalised URLs); else they are extracted from the captures.
+    Two Spark jobs per level: the fetch log (with the ETag verdict) and the
+    next frontier; its size is observed while it is written.
     """
     root = root or scratch_path(spark, "crawl")
     cap_path, edge_path = os.path.join(root, "captures"), os.path.join(root, "edges")
     _write(capture_index(captures, cfg), cap_path)
     if edges is None:
         edges = html_edges(captures, cfg)
-    # persisted once, partitioned by source so each level's join reads it
-    # with the source key already clustered
-    _write(edges.repartition("src_url"), edge_path)
+    _write(edges, edge_path)
     cap = spark.read.parquet(cap_path)
     edg = spark.read.parquet(edge_path)
     if not use_etags:
@@ -115,34 +131,33 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
     def lvl(name, d):
         return os.path.join(root, name, f"depth={d}")
 
-    _write(seed_frontier(spark, start_urls, cfg).select(*FRONTIER_COLS).drop("depth"), lvl("frontier", 0))
-    d = 0
-    n = _count(spark, lvl("frontier", 0))
+    n = _write_counted(seed_frontier(spark, start_urls, cfg).select(*FRONTIER_COLS).drop("depth"),
+                       lvl("frontier", 0))
+    d, levels = 0, 0
     while n > 0:
+        levels = d + 1
         level = spark.read.parquet(lvl("frontier", d)).withColumn("depth", F.lit(d))
-        _write(fetch(level, cap).drop("depth"), lvl("fetched", d))
-        fetched = spark.read.parquet(lvl("fetched", d)).withColumn("depth", F.lit(d))
-        success = fetched.where(F.col("route") == "success")
-        seen = spark.read.parquet(os.path.join(root, "kept")).select("etag") if d > 0 else None
-        kept = etag_dedup(success.select("url", "depth", "page_id", "etag", "extractor"), seen,
-                          cand_rows=n)
-        _write(kept.drop("depth"), lvl("kept", d))
+        seen = None
+        if d > 0:
+            seen = (spark.read.parquet(os.path.join(root, "fetched")).where(F.col("keep"))
+                    .select("etag").where(F.col("etag").isNotNull() & (F.col("etag") != "")))
+        _write(mark_kept(fetch(level, cap), seen).drop("depth"), lvl("fetched", d))
         if cfg.max_depth is not None and d + 1 > cfg.max_depth:
             break
-        kept = spark.read.parquet(lvl("kept", d))
-        # links are followed from html documents only; other types have none
-        children = (kept.where(F.col("extractor") == "html").select(F.col("url").alias("src_url"))
-                    .join(edg, "src_url")
+        fetched = spark.read.parquet(lvl("fetched", d))
+        # links are followed from kept html documents only; other types have none
+        children = (fetched.where(F.col("keep") & (F.col("extractor") == "html"))
+                    .select(F.col("url").alias("src_url")).join(edg, "src_url")
                     .select(F.col("dst_url").alias("url"), F.col("src_url").alias("referrer"), "pos"))
         redirects = (fetched.where((F.col("route") == "redirect") & (F.col("redirect_url") != ""))
                      .select(F.col("redirect_url").alias("url"), F.col("url").alias("referrer"),
                              F.lit(-1).alias("pos")))
-        cand_path = os.path.join(root, "candidates", f"depth={d + 1}")
-        _write(first_per_key(children.unionByName(redirects), "url", ["referrer", "pos"]), cand_path)
-        cand = spark.read.parquet(cand_path)
+        cand = first_per_key(children.unionByName(redirects), "url", ["referrer", "pos"])
         visited = spark.read.parquet(os.path.join(root, "frontier")).select("url")
-        new = anti_join_seen(cand, visited, "url", _count(spark, cand_path))
-        _write(new.select("url", "referrer", "pos"), lvl("frontier", d + 1))
+        # semi then anti join: AQE broadcasts the candidates when they are
+        # small at runtime, so the growing visited set is scanned, not shuffled
+        hits = visited.join(cand.select("url"), "url", "left_semi")
+        new = cand.join(hits, "url", "left_anti")
         d += 1
-        n = _count(spark, lvl("frontier", d))
-    return CrawlResult(root, d + 1)
+        n = _write_counted(new.select("url", "referrer", "pos"), lvl("frontier", d))
+    return CrawlResult(root, levels)

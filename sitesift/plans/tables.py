@@ -68,3 +68,28 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("url").rlike(r"\?[^#]*utm_source="), F.regexp_replace("url", r"[?#].*$", ""))
         .alias("redirect_to"),
     )
+
+
+# Fixed values of the derived link graph over documents: every document is a
+# page at DOC_SITE/<doc_id> linking to two others by the rule below, where n
+# is the number of documents; the first document of each source is a seed.
+DOC_SITE = "http://docs.test/"
+DOC_LINK_RULE = ((7, 3), (11, 5))   # dst = (a * doc_id + b) mod n
+
+
+def doc_graph(spark: SparkSession, sf_dir: str):
+    """(captures, edges, seeds) of the derived documents graph."""
+    d = read(spark, sf_dir, "documents")
+    n = d.count()
+    url = F.concat(F.lit(DOC_SITE), F.col("doc_id").cast("string"))
+    caps = d.select(F.col("doc_id").alias("page_id"), url.alias("url"), F.col("text").alias("html"),
+                    F.lit(200).alias("status"), F.lit("text/html").alias("content_type"),
+                    F.md5("text").alias("etag"), F.lit(None).cast("string").alias("redirect_to"))
+    links = F.array(*[F.struct(F.lit(i).alias("pos"),
+                               F.concat(F.lit(DOC_SITE), ((F.col("doc_id") * a + b) % F.lit(n)).cast("string"))
+                               .alias("dst_url"))
+                      for i, (a, b) in enumerate(DOC_LINK_RULE)])
+    edges = d.select(url.alias("src_url"), F.inline(links)).select("src_url", "dst_url", "pos")
+    seeds = d.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select(
+        F.concat(F.lit(DOC_SITE), F.col("doc_id").cast("string")).alias("url"))
+    return caps, edges, seeds
