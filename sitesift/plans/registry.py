@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-from . import catalog_index
+from . import catalog_crawl, catalog_html, catalog_index, catalog_sources, catalog_urls
 
-
-def _families():
-    mods = [catalog_index]
-    for name in ("catalog_html", "catalog_urls", "catalog_crawl", "catalog_sources", "catalog_stream"):
-        try:
-            mods.append(__import__(f"{__package__}.{name}", fromlist=[name]))
-        except ImportError:
-            pass
-    return mods
+FAMILIES = (catalog_index, catalog_html, catalog_urls, catalog_crawl, catalog_sources)
 
 
 def queries():
     out = {}
-    for m in _families():
+    for m in FAMILIES:
         out.update(m.QUERIES)
     return out
 
 
 def oracle_sql():
     out = {}
-    for m in _families():
+    for m in FAMILIES:
         out.update(m.oracle())
     return out
