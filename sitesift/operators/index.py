@@ -57,15 +57,27 @@ def term_statistics(post: DataFrame) -> DataFrame:
                                              F.sum("tf").alias("cf"))
 
 
-def field_statistics(docs: DataFrame, fields=INDEX_FIELDS) -> DataFrame:
+def field_statistics(docs: DataFrame, post: DataFrame | None = None, fields=INDEX_FIELDS) -> DataFrame:
     """number of documents and mean length (in tokens) per field.
 
-    A document whose field is NULL does not count for that field.
+    A document whose field is NULL does not count for that field. With
+    materialised postings the total length is their sum of ``tf`` (each
+    token is in exactly one posting), so the text is not tokenized again and
+    the document count needs only NULL tests. Without, the lengths come from
+    one narrow tokenizing pass (no shuffle of postings).
     """
-    toks = field_tokens(docs, fields)
-    return toks.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
-                                     F.sum("dl").alias("total_len"),
-                                     F.avg("dl").alias("avg_dl"))
+    if post is None:
+        toks = field_tokens(docs, fields)
+        return toks.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
+                                         F.sum("dl").alias("total_len"),
+                                         F.avg("dl").alias("avg_dl"))
+    stack = ", ".join(f"'{f}', `{f}` IS NOT NULL" for f in fields)
+    present = (docs.select(F.expr(f"stack({len(fields)}, {stack}) as (field, present)"))
+               .where("present").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs")))
+    lengths = post.groupBy("field").agg(F.sum("tf").alias("total_len"))
+    return (present.join(lengths, "field", "left")
+            .select("field", "n_docs", F.coalesce("total_len", F.lit(0)).cast("bigint").alias("total_len"))
+            .withColumn("avg_dl", F.col("total_len") / F.col("n_docs")))
 
 
 def indexable(df: DataFrame) -> DataFrame:
@@ -92,4 +104,4 @@ class Index:
     def build(cls, docs: DataFrame, fields=INDEX_FIELDS) -> "Index":
         d = stored_documents(docs)
         p = postings(d, fields)
-        return cls(d, p, term_statistics(p), field_statistics(d, fields))
+        return cls(d, p, term_statistics(p), field_statistics(d, None, fields))
