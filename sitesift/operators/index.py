@@ -94,14 +94,17 @@ class Index:
     """The tables of one index, as lazily evaluated DataFrames."""
 
     def __init__(self, docs: DataFrame, postings: DataFrame, term_stats: DataFrame,
-                 field_stats: DataFrame):
+                 field_stats: DataFrame, fields: tuple[str, ...] | None = None):
         self.docs = docs
         self.postings = postings
         self.term_stats = term_stats
         self.field_stats = field_stats
+        # set when the tables are derived from ``docs`` (lets a writer
+        # re-plan the derivation around its own partitioning)
+        self.fields = fields
 
     @classmethod
     def build(cls, docs: DataFrame, fields=INDEX_FIELDS) -> "Index":
         d = stored_documents(docs)
         p = postings(d, fields)
-        return cls(d, p, term_statistics(p), field_statistics(d, None, fields))
+        return cls(d, p, term_statistics(p), field_statistics(d, None, fields), tuple(fields))
