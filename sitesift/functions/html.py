@@ -13,6 +13,8 @@ import html.entities
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour for right results)
 # Content-type patterns of the extractors, tried in this order.
@@ -76,6 +78,10 @@ def _entity_text(body: Column, table: dict[str, str]) -> Column:
 def _decode_with(c: Column, pattern: str, table: dict[str, str]) -> Column:
     """Single-pass decode: text between entities and the decoded entities are
     interleaved again, so ``&amp;lt;`` becomes ``&lt;`` and not ``<``."""
+    return let(c, lambda x: _decode_bound(x, pattern, table))
+
+
+def _decode_bound(c: Column, pattern: str, table: dict[str, str]) -> Column:
     parts = F.split(c, pattern, -1)
     bodies = F.regexp_extract_all(c, F.lit(pattern), 1)
     texts = F.transform(bodies, lambda b: _entity_text(b, table))
@@ -139,8 +145,7 @@ def select_first_inner(html, tag: str, attr: str | None = None, value: str | Non
                        to_end: bool = False) -> Column:
     """Inner HTML of the first matching element, NULL when there is none."""
     p = element_inner_pattern(tag, attr, value, to_end)
-    h = _col(html)
-    return F.when(h.rlike(p), F.regexp_extract(h, p, 1))
+    return let(_col(html), lambda h: F.when(h.rlike(p), F.regexp_extract(h, p, 1)))
 
 
 def extract_title(html, tag: str = "title", attr: str | None = None, value: str | None = None) -> Column:
@@ -177,9 +182,10 @@ def _unquote(v: Column) -> Column:
 def extract_links(html) -> Column:
     """a@href, area@href, frame@src over the whole page, in that order;
     values starting with ``#`` dropped, the rest HTML-unescaped."""
-    h = F.regexp_replace(_col(html), OPAQUE_BLOCKS, "")
-    vals = F.concat(*[_attr_values(h, t, a) for t, a in LINK_TAGS])
-    return F.transform(F.filter(vals, lambda v: ~v.startswith("#")), unescape_link)
+    def from_clean(h):
+        vals = F.concat(*[_attr_values(h, t, a) for t, a in LINK_TAGS])
+        return F.transform(F.filter(vals, lambda v: ~v.startswith("#")), unescape_link)
+    return let(F.regexp_replace(_col(html), OPAQUE_BLOCKS, ""), from_clean)
 
 
 def attribute_of_first(html, tag: str, attr: str, match_attr: str | None = None,
@@ -203,8 +209,8 @@ def attribute_of_first(html, tag: str, attr: str, match_attr: str | None = None,
 
 def title_postprocess(title, pattern: str) -> Column:
     """The regex's group 1 when it matches, else the title; trimmed."""
-    t = _col(title)
-    return strip_edges(F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1)).otherwise(t))
+    return let(_col(title), lambda t: strip_edges(
+        F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1)).otherwise(t)))
 
 
 def content_route(content_type) -> Column:

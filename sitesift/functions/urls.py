@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour for right results)
 # RFC 3986 appendix B split: scheme, authority, path, query (with '?'),
@@ -36,17 +38,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
-
-    Catalyst inlines a named expression at every reference; for the large
-    URL expressions that would repeat every regex many times (and outgrow
-    the 64 KB method limit of generated code). A one-element ``transform``
-    binds the value instead.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def is_valid_uri(url) -> Column:
     u = _col(url)
     sch = F.regexp_extract(u, URI_SPLIT, 1)
