@@ -29,17 +29,24 @@ def anti_join_seen(cand: DataFrame, seen: DataFrame | None, key: str, cand_rows:
     """Rows of ``cand`` whose ``key`` is not in ``seen``.
 
     ``left_anti`` can only broadcast its right side (the growing seen set).
-    When the candidates are known to be few, the seen rows that hit a
-    candidate are found with the candidates broadcast, and only those hits
-    are broadcast back for the anti join.
+    When the candidates are known to be few (``cand_rows``), the seen rows
+    that hit a candidate are found with the candidates broadcast, and only
+    those hits are broadcast back for the anti join; with ``cand_rows``
+    unknown, AQE makes that choice from runtime sizes. Pass
+    ``cand_rows=-1`` for a plain anti join (both sides large).
     """
     if seen is None:
         return cand
     s = seen.select(key)
-    if cand_rows is not None and cand_rows <= SMALL_SIDE_ROWS:
+    if cand_rows is not None and 0 <= cand_rows <= SMALL_SIDE_ROWS:
         keys = cand.select(key).distinct()
         hits = s.join(F.broadcast(keys), key, "left_semi").distinct()
         return cand.join(F.broadcast(hits), key, "left_anti")
+    if cand_rows is None:
+        # size unknown until run time: the same two steps without hints, so
+        # AQE broadcasts the candidates only if they turn out small
+        hits = s.join(cand.select(key), key, "left_semi")
+        return cand.join(hits, key, "left_anti")
     return cand.join(s, key, "left_anti")
 
 

@@ -156,8 +156,7 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
         visited = spark.read.parquet(os.path.join(root, "frontier")).select("url")
         # semi then anti join: AQE broadcasts the candidates when they are
         # small at runtime, so the growing visited set is scanned, not shuffled
-        hits = visited.join(cand.select("url"), "url", "left_semi")
-        new = cand.join(hits, "url", "left_anti")
+        new = anti_join_seen(cand, visited, "url")
         d += 1
         n = _write_counted(new.select("url", "referrer", "pos"), lvl("frontier", d))
     return CrawlResult(root, levels)

@@ -73,7 +73,14 @@ def status_route(status, redirect_url, page_id) -> F.Column:
 
 
 def fetch(frontier: DataFrame, cap_index: DataFrame) -> DataFrame:
-    """A2 + A3: frontier rows with their capture and route."""
-    f = frontier.join(cap_index, "url", "left")
+    """A2 + A3: frontier rows with their capture and route.
+
+    A left join can only broadcast its right side (the big capture table),
+    so the captures hit by this frontier are found first with a semi join
+    (the frontier is broadcast by AQE when small at runtime) and the left
+    join runs against those few rows.
+    """
+    hit = cap_index.join(frontier.select("url"), "url", "left_semi")
+    f = frontier.join(hit, "url", "left")
     return f.withColumn("route", status_route("status", "redirect_url", "page_id")).withColumn(
         "extractor", F.when(F.col("route") == "success", content_route("content_type")))
