@@ -58,6 +58,13 @@ def _crawl_docs(spark, sf, cfg, use_etags):
     return crawl(spark, seeds, caps, cfg, edges=edges, use_etags=use_etags)
 
 
+def q_crawl_index_pages(spark, sf):
+    """The main run: crawl the captured sites, extract and index the kept pages."""
+    from .site_index import crawled_documents
+    caps = captures(spark, sf)
+    return crawled_documents(spark, _crawl_pages(spark, sf), caps)
+
+
 def q_crawl_frontier(spark, sf):
     return _crawl_docs(spark, sf, DOCS_CRAWL, False).frontier(spark).select("url", "referrer", "depth")
 
@@ -78,6 +85,7 @@ QUERIES = {
     "status_route": q_status_route,
     "crawl_pages": q_crawl_pages,
     "redirect_requeue": q_redirect_requeue,
+    "crawl_index_pages": q_crawl_index_pages,
     "crawl_frontier": q_crawl_frontier,
     "depth_filter": q_depth_filter,
     "crawl_etag": q_crawl_etag,
@@ -115,10 +123,10 @@ f0 AS (
               WHEN cap.status = 200 THEN 'success' ELSE 'dropped' END AS route
   FROM lvl0 l LEFT JOIN cap USING (url)),
 kept0 AS (
-  SELECT url, content_type FROM f0 WHERE route = 'success' AND (etag IS NULL OR etag = '')
+  SELECT url, page_id, content_type FROM f0 WHERE route = 'success' AND (etag IS NULL OR etag = '')
   UNION ALL
-  SELECT url, content_type FROM (
-    SELECT url, content_type, row_number() OVER (PARTITION BY etag ORDER BY url) AS rn
+  SELECT url, page_id, content_type FROM (
+    SELECT url, page_id, content_type, row_number() OVER (PARTITION BY etag ORDER BY url) AS rn
     FROM f0 WHERE route = 'success' AND etag <> '') WHERE rn = 1),
 srcpages AS (
   SELECT * FROM (SELECT {norm} AS src_url, page_id, html,
@@ -142,10 +150,18 @@ lvl1 AS (
     SELECT *, row_number() OVER (PARTITION BY url ORDER BY referrer, pos) AS rn FROM cand1)
   WHERE rn = 1 AND url NOT IN (SELECT url FROM lvl0)),
 f1 AS (
-  SELECT l.url, l.referrer, l.pos, 1 AS depth, cap.page_id,
+  SELECT l.url, l.referrer, l.pos, 1 AS depth, cap.page_id, cap.etag, cap.content_type,
          CASE WHEN cap.page_id IS NULL THEN 'fetch_error' WHEN cap.redirect_url IS NOT NULL THEN 'redirect'
               WHEN cap.status = 200 THEN 'success' ELSE 'dropped' END AS route
-  FROM lvl1 l LEFT JOIN cap USING (url))"""
+  FROM lvl1 l LEFT JOIN cap USING (url)),
+kept1 AS (
+  SELECT url, page_id, content_type FROM f1 WHERE route = 'success' AND (etag IS NULL OR etag = '')
+  UNION ALL
+  SELECT url, page_id, content_type FROM (
+    SELECT url, page_id, content_type, row_number() OVER (PARTITION BY etag ORDER BY url) AS rn
+    FROM f1 WHERE route = 'success' AND etag <> ''
+      AND etag NOT IN (SELECT etag FROM f0 k0 WHERE k0.url IN (SELECT url FROM kept0) AND etag IS NOT NULL))
+  WHERE rn = 1)"""
 
 
 def _doc_graph_ctes(max_depth: int | None) -> str:
@@ -186,6 +202,12 @@ def oracle() -> dict[str, str]:
         "crawl_pages": (f"WITH {ctes} SELECT url, depth, referrer, page_id, route FROM f0 "
                         f"UNION ALL SELECT url, depth, referrer, page_id, route FROM f1"),
         "redirect_requeue": f"WITH {ctes} SELECT url, referrer, 1 AS depth FROM lvl1 WHERE pos = -1",
+        "crawl_index_pages": (
+            f"WITH {ctes}, k AS (SELECT url, page_id, content_type FROM kept0 UNION ALL "
+            f"SELECT url, page_id, content_type FROM kept1) "
+            f"SELECT k.page_id AS doc_id, k.url, {SH.extract_title('c.html')} AS title, "
+            f"{SH.extract_content('c.html')} AS data FROM k JOIN captures c USING (page_id) "
+            f"WHERE {SH.content_route('k.content_type')} = 'html'"),
         "crawl_frontier": _doc_graph_sql(None),
         "depth_filter": _doc_graph_sql(DOCS_SHALLOW.max_depth),
     }
