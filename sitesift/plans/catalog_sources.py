@@ -61,6 +61,7 @@ def q_stream_visited_dedup(spark, sf):
     schema = read(spark, sf, "pages").schema
     out, ckpt = S.stream_paths(scratch_path(spark, "stream-dedup"))
     stream = S.file_stream(spark, sf, schema, glob="pages.parquet")
+    S.use_rocksdb_state(spark)
     S.run_available(S.admitted_urls(stream, PAGES_CRAWL), out, ckpt)
     return spark.read.parquet(out).select("url")
 

@@ -41,11 +41,22 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def admitted_urls(stream: DataFrame, cfg: CrawlConfig, url_col: str = "url") -> DataFrame:
-    """H1 plan: seeds chain on each arriving URL, then one row per URL."""
+def admitted_urls(stream: DataFrame, cfg: CrawlConfig, url_col: str = "url",
+                  event_time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """H1 plan: seeds chain on each arriving URL, then one row per URL.
+
+    Without ``event_time`` every URL ever seen stays in the state store (the
+    reference's semantics). With it, state is bounded: a URL is admitted
+    again once it is older than the watermark (``delay``), a documented
+    divergence for unbounded streams.
+    """
+    extra = [F.col(event_time)] if event_time else []
     s = stream.select(F.col(url_col).alias("href"), F.lit(0).alias("depth"),
-                      F.lit(None).cast("string").alias("referrer"))
+                      F.lit(None).cast("string").alias("referrer"), *extra)
     s = http_chain(s, cfg, href="href", referrer="referrer", depth="depth")
+    if event_time:
+        return (s.select("url", "depth", event_time).withWatermark(event_time, delay)
+                .dropDuplicatesWithinWatermark(["url"]))
     return s.select("url", "depth").dropDuplicates(["url"])
 
 
