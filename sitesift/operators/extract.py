@@ -146,8 +146,9 @@ def extract_pages(pages: DataFrame, html_col: str = "html", title: Selector | At
     tmp = []
     # title
     if isinstance(title, AttributeSelector):
+        # the picked string is used as is, then decoded and trimmed like any title
         t = H.attribute_of_first(h, title.tag, title.attr, title.match_attr, title.match_value)
-        t = F.coalesce(t, H.extract_title(h))
+        t = F.coalesce(H.strip_edges(H.decode_entities(t)), H.extract_title(h))
     elif _is_nested(title):
         df = with_nested_selection(df, html_col, title, "__title_inner")
         tmp.append("__title_inner")

@@ -80,3 +80,9 @@ def test_nested_div_selector(spark):
     page = '<body><div id="x">a<div>b</div>c</div><div>z</div></body>'
     r = _one(spark, page, content=Selector("div", "id", "x"))
     assert r.content == "abc"
+
+
+def test_attribute_title_is_decoded_and_trimmed(spark):
+    page = '<html><head><meta name="DC.title" content=" A &amp; B "><title>x</title></head><body></body></html>'
+    sel = AttributeSelector("meta", "content", "name", "DC.title")
+    assert _one(spark, page, title=sel).title == "A & B"

@@ -23,3 +23,18 @@ def test_stream_dedup_equals_batch(spark):
                                     F.lit(None).cast("string").alias("referrer")), cfg)
     want = sorted(r.url for r in batch.select("url").distinct().collect())
     assert got == want and len(got) == len(set(got))
+
+
+def test_stream_dedup_within_watermark(spark):
+    pages = (spark.read.parquet(f"{SF001}/pages.parquet").select("page_id", "url")
+             .withColumn("ts", F.to_timestamp(F.lit("2026-01-01 00:00:00"))))
+    src = scratch_path(spark, "test-stream-wm-src")
+    pages.write.parquet(f"{src}/chunk=0")
+    pages.write.parquet(f"{src}/chunk=1")
+    cfg = CrawlConfig(include_hosts=None)
+    out, ckpt = S.stream_paths(scratch_path(spark, "test-stream-wm"))
+    stream = (spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    S.run_available(S.admitted_urls(stream, cfg, event_time="ts", delay="1 hour"), out, ckpt)
+    got = [r.url for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) > 0
