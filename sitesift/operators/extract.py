@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html as H
+from ..functions.common import let
 
 # Elements that may contain an element of the same name; selecting them by
 # regex would stop at the first inner closing tag.
@@ -155,8 +156,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", title: Selector | At
         t = F.when(F.col("__title_inner").isNotNull(),
                    H.strip_edges(H.decode_entities(H.strip_tags(F.col("__title_inner"))))).otherwise(H.extract_title(h))
     elif title.first:
-        inner = _select_inner(h, title, to_end=False)
-        t = F.when(inner.isNotNull(), H.strip_edges(H.decode_entities(H.strip_tags(inner)))).otherwise(H.extract_title(h))
+        t = let(_select_inner(h, title, to_end=False), lambda inner: F.when(
+            inner.isNotNull(), H.strip_edges(H.decode_entities(H.strip_tags(inner)))).otherwise(H.extract_title(h)))
     else:
         t = H.extract_title(h, title.tag, title.attr, title.value)
     if title_hook is not None:
@@ -168,8 +169,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", title: Selector | At
         c = F.when(F.col("__content_inner").isNotNull(), H.text_of(F.col("__content_inner"))).otherwise(
             H.extract_content(h))
     elif content.first:
-        inner = _select_inner(h, content, to_end=True)
-        c = F.when(inner.isNotNull(), H.text_of(inner)).otherwise(H.extract_content(h))
+        c = let(_select_inner(h, content, to_end=True), lambda inner: F.when(
+            inner.isNotNull(), H.text_of(inner)).otherwise(H.extract_content(h)))
     elif content == DEFAULT_CONTENT:
         c = H.extract_content(h)
     else:

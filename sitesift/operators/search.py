@@ -80,8 +80,9 @@ def _bounds(q: DataFrame):
     r = q.agg(F.coalesce(F.sum(F.size("qterms")), F.lit(0)).alias("n_terms"),
               F.coalesce(F.max(F.col("offset") + F.col("limit")), F.lit(0)).alias("max_rank"),
               F.coalesce(F.sum(F.col("limit")), F.lit(0)).alias("n_results"),
-              F.coalesce(F.max(F.size("qterms")), F.lit(0)).alias("max_q")).first()
-    return int(r["n_terms"]), int(r["max_rank"]), int(r["n_results"]), int(r["max_q"])
+              F.coalesce(F.max(F.size("qterms")), F.lit(0)).alias("max_q"),
+              F.count(F.lit(1)).alias("n_queries")).first()
+    return int(r["n_terms"]), int(r["max_rank"]), int(r["n_results"]), int(r["max_q"]), int(r["n_queries"])
 
 
 def _maybe_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:
@@ -180,19 +181,18 @@ def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOpti
     :func:`search_totals` for their zero hitcount).
     """
     q = normalize_queries(queries)
-    n_terms, max_rank, n_results, max_q = _bounds(q)
+    n_terms, max_rank, n_results, max_q, n_queries = _bounds(q)
     scored = score_matches(index, q, n_terms, max_q).drop("matched")
-    totals = hit_totals(scored, q)
+    totals = _maybe_broadcast(hit_totals(scored, q), n_queries, BROADCAST_MAX_RESULT_ROWS)
     page = top_k(scored, q, max_rank, n_results)
-    page_b = _maybe_broadcast(page.join(F.broadcast(totals) if n_terms <= BROADCAST_MAX_QUERY_TERMS else totals,
-                                        "query_id"),
-                              n_results, BROADCAST_MAX_RESULT_ROWS)
+    page_b = _maybe_broadcast(page.join(totals, "query_id"), n_results, BROADCAST_MAX_RESULT_ROWS)
     stored = index.docs.select("doc_id", "title", "url", "data")
     rows = stored.join(page_b, "doc_id")
     rel = F.when(F.col("max_score") > 0, F.round(F.col("score") / F.col("max_score"), SCORE_DECIMALS))
     cols = ["query_id", "rank", "doc_id", "score", rel.alias("relative_score"), "title", "url"]
     if options.highlight:
-        rows = rows.join(F.broadcast(q.select("query_id", "qterms")), "query_id")
+        rows = rows.join(_maybe_broadcast(q.select("query_id", "qterms"), n_terms, BROADCAST_MAX_QUERY_TERMS),
+                         "query_id")
         rows = with_highlight(rows, "data", "qterms", "extract", options.pre_tag, options.post_tag,
                               options.ellipsis, options.excerpt_length, options.num_excerpts)
         return rows.select(*cols, "extract", "hitcount")
@@ -202,21 +202,21 @@ def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOpti
 def search_totals(index: Index, queries: DataFrame) -> DataFrame:
     """G5/G6 alone: ``(query_id, hitcount, max_score)`` for every query."""
     q = normalize_queries(queries)
-    n_terms, _, _, max_q = _bounds(q)
+    n_terms, _, _, max_q, _ = _bounds(q)
     return hit_totals(score_matches(index, q, n_terms, max_q), q)
 
 
 def matches(index: Index, queries: DataFrame) -> DataFrame:
     """G1-G4 alone: ``(query_id, doc_id, score, matched)`` for every hit."""
     q = normalize_queries(queries)
-    n_terms, _, _, max_q = _bounds(q)
+    n_terms, _, _, max_q, _ = _bounds(q)
     return score_matches(index, q, n_terms, max_q)
 
 
 def relative_scores(index: Index, queries: DataFrame) -> DataFrame:
     """G6 over the whole result: ``(query_id, doc_id, relative_score)``."""
     q = normalize_queries(queries)
-    n_terms, _, _, max_q = _bounds(q)
+    n_terms, _, _, max_q, _ = _bounds(q)
     scored = score_matches(index, q, n_terms, max_q)
     best = scored.groupBy("query_id").agg(F.max("score").alias("max_score"))
     return (scored.join(best, "query_id")

@@ -167,9 +167,10 @@ kept1 AS (
 def _doc_graph_ctes(max_depth: int | None) -> str:
     edges = " UNION ALL ".join(
         f"SELECT '{DOC_SITE}' || CAST(doc_id AS VARCHAR) AS src, "
-        f"'{DOC_SITE}' || CAST(({a} * doc_id + {b}) % cnt.n AS VARCHAR) AS dst, {i} AS pos FROM documents, cnt"
+        f"'{DOC_SITE}' || CAST(({a} * doc_id + {b}) % (SELECT n FROM cnt) AS VARCHAR) AS dst, {i} AS pos "
+        f"FROM documents"
         for i, (a, b) in enumerate(DOC_LINK_RULE))
-    bound = "cnt.n" if max_depth is None else str(max_depth)
+    bound = "(SELECT n FROM cnt)" if max_depth is None else str(max_depth)
     return f"""RECURSIVE cnt AS (SELECT count(*) AS n FROM documents),
 nodes AS (SELECT '{DOC_SITE}' || CAST(doc_id AS VARCHAR) AS url FROM documents),
 edges AS ({edges}),
@@ -177,7 +178,7 @@ seeds AS (SELECT DISTINCT '{DOC_SITE}' || CAST(min(doc_id) AS VARCHAR) AS url FR
 reach(url, depth) AS (
   SELECT url, 0 FROM seeds
   UNION
-  SELECT e.dst, r.depth + 1 FROM reach r JOIN nodes nd ON nd.url = r.url JOIN edges e ON e.src = r.url, cnt
+  SELECT e.dst, r.depth + 1 FROM reach r JOIN nodes nd ON nd.url = r.url JOIN edges e ON e.src = r.url
   WHERE r.depth < {bound}),
 depths AS (SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY url),
 parents AS (

@@ -70,7 +70,7 @@ def q_relative_score(spark, sf) -> DataFrame:
 def q_topk_page(spark, sf) -> DataFrame:
     idx = _index(spark, sf)
     q = se.normalize_queries(benchmark_queries(spark, sf, limit=10, offset=10))
-    n_terms, max_rank, n_results, max_q = se._bounds(q)
+    n_terms, max_rank, n_results, max_q, _ = se._bounds(q)
     scored = se.score_matches(idx, q, n_terms, max_q)
     return se.top_k(scored, q, max_rank, n_results)
 
