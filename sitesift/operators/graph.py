@@ -87,6 +87,25 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _write_bucketed(spark: SparkSession, df: DataFrame, path: str, key: str) -> DataFrame:
+    """Persist a table that every level joins on ``key``, bucketed by it.
+
+    A large level then meets it in a sort-merge join that shuffles only the
+    level; the static table is never re-shuffled. The table lives at
+    ``path`` (under the checkpoint folder) and is registered under a unique
+    name in the session catalog; if the catalog refuses, plain Parquet.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "sitesift_" + os.path.basename(os.path.dirname(path)).replace("-", "_") + "_" + os.path.basename(path)
+    try:
+        (df.write.mode("overwrite").bucketBy(n, key).sortBy(key)
+         .option("path", path).format("parquet").saveAsTable(name))
+        return spark.table(name)
+    except Exception:  # noqa: BLE001 - no writable catalog: unbucketed files
+        _write(df, path)
+        return spark.read.parquet(path)
+
+
 def _write_counted(df: DataFrame, path: str) -> int:
     """Write and return the row count, observed during the write itself."""
     obs = Observation()
@@ -119,12 +138,11 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
     """
     root = root or scratch_path(spark, "crawl")
     cap_path, edge_path = os.path.join(root, "captures"), os.path.join(root, "edges")
-    _write(capture_index(captures, cfg), cap_path)
     if edges is None:
         edges = html_edges(captures, cfg)
-    _write(edges, edge_path)
-    cap = spark.read.parquet(cap_path)
-    edg = spark.read.parquet(edge_path)
+    # the two static sides of every level's joins, bucketed by their join key
+    cap = _write_bucketed(spark, capture_index(captures, cfg), cap_path, "url")
+    edg = _write_bucketed(spark, edges, edge_path, "src_url")
     if not use_etags:
         cap = cap.withColumn("etag", F.lit(None).cast("string"))
 
