@@ -87,23 +87,33 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+# Rows per bucket of the crawl's static join tables; the bucket count is
+# derived from the table's size (capped at spark.sql.shuffle.partitions).
+ROWS_PER_BUCKET = 2_000_000
+
+
 def _write_bucketed(spark: SparkSession, df: DataFrame, path: str, key: str) -> DataFrame:
     """Persist a table that every level joins on ``key``, bucketed by it.
 
     A large level then meets it in a sort-merge join that shuffles only the
-    level; the static table is never re-shuffled. The table lives at
-    ``path`` (under the checkpoint folder) and is registered under a unique
-    name in the session catalog; if the catalog refuses, plain Parquet.
+    level; the static table is never re-shuffled. The table is staged as
+    plain Parquet first (its row count observed during that write), then
+    written with one file per bucket, the bucket count sized from the rows.
+    It lives at ``path`` (under the checkpoint folder) and is registered
+    under a unique name in the session catalog; if the catalog refuses, the
+    staged files are used unbucketed.
     """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stage = path + "_stage"
+    rows = _write_counted(df, stage)
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(cap, -(-rows // ROWS_PER_BUCKET)))
     name = "sitesift_" + os.path.basename(os.path.dirname(path)).replace("-", "_") + "_" + os.path.basename(path)
     try:
-        (df.write.mode("overwrite").bucketBy(n, key).sortBy(key)
+        (spark.read.parquet(stage).repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
          .option("path", path).format("parquet").saveAsTable(name))
         return spark.table(name)
     except Exception:  # noqa: BLE001 - no writable catalog: unbucketed files
-        _write(df, path)
-        return spark.read.parquet(path)
+        return spark.read.parquet(stage)
 
 
 def _write_counted(df: DataFrame, path: str) -> int:

@@ -62,3 +62,21 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the checkpoint root for one job."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+# Compressed input bytes per partition when a job sizes its own shuffle.
+TARGET_INPUT_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 100_000
+
+
+def partitions_for(df, target_bytes: int = TARGET_INPUT_BYTES) -> int:
+    """A partition count for shuffling ``df``: one per ``target_bytes`` of its
+    estimated input (Catalyst's plan statistics, no job), and never fewer
+    than the cluster's default parallelism."""
+    spark = df.sparkSession
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no statistics: fall back to the session setting
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_size = -(-size // target_bytes)
+    return int(max(spark.sparkContext.defaultParallelism, min(by_size, MAX_PARTITIONS)))
