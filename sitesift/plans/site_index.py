@@ -45,3 +45,33 @@ def build_site_index(spark: SparkSession, start_urls, captures: DataFrame, cfg:
     if index_path:
         write_index(index, index_path, create=create)
     return result, index
+
+
+def hashed_doc_ids(docs: DataFrame, url_col: str = "url") -> DataFrame:
+    """``doc_id = xxhash64(url)`` for sources without a key (file trees).
+
+    Never a global ``row_number`` (one task). Collisions are checked with one
+    aggregate: a repeated id for different URLs raises.
+    """
+    d = docs.withColumn("doc_id", F.xxhash64(url_col))
+    clash = (d.groupBy("doc_id").agg(F.countDistinct(url_col).alias("n")).where(F.col("n") > 1)
+             .limit(1).count())
+    if clash:
+        raise ValueError("doc_id hash collision between different URLs")
+    return d
+
+
+def build_file_index(spark: SparkSession, root: str, cfg: CrawlConfig | None = None, index_path: str | None = None,
+                     create: bool = True, rewrite_uri: Callable[[Column], Column] | None = None) -> Index:
+    """A file-tree run: list (A4), type by extension (A5), extract HTML (E1,
+    E11), keep documents with content (C10), rewrite URIs (A7), index (F)."""
+    from ..sources.files import extract_files, file_scan
+    files = extract_files(file_scan(spark, root, cfg))
+    ex = files.where(F.col("extractor") == "html")
+    ex = ex.where(F.col("title").isNotNull() | F.col("content").isNotNull())
+    url = rewrite_uri(F.col("url")) if rewrite_uri else F.col("url")
+    docs = hashed_doc_ids(ex.select(url.alias("url"), "title", F.col("content").alias("data")))
+    index = Index.build(docs.select("doc_id", "url", "title", "data"))
+    if index_path:
+        write_index(index, index_path, create=create)
+    return index

@@ -74,7 +74,7 @@ def index_appender(index_path: str, to_docs: Callable[[DataFrame], DataFrame]):
     def each(batch_df: DataFrame, batch_id: int) -> None:
         docs = to_docs(batch_df).persist()
         try:
-            if docs.limit(1).count():
+            if not docs.isEmpty():
                 write_index(Index.build(docs), index_path, create=False, batch=int(batch_id))
         finally:
             docs.unpersist()

@@ -35,3 +35,23 @@ def test_rewrite_prefix(spark):
     df = spark.createDataFrame([("file:///base/x.html",), ("http://h/y",)], "u string")
     got = [r.u for r in df.select(rewrite_prefix("u", "file:///base/", "http://www.h/virtual/").alias("u")).collect()]
     assert got == ["http://www.h/virtual/x.html", "http://h/y"]
+
+
+def test_file_tree_index(spark):
+    from sitesift.operators import search as se
+    from sitesift.plans.site_index import build_file_index
+    from sitesift.sources.index_store import rewrite_prefix
+    from .html_fixtures import CUSTOM, ENTITIES
+    root = tempfile.mkdtemp(prefix="sitesift-tree-")
+    for name, body in [("a.html", SIMPLE), ("b.htm", ENTITIES), ("c.html", CUSTOM), ("notes.txt", "sample text")]:
+        with open(os.path.join(root, name), "w") as f:
+            f.write(body)
+    idx = build_file_index(spark, root, rewrite_uri=lambda u: rewrite_prefix(u, "file://" + root + "/",
+                                                                              "http://www.h/docs/"))
+    docs = {r.url: r for r in idx.docs.collect()}
+    assert sorted(docs) == ["http://www.h/docs/a.html", "http://www.h/docs/b.htm", "http://www.h/docs/c.html"]
+    q = spark.createDataFrame([(1, ["sample", "text"], "and", None, 0, 10)],
+                              "query_id int, terms array<string>, mode string, fields array<string>, "
+                              "offset int, limit int")
+    hits = sorted(r.url for r in se.search(idx, q).collect())
+    assert hits == ["http://www.h/docs/a.html", "http://www.h/docs/c.html"]
