@@ -136,8 +136,24 @@ def mark_kept(fetched: DataFrame, seen_etags: DataFrame | None) -> DataFrame:
             .drop("__first"))
 
 
+def _done(spark: SparkSession, path: str) -> bool:
+    """A folder written completely by Spark (its ``_SUCCESS`` marker exists)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def _reopen(spark: SparkSession, path: str) -> DataFrame:
+    """A static table of an interrupted crawl: the bucketed table when this
+    session still knows it, else its staged Parquet files."""
+    name = "sitesift_" + os.path.basename(os.path.dirname(path)).replace("-", "_") + "_" + os.path.basename(path)
+    if spark.catalog.tableExists(name):
+        return spark.table(name)
+    return spark.read.parquet(path + "_stage")
+
+
 def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig,
-          edges: DataFrame | None = None, use_etags: bool = True, root: str | None = None) -> CrawlResult:
+          edges: DataFrame | None = None, use_etags: bool = True, root: str | None = None,
+          resume: bool = False) -> CrawlResult:
     """D3 + D4: run the crawl to a fixpoint (or ``cfg.max_depth``).
 
     ``captures``: ``(page_id, url, html, status, content_type, etag,
@@ -145,31 +161,45 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
     pos`` over normalised URLs); else they are extracted from the captures.
     Two Spark jobs per level: the fetch log (with the ETag verdict) and the
     next frontier; its size is observed while it is written.
+
+    ``resume=True`` with the ``root`` of an interrupted crawl continues after
+    the last completely written step (every step is a whole folder with a
+    ``_SUCCESS`` marker, and rewriting a step is idempotent).
     """
     root = root or scratch_path(spark, "crawl")
     cap_path, edge_path = os.path.join(root, "captures"), os.path.join(root, "edges")
-    if edges is None:
-        edges = html_edges(captures, cfg)
-    # the two static sides of every level's joins, bucketed by their join key
-    cap = _write_bucketed(spark, capture_index(captures, cfg), cap_path, "url")
-    edg = _write_bucketed(spark, edges, edge_path, "src_url")
-    if not use_etags:
-        cap = cap.withColumn("etag", F.lit(None).cast("string"))
 
     def lvl(name, d):
         return os.path.join(root, name, f"depth={d}")
 
-    n = _write_counted(seed_frontier(spark, start_urls, cfg).select(*FRONTIER_COLS).drop("depth"),
-                       lvl("frontier", 0))
-    d, levels = 0, 0
+    if resume and _done(spark, lvl("frontier", 0)):
+        cap, edg = _reopen(spark, cap_path), _reopen(spark, edge_path)
+        d = 0
+        while _done(spark, lvl("frontier", d + 1)):
+            d += 1
+        n = spark.read.parquet(lvl("frontier", d)).count()
+    else:
+        if edges is None:
+            edges = html_edges(captures, cfg)
+        # the two static sides of every level's joins, bucketed by their join key
+        cap = _write_bucketed(spark, capture_index(captures, cfg), cap_path, "url")
+        edg = _write_bucketed(spark, edges, edge_path, "src_url")
+        n = _write_counted(seed_frontier(spark, start_urls, cfg).select(*FRONTIER_COLS).drop("depth"),
+                           lvl("frontier", 0))
+        d = 0
+    if not use_etags:
+        cap = cap.withColumn("etag", F.lit(None).cast("string"))
+    levels = d
     while n > 0:
         levels = d + 1
-        level = spark.read.parquet(lvl("frontier", d)).withColumn("depth", F.lit(d))
-        seen = None
-        if d > 0:
-            seen = (spark.read.parquet(os.path.join(root, "fetched")).where(F.col("keep"))
-                    .select("etag").where(F.col("etag").isNotNull() & (F.col("etag") != "")))
-        _write(mark_kept(fetch(level, cap), seen).drop("depth"), lvl("fetched", d))
+        if not _done(spark, lvl("fetched", d)):
+            level = spark.read.parquet(lvl("frontier", d)).withColumn("depth", F.lit(d))
+            seen = None
+            if d > 0:
+                seen = (spark.read.parquet(os.path.join(root, "fetched")).where(F.col("depth") < d)
+                        .where(F.col("keep")).select("etag")
+                        .where(F.col("etag").isNotNull() & (F.col("etag") != "")))
+            _write(mark_kept(fetch(level, cap), seen).drop("depth"), lvl("fetched", d))
         if cfg.max_depth is not None and d + 1 > cfg.max_depth:
             break
         fetched = spark.read.parquet(lvl("fetched", d))
@@ -181,7 +211,8 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
                      .select(F.col("redirect_url").alias("url"), F.col("url").alias("referrer"),
                              F.lit(-1).alias("pos")))
         cand = first_per_key(children.unionByName(redirects), "url", ["referrer", "pos"])
-        visited = spark.read.parquet(os.path.join(root, "frontier")).select("url")
+        visited = (spark.read.parquet(os.path.join(root, "frontier")).where(F.col("depth") <= d)
+                   .select("url"))
         # semi then anti join: AQE broadcasts the candidates when they are
         # small at runtime, so the growing visited set is scanned, not shuffled
         new = anti_join_seen(cand, visited, "url")

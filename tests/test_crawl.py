@@ -117,3 +117,29 @@ def test_crawl_with_etags_matches_brute_force(spark):
     got = sorted((r.url, r.depth) for r in cc.q_crawl_etag(spark, SF001).collect())
     assert got == want
     assert len(got) > 0
+
+
+def test_crawl_resumes_after_interruption(spark):
+    from sitesift.operators import graph as G
+    from sitesift.session import scratch_path
+    cfg = CrawlConfig(include_hosts=("h",))
+    root = scratch_path(spark, "test-resume")
+    calls = {"n": 0}
+    real = G._write_counted
+
+    def failing(df, path):          # the driver dies while writing level 2
+        calls["n"] += 1
+        if "depth=2" in path:
+            raise RuntimeError("driver lost")
+        return real(df, path)
+
+    G._write_counted = failing
+    try:
+        import pytest
+        with pytest.raises(RuntimeError):
+            crawl(spark, ["http://h/a"], _captures(spark), cfg, root=root)
+    finally:
+        G._write_counted = real
+    res = crawl(spark, ["http://h/a"], _captures(spark), cfg, root=root, resume=True)
+    kept = sorted((r.url, r.depth) for r in res.kept(spark).collect())
+    assert kept == [("http://h/a", 0), ("http://h/b", 1), ("http://h/c", 1), ("http://h/d", 2), ("http://h/e", 3)]
