@@ -11,13 +11,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Fixed values of the test mapping: documents become index
 # documents with url doc://<doc_id>, title = first line, data = whole text.
 DOC_URL_PREFIX = "doc://"
 
 
+# Tables whose rows carry whole pages: regex extraction over them is CPU-bound
+# and narrow, so they are spread over the cluster when the file is one row group.
+SPREAD_TABLES = ("pages",)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in SPREAD_TABLES else df
 
 
 def documents_as_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,12 @@ def partitions_for(df, target_bytes: int = TARGET_INPUT_BYTES) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_size = -(-size // target_bytes)
     return int(max(spark.sparkContext.defaultParallelism, min(by_size, MAX_PARTITIONS)))
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin rows over at least the cluster's parallelism when the input
+    has fewer partitions (e.g. one large Parquet row group, which Spark cannot
+    split), before CPU-heavy narrow work. A no-op on inputs that are already
+    split finer, as any large table is."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
