@@ -28,7 +28,7 @@ def q_file_scan(spark, sf):
     pages = read(spark, sf, "pages")
     (pages.select(F.coalesce(attribute_of_first("html", "html", "lang"), F.lit("none")).alias("lang"),
                   F.regexp_replace("html", r"[\r\n]+", " ").alias("value"))
-     .write.partitionBy("lang").text(root))
+     .repartition("lang").write.partitionBy("lang").text(root))   # one file per language folder
     files = file_scan(spark, root)
     return extract_files(files).select("url", "extractor", "title")
 
