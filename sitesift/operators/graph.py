@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.html import content_route, extract_links
 from ..session import scratch_path
@@ -172,6 +173,20 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
     def lvl(name, d):
         return os.path.join(root, name, f"depth={d}")
 
+    # The loop reads back its own outputs every level; their schemas are
+    # known, so no Parquet footers are read to infer them (that driver-side
+    # work would grow with the number of files written so far).
+    schemas: dict[str, T.StructType] = {}
+
+    def read_back(name, d=None):
+        path = os.path.join(root, name) if d is None else lvl(name, d)
+        sch = schemas.get(name)
+        if sch is None:
+            return spark.read.parquet(path)
+        if d is None:
+            sch = T.StructType(sch.fields + [T.StructField("depth", T.IntegerType())])
+        return spark.read.schema(sch).parquet(path)
+
     if resume and _done(spark, lvl("frontier", 0)):
         cap, edg = _reopen(spark, cap_path), _reopen(spark, edge_path)
         d = 0
@@ -184,25 +199,28 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
         # the two static sides of every level's joins, bucketed by their join key
         cap = _write_bucketed(spark, capture_index(captures, cfg), cap_path, "url")
         edg = _write_bucketed(spark, edges, edge_path, "src_url")
-        n = _write_counted(seed_frontier(spark, start_urls, cfg).select(*FRONTIER_COLS).drop("depth"),
-                           lvl("frontier", 0))
+        seeds = seed_frontier(spark, start_urls, cfg).select(*FRONTIER_COLS).drop("depth")
+        n = _write_counted(seeds, lvl("frontier", 0))
         d = 0
+    schemas["frontier"] = spark.read.parquet(lvl("frontier", 0)).schema
     if not use_etags:
         cap = cap.withColumn("etag", F.lit(None).cast("string"))
     levels = d
     while n > 0:
         levels = d + 1
         if not _done(spark, lvl("fetched", d)):
-            level = spark.read.parquet(lvl("frontier", d)).withColumn("depth", F.lit(d))
+            level = read_back("frontier", d).withColumn("depth", F.lit(d))
             seen = None
             if d > 0:
-                seen = (spark.read.parquet(os.path.join(root, "fetched")).where(F.col("depth") < d)
+                seen = (read_back("fetched").where(F.col("depth") < d)
                         .where(F.col("keep")).select("etag")
                         .where(F.col("etag").isNotNull() & (F.col("etag") != "")))
-            _write(mark_kept(fetch(level, cap), seen).drop("depth"), lvl("fetched", d))
+            out = mark_kept(fetch(level, cap), seen).drop("depth")
+            _write(out, lvl("fetched", d))
+            schemas["fetched"] = out.schema
         if cfg.max_depth is not None and d + 1 > cfg.max_depth:
             break
-        fetched = spark.read.parquet(lvl("fetched", d))
+        fetched = read_back("fetched", d)
         # links are followed from kept html documents only; other types have none
         children = (fetched.where(F.col("keep") & (F.col("extractor") == "html"))
                     .select(F.col("url").alias("src_url")).join(edg, "src_url")
@@ -211,8 +229,7 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
                      .select(F.col("redirect_url").alias("url"), F.col("url").alias("referrer"),
                              F.lit(-1).alias("pos")))
         cand = first_per_key(children.unionByName(redirects), "url", ["referrer", "pos"])
-        visited = (spark.read.parquet(os.path.join(root, "frontier")).where(F.col("depth") <= d)
-                   .select("url"))
+        visited = read_back("frontier").where(F.col("depth") <= d).select("url")
         # semi then anti join: AQE broadcasts the candidates when they are
         # small at runtime, so the growing visited set is scanned, not shuffled
         new = anti_join_seen(cand, visited, "url")
