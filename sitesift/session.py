@@ -47,11 +47,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` as the cluster sets it. Only when it
-    is unset (local runs, tests) a private temporary folder is made and
-    recorded in the session so that later calls agree.
+    is unset on a local master (local runs, tests) a private temporary folder
+    is made and recorded in the session so that later calls agree; on a
+    cluster an unset folder is an error, never a machine-local path.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(intermediate tables are written there)")
         root = tempfile.mkdtemp(prefix="sitesift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
