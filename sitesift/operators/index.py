@@ -29,23 +29,26 @@ def stored_documents(df: DataFrame) -> DataFrame:
                      "url", "title", "data")
 
 
-def field_tokens(docs: DataFrame, fields=INDEX_FIELDS) -> DataFrame:
-    """(doc_id, field, tokens, dl) for every non-NULL field of every document.
-
-    Narrow: a ``stack`` of the fields, no shuffle.
-    """
+def field_tokens(docs: DataFrame, fields=INDEX_FIELDS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keys..., field, tokens, dl) for every non-NULL field of every
+    document. Narrow: a ``stack`` of the fields, no shuffle."""
     stack = ", ".join(f"'{f}', `{f}`" for f in fields)
-    return (docs.select("doc_id", F.expr(f"stack({len(fields)}, {stack}) as (field, value)"))
+    return (docs.select("doc_id", *keys, F.expr(f"stack({len(fields)}, {stack}) as (field, value)"))
             .where(F.col("value").isNotNull())
-            .select("doc_id", "field", tokenize("value").alias("tokens"))
+            .select("doc_id", *keys, "field", tokenize("value").alias("tokens"))
             .withColumn("dl", F.size("tokens").cast("bigint")))
 
 
-def postings(docs: DataFrame, fields=INDEX_FIELDS) -> DataFrame:
-    """F2 + F3: tokenize every field and group positions per (term, field, doc)."""
-    toks = field_tokens(docs, fields)
-    exploded = toks.select("doc_id", "field", "dl", F.posexplode("tokens").alias("pos", "term"))
-    return (exploded.groupBy("term", "field", "doc_id")
+def postings(docs: DataFrame, fields=INDEX_FIELDS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """F2 + F3: tokenize every field and group positions per (term, field, doc).
+
+    ``keys``: extra columns that depend on ``doc_id`` only (a storage
+    partition) and are kept as grouping keys, so that input partitioned by
+    them needs no further exchange.
+    """
+    toks = field_tokens(docs, fields, keys)
+    exploded = toks.select("doc_id", *keys, "field", "dl", F.posexplode("tokens").alias("pos", "term"))
+    return (exploded.groupBy("term", "field", "doc_id", *keys)
             .agg(F.count(F.lit(1)).alias("tf"),
                  F.max("dl").alias("dl"),
                  F.sort_array(F.collect_list("pos")).alias("positions")))

@@ -186,8 +186,15 @@ def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOpti
     totals = _maybe_broadcast(hit_totals(scored, q), n_queries, BROADCAST_MAX_RESULT_ROWS)
     page = top_k(scored, q, max_rank, n_results)
     page_b = _maybe_broadcast(page.join(totals, "query_id"), n_results, BROADCAST_MAX_RESULT_ROWS)
-    stored = index.docs.select("doc_id", "title", "url", "data")
-    rows = stored.join(page_b, "doc_id")
+    if "part" in index.docs.columns:
+        # stored documents in hash folders: joining on the folder lets Spark
+        # prune the scan to the folders of this page of hits (DPP)
+        from ..sources.index_store import doc_part
+        stored = index.docs.select("part", "doc_id", "title", "url", "data")
+        rows = stored.join(page_b.withColumn("part", doc_part("doc_id")), ["part", "doc_id"]).drop("part")
+    else:
+        stored = index.docs.select("doc_id", "title", "url", "data")
+        rows = stored.join(page_b, "doc_id")
     rel = F.when(F.col("max_score") > 0, F.round(F.col("score") / F.col("max_score"), SCORE_DECIMALS))
     cols = ["query_id", "rank", "doc_id", "score", rel.alias("relative_score"), "title", "url"]
     if options.highlight:
