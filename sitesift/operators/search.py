@@ -230,3 +230,13 @@ def relative_scores(index: Index, queries: DataFrame) -> DataFrame:
             .select("query_id", "doc_id",
                     F.when(F.col("max_score") > 0, F.round(F.col("score") / F.col("max_score"), SCORE_DECIMALS))
                     .alias("relative_score")))
+
+
+def query_table(spark, rows, mode: str = "and", fields=None, offset: int = DEFAULT_OFFSET,
+                limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """A query table from ``(query_id, text)`` pairs: the text is analysed
+    into terms like indexed text (no operator syntax is parsed; the mode,
+    fields and paging are given as values)."""
+    data = [(int(i), [t], mode, list(fields) if fields else None, int(offset), int(limit)) for i, t in rows]
+    return spark.createDataFrame(data, "query_id int, terms array<string>, mode string, fields array<string>, "
+                                       "offset int, limit int")

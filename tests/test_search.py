@@ -90,3 +90,15 @@ def test_highlight_tags_terms(spark):
     q = benchmark_queries(spark, SF001).where(F.col("query_id") == 1)
     rows = se.search(idx, q, se.SearchOptions(highlight=True)).collect()
     assert rows and all("<b>" in r.extract for r in rows)
+
+
+def test_query_table_and_highlight_options(spark):
+    idx = _index(spark)
+    first = documents_as_docs(spark, SF001).where("doc_id = 0").first()
+    word = first.data.split()[0].strip(".,;:!?").lower()
+    q = se.query_table(spark, [(7, word.upper())], mode="or", fields=["data"], limit=3)
+    rows = se.search(idx, q, se.SearchOptions(highlight=True, pre_tag="[", post_tag="]", ellipsis=" ... ",
+                                              excerpt_length=30, num_excerpts=2)).collect()
+    assert rows and rows[0].hitcount >= 1
+    assert all("[" in r.extract and "<b>" not in r.extract for r in rows)
+    assert all(r.extract.count(" ... ") <= 1 for r in rows)
