@@ -46,7 +46,8 @@ def main() -> None:
     # extraction
     p = final_part(executed(extract_pages(read(spark, sf, "pages")).select("page_id", "title")))
     out += ["## Extraction (E11, title only projected)", "",
-            f"* exchanges: {count(p, 'Exchange')}",
+            f"* key exchanges: {count(p, r'Exchange (hash|range)partitioning')}; round-robin spread of the "
+            f"one-row-group test file: {count(p, r'Exchange RoundRobinPartitioning')} (none on split inputs)",
             f"* scan schema: `{re.search(r'ReadSchema: (struct<[^>]*>)', p).group(1) if 'ReadSchema' in p else '?'}`",
             ""]
 
@@ -90,7 +91,9 @@ def main() -> None:
     # URL chain: no generated-code fallback
     p = final_part(executed(cu.q_filter_chain(spark, sf)))
     out += ["## Link filter chain (C9)", "",
-            f"* exchanges: {count(p, 'Exchange')}, Generate (0-or-1 inline filter): {count(p, 'Generate')}", ""]
+            f"* key exchanges: {count(p, r'Exchange (hash|range)partitioning')}; round-robin spread of the "
+            f"one-row-group test file: {count(p, r'Exchange RoundRobinPartitioning')}; "
+            f"Generate (0-or-1 inline filter): {count(p, 'Generate')}", ""]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as f:
         f.write("\n".join(out))
     print("\n".join(out))
