@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 # Fixed values of the engine (pinned by us, see SURVEY F2/G9/G10).
 # A token is a maximal run of Unicode letters and digits, lower-cased.
 TOKEN_PATTERN = r"([\p{L}\p{N}]+)"
@@ -60,34 +62,36 @@ def with_highlight(df: DataFrame, data: str, terms: str, out: str, pre_tag: str
     The best fragments by (hits desc, position) are shown in text order,
     joined by the ellipsis. Without any hit the plain extract (G9) is kept.
     Meant for the few rows of a result page, after top-k. Built in three
-    projections so that each fragment is split and scored exactly once.
+    projections: every fragment is split and scored once, and only the
+    chosen fragments are rendered.
     """
     o = _highlight_opts(pre_tag=pre_tag, post_tag=post_tag, ellipsis=ellipsis,
                         excerpt_length=excerpt_length, num_excerpts=num_excerpts)
     d, t = F.col(data), F.col(terms)
     n = int(o["excerpt_length"])
-    # One linear regex pass cuts the text into fragments; substring(i*n) per
-    # fragment would rescan the UTF-8 text from its start every time.
-    frags = F.regexp_extract_all(d, F.lit(f"(?s)(.{{1,{n}}})"), 1)
-    runs = F.transform(frags, lambda f, i: F.struct(i.alias("i"), F.regexp_extract_all(
-        f, F.lit(RUN_PATTERN), 1).alias("runs")))
-
-    def score(s):
-        marked = F.transform(s["runs"], lambda r: F.struct(r.alias("r"), F.array_contains(t, F.lower(r)).alias("hit")))
-        return F.struct(marked.alias("m"), s["i"].alias("i"))
-
-    def render(s):
-        hits = F.size(F.filter(s["m"], lambda x: x["hit"]))
-        text = F.array_join(F.transform(s["m"], lambda x: F.when(
-            x["hit"], F.concat(F.lit(o["pre_tag"]), x["r"], F.lit(o["post_tag"]))).otherwise(x["r"])), "")
-        return F.struct((-hits).alias("neg_hits"), s["i"].alias("i"), text.alias("text"))
-
-    tmp1, tmp2 = f"__{out}_marked", f"__{out}_frags"
-    best = F.slice(F.array_sort(F.col(tmp2)), 1, int(o["num_excerpts"]))
-    in_order = F.array_sort(F.transform(best, lambda s: F.struct(s["i"].alias("i"), s["text"].alias("text"))))
-    joined = F.array_join(F.transform(in_order, lambda s: s["text"]), o["ellipsis"])
-    return (df.withColumn(tmp1, F.transform(runs, score))
-            .withColumn(tmp2, F.filter(F.transform(F.col(tmp1), render), lambda s: s["neg_hits"] < 0))
+
+    def is_hit(r):
+        return F.array_contains(t, F.lower(r))
+
+    # 1) one linear regex pass cuts the text into fragments (substring(i*n)
+    #    per fragment would rescan the UTF-8 text from its start every time);
+    #    each fragment is split into runs once and its hits are counted
+    frags = F.transform(
+        F.regexp_extract_all(d, F.lit(f"(?s)(.{{1,{n}}})"), 1),
+        lambda f, i: let(F.regexp_extract_all(f, F.lit(RUN_PATTERN), 1), lambda runs: F.struct(
+            runs.alias("runs"), F.size(F.filter(runs, is_hit)).alias("hits"), i.alias("i"))))
+    # 2) the best fragments by (hits desc, position), then in text order
+    ranked = F.transform(F.filter(F.col(tmp1 := f"__{out}_frags"), lambda s: s["hits"] > 0),
+                         lambda s: F.struct((-s["hits"]).alias("neg_hits"), s["i"].alias("i")))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(ranked), 1, int(o["num_excerpts"])),
+                                      lambda b: b["i"]))
+    # 3) only the chosen fragments are rendered with tagged hits
+    tmp2 = f"__{out}_chosen"
+    rendered = F.array_join(F.transform(F.col(tmp2), lambda i: F.array_join(F.transform(
+        F.col(tmp1)[i]["runs"], lambda r: F.when(is_hit(r), F.concat(F.lit(o["pre_tag"]), r, F.lit(o["post_tag"])))
+        .otherwise(r)), "")), o["ellipsis"])
+    return (df.withColumn(tmp1, frags)
+            .withColumn(tmp2, chosen)
             .withColumn(out, F.when(d.isNull(), F.lit(None).cast("string"))
-                        .when(F.size(F.col(tmp2)) > 0, joined).otherwise(build_extract(d)))
+                        .when(F.size(F.col(tmp2)) > 0, rendered).otherwise(build_extract(d)))
             .drop(tmp1, tmp2))
