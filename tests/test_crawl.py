@@ -143,3 +143,23 @@ def test_crawl_resumes_after_interruption(spark):
     res = crawl(spark, ["http://h/a"], _captures(spark), cfg, root=root, resume=True)
     kept = sorted((r.url, r.depth) for r in res.kept(spark).collect())
     assert kept == [("http://h/a", 0), ("http://h/b", 1), ("http://h/c", 1), ("http://h/d", 2), ("http://h/e", 3)]
+
+
+def test_fetch_routes(spark):
+    rows = [(1, "http://h/a", _page("gone", "missing", "moved", "pdf"), 200, "text/html", None, None),
+            (2, "http://h/gone", "", 404, "text/html", None, None),
+            (3, "http://h/moved", "", 301, "text/html", None, "http://h/a"),
+            (4, "http://h/pdf", "%PDF", 200, "application/pdf", None, None)]
+    caps = spark.createDataFrame(rows, "page_id long, url string, html string, status int, content_type string, "
+                                       "etag string, redirect_to string")
+    res = crawl(spark, ["http://h/a"], caps, CrawlConfig(include_hosts=("h",)))
+    routes = {r.url: (r.route, r.extractor, r.keep) for r in res.fetched(spark).collect()}
+    assert routes == {
+        "http://h/a": ("success", "html", True),
+        "http://h/gone": ("dropped", None, False),
+        "http://h/missing": ("fetch_error", None, False),
+        "http://h/moved": ("redirect", None, False),
+        "http://h/pdf": ("success", "pdf", True),
+    }
+    # the redirect target was already visited: nothing new at depth 2
+    assert res.levels == 2
