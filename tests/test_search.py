@@ -102,3 +102,10 @@ def test_query_table_and_highlight_options(spark):
     assert rows and rows[0].hitcount >= 1
     assert all("[" in r.extract and "<b>" not in r.extract for r in rows)
     assert all(r.extract.count(" ... ") <= 1 for r in rows)
+
+
+def test_index_batch_reports_indexed_count(spark):
+    docs = documents_as_docs(spark, SF001)
+    path = scratch_path(spark, "test-count")
+    res = write_index(Index.build(docs), path)
+    assert res.batch == 0 and res.indexed_documents == docs.count()
