@@ -56,7 +56,8 @@ def main() -> None:
     timed("filter_chain", lambda: run(cu.q_filter_chain(spark, sf_dir)))
 
     idx_path = scratch_path(spark, "bench-index")
-    timed("index_build", lambda: write_index(Index.build(documents_as_docs(spark, sf_dir)), idx_path))
+    built = timed("index_build", lambda: write_index(Index.build(documents_as_docs(spark, sf_dir)), idx_path))
+    extra["index_docs_per_sec"] = round(built.indexed_documents / max(timings["index_build"], 1e-9), 1)
     index = read_index(spark, idx_path)
 
     queries = benchmark_queries(spark, sf_dir)
