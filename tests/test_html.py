@@ -86,3 +86,11 @@ def test_attribute_title_is_decoded_and_trimmed(spark):
     page = '<html><head><meta name="DC.title" content=" A &amp; B "><title>x</title></head><body></body></html>'
     sel = AttributeSelector("meta", "content", "name", "DC.title")
     assert _one(spark, page, title=sel).title == "A & B"
+
+
+def test_all_matches_selector_joins_and_never_falls_back(spark):
+    page = "<html><body><p>one &amp;</p><div>skip</div><p class=x>two</p></body></html>"
+    r = _one(spark, page, content=Selector("p", first=False))
+    assert r.content == "one &two"
+    r = _one(spark, page, content=Selector("h2", first=False))
+    assert r.content == ""
