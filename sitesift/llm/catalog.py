@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, topk
+from . import mixing, sharding, simhash, topk
 from .common import staged, table
 
 
@@ -25,10 +25,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_topk": op4_topk,
     "op6_sharding": op6_sharding,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE = {
