@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, topk, toxicity
+from . import decontaminate, maintext, mixing, quality, sharding, simhash, topk, toxicity
 from .common import staged, table
 
 
@@ -13,6 +13,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(mixing.measure(table(spark, sf_dir, "documents")))
 
 
+def op3_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages")).select(
+        F.col("page_id").cast("long").alias("page_id"), "url", "text", "n_chars")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantize(table(spark, sf_dir, "embeddings"))
     return topk.exact_topk(vectors.where("vec_id % 50 = 0"), vectors, k=5)
@@ -29,6 +34,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,9 +48,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_maintext": op3_maintext,
     "op4_topk": op4_topk,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
+    "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
