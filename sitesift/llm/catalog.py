@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maintext, mixing, quality, sharding, simhash, topk, toxicity
+from . import decontaminate, maintext, mixing, pii, quality, sharding, simhash, topk, toxicity
 from .common import staged, table
 
 
@@ -23,6 +23,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(sharding.sized(table(spark, sf_dir, "documents")), "shard-rows")
     out = sharding.assign(rows, sharding.row_key(), sharding.SHARDS)
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_maintext": op3_maintext,
     "op4_topk": op4_topk,
+    "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
