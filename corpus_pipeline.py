@@ -1,7 +1,62 @@
-"""Corpus pipeline: stages applied to ``documents`` one after the other."""
-STAGES = []
+"""Corpus pipeline over ``documents``: reject poor text, keep one of each group
+of near-duplicates, drop benchmark leaks, mix sources to their targets, shard.
+
+Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all that the
+stage before it kept. ``run`` writes every result to the shared folder and reads
+it back, so a lost executor costs tasks, not stages. Defined cases are those of
+the operators; columns other than text, doc_id and source pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitesift.llm import decontaminate, mixing, quality, sharding, simhash
+from sitesift.llm.common import staged, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its slot in the shard."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = sharding.ring_hash(F.col("doc_id"), F.crc32(text.cast("binary")), F.octet_length(text))
+    return sharding.assign(docs, key)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("simhash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+# A trained classifier has no SQL form; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

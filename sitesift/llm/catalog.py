@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maintext, mixing, pii, quality, sharding, simhash, topk, toxicity
+from . import decontaminate, maintext, mixing, pii, quality, sharding, simhash, suffixes, topk, toxicity
 from .common import staged, table
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(table(spark, sf_dir, "documents"))
+
+    def text(spans: str) -> F.Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"].cast("string"),
+                                                                     x["end"].cast("string"))), ",")
+
+    def words(spans: str) -> F.Column:
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+
+    return found.select("doc_id", "n_words", words("spans").alias("repeated_words"), words("cut").alias("cut_words"),
+                        text("spans").alias("spans"), text("cut").alias("cut"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(mixing.measure(table(spark, sf_dir, "documents")))
 
@@ -51,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffixes": op1_suffixes,
     "op2_mixing": op2_mixing,
     "op3_maintext": op3_maintext,
     "op4_topk": op4_topk,
