@@ -21,7 +21,7 @@ Defined cases: vectors that are null or hold null, NaN or infinite components
 take no part, nor do rows with null vec_id; shorter vectors are padded with
 zeros; a query's own row is every candidate with its vec_id; a vec_id that
 repeats among candidates is a candidate each time; equal query rows are asked
-once; queries with fewer than k candidates return all; empty tables give an
+once, query rows that differ in their vectors alone each get an answer; queries with fewer than k candidates return all; empty tables give an
 empty result; other columns are ignored.
 """
 
@@ -112,9 +112,9 @@ def winners(shared, k: int):
                     best.setdefault(r, []).append((-s, i))
                 for r in set((row[keep] + at).tolist()):
                     best[r] = sorted(best[r])[:k]
-        out = [(int(ids[r]), i, -s) for r, found in best.items() for s, i in found]
-        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)],
-                                         names=["query_id", "vec_id", "score"])
+        out = [(int(ids[r]), i, -s, r) for r, found in best.items() for s, i in found]
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(4)],
+                                         names=["query_id", "vec_id", "score", "_q"])
     return run
 
 
@@ -146,7 +146,7 @@ def search_block(block: list, candidates: DataFrame, k: int, longest: float, wid
         need = need - above
         lo, span = lo + kth_bin * step, step
     shared = spark.sparkContext.broadcast((ids, q, lo))
-    return candidates.mapInArrow(winners(shared, k), "query_id long, vec_id long, score long")
+    return candidates.mapInArrow(winners(shared, k), "query_id long, vec_id long, score long, _q long")
 
 
 def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
@@ -167,10 +167,10 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFra
     for b in range(blocks):
         block = asked.where(F.col("_block") == b).orderBy("vec_id", "v").collect()   # at most about BLOCK rows
         if block:
-            part = search_block(block, candidates, k, float(longest), int(width))
+            part = search_block(block, candidates, k, float(longest), int(width)).withColumn("_block", F.lit(b))
             part = staged(part, "topk-block") if blocks > 1 else part
             found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("_block", "_q").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
