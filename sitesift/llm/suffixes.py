@@ -12,8 +12,9 @@ them, so no passage is lost. Overlapping matches join into longer passages.
 
 Output: passages of ``LEAST`` words or more that repeat across documents, as
 word offsets; and the part of them that is cut when passages are deduplicated:
-occurrences that neighbours link are one class, and the class's smallest
-(doc_id, text hash) keeps the words.
+a match is cut from the document of larger (doc_id, text hash). Besides its
+neighbours, each suffix is compared with the smallest document among all that
+neighbours link, so that little more than the first occurrence stays.
 
 At scale: equal texts are collapsed first (they repeat as wholes). Only grams
 that stand in two texts are followed up; the texts are shuffled once to fetch
@@ -141,7 +142,7 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def compare(key, doc, th, pos, left, right):
     """(row, start, end, kept) for matches of at least ``LEAST`` words among the
-    suffixes of whole grams; ``kept`` where the row is its class's smallest."""
+    suffixes of whole grams; ``kept`` where the row's document is the smaller."""
     matches = []
 
     def match(i, j):
@@ -169,13 +170,15 @@ def compare(key, doc, th, pos, left, right):
         if b - a > 2 and not done[a:b].all():          # not found beside it: against the whole gram
             for i in np.flatnonzero(~done[a:b]) + a:
                 match(np.full(b - a, i), np.arange(a, b))
-    i, j, back, on = (np.concatenate(c) for c in zip(*matches, strict=True))
+    order = np.lexsort((th, doc))
     rank = np.empty(n, np.int64)
-    rank[np.lexsort((th, doc))] = np.arange(n)
-    later = contract(rank[i], rank[j])[0] if len(i) else rank[:0]
-    keeps = np.ones(n, bool)
-    keeps[np.isin(rank, later)] = False
-    return i, pos[i] - back, pos[i] + GRAM + on, keeps[i]
+    rank[order] = np.arange(n)
+    i, j = (np.concatenate(c) for c in list(zip(*matches, strict=True))[:2])
+    if len(i):                                         # and each against its class's smallest document
+        node, smallest = contract(rank[i], rank[j])
+        match(order[node], order[smallest])
+    i, j, back, on = (np.concatenate(c) for c in zip(*matches, strict=True))
+    return i, pos[i] - back, pos[i] + GRAM + on, rank[i] < rank[j]
 
 
 def matched(found: DataFrame) -> DataFrame:

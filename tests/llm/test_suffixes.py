@@ -52,14 +52,20 @@ def test_every_passage_is_found(spark, words, monkeypatch, crowded):
     got = {r.doc_id: r for r in suffixes.repeats(df).collect()}
     want = covered(rows, suffixes.LEAST)
     assert {d: [(x.start, x.end) for x in r.spans] for d, r in got.items()} == want
-    # Cutting leaves at least one document with each passage, and cuts nothing that does not repeat.
-    left = defaultdict(int)
+    # What is cut stands in a smaller document; nearly all that does is cut.
+    first = {}
     for d, t in rows:
-        cut = {i for x in (got[d].cut if d in got else ()) for i in range(x.start, x.end)}
-        assert cut <= {i for a, b in want.get(d, ()) for i in range(a, b)}
         for i in range(len(t) - suffixes.LEAST + 1):
-            left[tuple(t[i:i + suffixes.LEAST])] += not cut & set(range(i, i + suffixes.LEAST))
-    assert min(left.values()) >= 1
+            first.setdefault(tuple(t[i:i + suffixes.LEAST]), d)
+    missed = total = 0
+    for d, t in rows:
+        cut = {i for x in (got[d].cut if d in got else ()) for i in range(x.start, x.end)}
+        may = {j for i in range(len(t) - suffixes.LEAST + 1) if first[tuple(t[i:i + suffixes.LEAST])] != d
+               for j in range(i, i + suffixes.LEAST)}
+        if [t for _, t in rows].count(t) == 1:           # documents are compared by doc_id, then text hash
+            assert cut <= may, d
+        missed, total = missed + len(may - cut), total + len(may)
+    assert missed <= 0.02 * total and total > 5000
 
 
 def test_edges(spark, edge_docs, no_docs):
