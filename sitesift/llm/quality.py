@@ -11,7 +11,8 @@ BUCKET_BITS`` floats), which is what the tasks receive.
 At scale: scoring is one narrow pass over whole texts in Arrow batches; nothing
 is shuffled. Hashing is vectorised over the bytes of many texts at once, in
 blocks of at most ``BLOCK`` bytes, so memory is bounded for texts of any length
-(a longer text is cut after white space, and its sums are added up). Training
+(a longer text is cut after white space, and its sums are added up; only word
+pairs across a cut do not count). Training
 sees the same number of rows whatever the input.
 
 Features: words are runs of other than space and ASCII 9 to 13, taken with one
@@ -46,9 +47,10 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h * MIX) >> np.uint32(32 - BUCKET_BITS)
 
 
-def features(block: np.ndarray):
+def features(block: np.ndarray, start: np.ndarray):
     """Yield (position, bucket) arrays for the features of a byte block that
-    begins and ends with white space; positions ascend within each array."""
+    begins and ends with white space; positions ascend within each array.
+    ``start`` has the first position of each piece; no pair crosses pieces."""
     space = SPACES[block]
     raw = np.where(space, np.uint8(32), block).astype(np.uint32)
     for n in GRAMS:
@@ -77,7 +79,9 @@ def features(block: np.ndarray):
         words ^= (end - begin).astype(np.uint32) * MULT
         yield begin, _bucket(words)
         pair = np.where(words[1:] == words[:-1], np.uint32(1), words[:-1] * MULT ^ words[1:])
-        yield begin[1:], _bucket(pair * MULT + np.uint32(3))
+        piece = np.searchsorted(start, begin, "right")
+        same = piece[1:] == piece[:-1]
+        yield begin[1:][same], _bucket((pair * MULT + np.uint32(3))[same])
 
 
 def blocks(texts: list[bytes | None]):
@@ -115,7 +119,7 @@ def averages(texts: list[bytes | None], value: np.ndarray) -> np.ndarray:
     """The average of ``value`` over the features of each text (0 if it has none)."""
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
     for block, start, docs in blocks(texts):
-        for at, bucket in features(block):
+        for at, bucket in features(block, start):
             cut = np.searchsorted(at, np.r_[start, len(block)])
             sums = np.concatenate([[0.0], np.cumsum(value[bucket], dtype=np.float64)])
             np.add.at(total, docs, sums[cut[1:]] - sums[cut[:-1]])
@@ -125,7 +129,7 @@ def averages(texts: list[bytes | None], value: np.ndarray) -> np.ndarray:
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    found = [bucket for block, _, _ in blocks([text]) for _, bucket in features(block)]
+    found = [bucket for block, start, _ in blocks([text]) for _, bucket in features(block, start)]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0)
     bucket, n = np.unique(np.concatenate(found), return_counts=True)

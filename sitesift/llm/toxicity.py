@@ -39,11 +39,13 @@ from .quality import held_out, learn_rows
 
 SAMPLE, SAMPLE_BYTES = 1000, 100_000
 ORDINARY_TIMES = 2                  # ordinary documents in the sample for each toxic one
-PIECE = 5                           # bytes, also the shortest match
+PIECE = 5                           # bytes of the shortest match
+SIZES = (PIECE, 7, 9, None)         # of pieces that may stand out; None: whole words
 WINDOW = 40
 DICTIONARY_BYTES = 8192
-STANDS_OUT, LEAST_SHARE, LEAST = 12.0, 0.01, 3
+STANDS_OUT, LEAST_SHARE, LEAST = 12.0, 0.01, 6
 THRESHOLD = 0.5
+APART = b"\n"                        # between stretches; no window holds it
 MARK = bytes(range(0x80, 0x90))     # never whole in valid UTF-8
 # Lower case; everything in ASCII that is not a letter becomes a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -71,47 +73,60 @@ def contexts(texts: list[bytes]) -> dict[bytes, int]:
     return {w: len(s) for w, s in seen.items()}
 
 
-def pieces(words: dict[bytes, int]) -> Counter:
+def pieces(words: dict[bytes, int], size: int | None) -> Counter:
+    """Neighbourhoods of every piece of ``size`` bytes, of whole words if None."""
     out = Counter()
     for w, n in words.items():
         x = b" " + w + b" "
-        for p in {x[i:i + PIECE] for i in range(len(x) - PIECE + 1)}:
+        for p in {x[i:i + size] for i in range(len(x) - size + 1)} if size else (x,):
             out[p] += n
     return out
 
 
-def toxic_content(words: dict[bytes, int], chosen: set) -> bytes:
-    """The stretches of chosen pieces, the most frequent last."""
+def stretches(x: bytes, chosen: set, size: int):
+    """Maximal stretches of ``x`` that chosen pieces cover without a gap."""
+    i = 0
+    while i <= len(x) - size:
+        j = i
+        while j <= len(x) - size and x[j:j + size] in chosen:
+            j += 1
+        if j > i:
+            yield x[i:j - 1 + size]
+        i = j + 1
+
+
+def toxic_content(words: dict[bytes, int], chosen: dict[int | None, set]) -> bytes:
+    """Chosen words, and in other words the stretches of the shortest chosen pieces; the most frequent last."""
     found = Counter()
     for w, n in words.items():
-        x, i = b" " + w + b" ", 0
-        while i <= len(x) - PIECE:
-            j = i
-            while x[j:j + PIECE] in chosen and j <= len(x) - PIECE:
-                j += 1
-            if j > i:
-                found[x[i:j - 1 + PIECE]] += n
-            i = j + 1
+        x = b" " + w + b" "
+        if x in chosen[None]:
+            found[x] += n
+        else:
+            some = (set(stretches(x, p, size)) for size, p in chosen.items() if size)
+            for stretch in next(filter(None, some), ()):
+                found[stretch] += n
     out, body = [], b""
     for stretch, n in sorted(found.items(), key=lambda p: (-p[1], p[0])):
         if n > 1 and stretch not in body and len(body) + len(stretch) <= DICTIONARY_BYTES:
             out.append(stretch)
-            body += stretch
-    return b"".join(reversed(out))
+            body += APART + stretch
+    return APART.join(reversed(out))
 
 
-def covering_content(content: bytes, words: dict[bytes, int], chosen: set) -> bytes:
+def covering_content(content: bytes, words: dict[bytes, int], chosen: dict[int | None, set]) -> bytes:
     """For every piece of ``content`` that ordinary text has too, its most frequent ordinary word."""
-    wanted = {content[i:i + PIECE] for i in range(len(content) - PIECE + 1)} - chosen
-    best: dict[bytes, tuple] = {}
-    for w, n in words.items():
-        x = b" " + w + b" "
-        for p in {x[i:i + PIECE] for i in range(len(x) - PIECE + 1)} & wanted:
-            best[p] = max(best.get(p, (0, b"")), (n, x))
     out = b""
-    for _, x in sorted(best.values()):
-        if x not in out and len(out) + len(x) <= DICTIONARY_BYTES:
-            out += x
+    for size in (s for s in SIZES[::-1] if s):                 # longer pieces first
+        wanted = {content[i:i + size] for i in range(len(content) - size + 1)} - chosen[size]
+        best: dict[bytes, tuple] = {}
+        for w, n in words.items():
+            x = b" " + w + b" "
+            for p in {x[i:i + size] for i in range(len(x) - size + 1)} & wanted:
+                best[p] = max(best.get(p, (0, b"")), (n, x))
+        for p, (_, x) in sorted(best.items(), key=lambda b: (-b[1][0], b)):
+            if p not in out and len(out) + len(x) <= DICTIONARY_BYTES:
+                out = x + APART + out
     return out
 
 
@@ -137,29 +152,34 @@ def excess(saved: np.ndarray, least: int) -> float:
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple | None:
-    """(toxic dictionary, ordinary dictionary, bytes a window must save, excess at score 0.5)."""
+    """(toxic dictionary, ordinary dictionary, bytes a window must save, excess at
+    score 0.5). Two thirds of the sample make the dictionaries, the rest calibrates."""
     if not toxic or not ordinary:
         return None
-    bad_words, good_words = contexts(toxic), contexts(ordinary)
-    bad, good = pieces(bad_words), pieces(good_words)
+    learn, rest = slice(0, -(-2 * len(toxic) // 3)), slice(0, -(-2 * len(ordinary) // 3))
+    bad_words, good_words = contexts(toxic[learn]), contexts(ordinary[rest])
     bad_all, good_all = sum(bad_words.values()) or 1, sum(good_words.values()) or 1
-    least = max(LEAST, LEAST_SHARE * len(toxic))
-    chosen = {p for p, n in bad.items()
-              if n >= least and (n + .5) / bad_all > STANDS_OUT * (good[p] + .5) / good_all}
+    least = max(LEAST, LEAST_SHARE * len(toxic[learn]))
+    chosen = {}
+    for size in SIZES:
+        bad, good = pieces(bad_words, size), pieces(good_words, size)
+        chosen[size] = {p for p, n in bad.items()
+                        if n >= least and (n + .5) / bad_all > STANDS_OUT * (good[p] + .5) / good_all}
     content = toxic_content(bad_words, chosen)
     if not content:
         return None
     cover = covering_content(content, good_words, chosen)
-    one, zero = list(savings(toxic, content, cover)), list(savings(ordinary, content, cover))
+    one = list(savings(toxic[learn.stop:] or toxic, content, cover))
+    zero = list(savings(ordinary[rest.stop:] or ordinary, content, cover))
     best = (-1.0, 0.0, 0, 0.0)
     for t in range(2, 9):
-        x = np.array([excess(s, t) for s in one])
-        y = np.array([excess(s, t) for s in zero])
-        for cut in np.unique(np.quantile(x[x > 0], np.linspace(0, 0.5, 26))) if (x > 0).any() else ():
-            right = ((x >= cut).mean() + (y < cut).mean()) / 2
-            below = y[y < cut].max(initial=0)
-            best = max(best, (round(right, 4), cut - below, t, (cut + below) / 2))
-    return (content, cover, best[2], best[3]) if best[0] > 0 else None
+        x, y = (np.sort([excess(s, t) for s in group]) for group in (one, zero))
+        values = np.unique(np.concatenate([x, y]))
+        for low, high in zip(values[:-1], values[1:], strict=True):
+            cut = (low + high) / 2
+            right = (x >= cut).mean() + ORDINARY_TIMES * (y < cut).mean()
+            best = max(best, (round(right, 4), (high - low) / high, t, cut))
+    return (content, cover, best[2], float(best[3])) if best[0] > 0 else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple | None:
