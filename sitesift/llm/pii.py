@@ -15,8 +15,8 @@ and the text split at them. The patterns neither backtrack over runs nor
 recurse (possessive quantifiers, entry only at the start of a run), so texts of
 any length are safe.
 
-At scale: texts are read once and never shuffled; spans go to a narrow staged
-table. The graph holds distinct (pattern, kind, instance) edges of supported
+At scale: texts are read once and never shuffled; matches go to a narrow staged
+table, where window sums over a document's matches give their positions. The graph holds distinct (pattern, kind, instance) edges of supported
 patterns only; sums are combined map-side, and joins are between written tables
 so that AQE can split a pattern that a third of the edges share.
 
@@ -28,7 +28,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -47,7 +47,8 @@ TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 CONTEXT_CHARS = 48
 TOKEN_CHARS = 64                     # an unseen identifier is no longer
 ROUNDS, SUPPORT, SMOOTHING, CONFIDENCE = 3, 3, 1.5, 0.8
-FOUND = "array<struct<s:int,e:int,m:string,l:string>>"
+FOUND = "array<struct<k:int,i:int,gap:int,n:int,m:string,l:string>>"
+TOKENS = len(KINDS)                  # in place of a kind
 
 
 def _digits(c: Column) -> Column:
@@ -71,23 +72,17 @@ HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0
          "token": lambda t: t.rlike("[0-9@]")}
 
 
-def located(df: DataFrame, name: str, pattern: str) -> DataFrame:
-    """``df`` with a column ``name``: start, end, match and left context of every match in ``_text``."""
+def matches(df: DataFrame, k: int, name: str, pattern: str) -> DataFrame:
+    """``df`` with a column ``name``: for every match in ``_text`` its kind, place
+    in order, characters since the match before, length, text and left context."""
     text, hint = F.col("_text"), HINTS[name]
     df = df.withColumn("_m", F.when(hint(text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
     pairs = F.arrays_zip(F.col("_m").alias("m"), F.slice(F.col("_g"), F.lit(1), F.size("_m")).alias("g"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(
-            start.alias("s"), end.alias("e"), x["m"].alias("m"),
-            F.substring(x["g"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("l")))).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(FOUND).alias("out"))
-    found = F.when(F.size("_m") > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
-    return df.withColumn(name, F.coalesce(found, F.array().cast(FOUND))).drop("_m", "_g")
+    found = F.transform(pairs, lambda x, i: F.struct(
+        F.lit(k).alias("k"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("n"), x["m"].alias("m"),
+        F.substring(x["g"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("l")))
+    return df.withColumn(name, F.when(F.size("_m") > 0, found).otherwise(F.array().cast(FOUND))).drop("_m", "_g")
 
 
 def pattern_of(left: Column) -> Column:
@@ -105,39 +100,44 @@ def looks_like(kind: str, m: Column) -> Column:
             "phone": m.rlike(r"^[+(]?[0-9][0-9().-]+$") & n.between(7, 15)}[kind]
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """Staged rows (_row, doc_id, base, unseen): base spans (start, kind, end,
-    match, pattern), and the other tokens that look like a kind."""
+def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged (documents: _row, doc_id), (base spans: _row, s, k, e, m, p) and
+    (unseen tokens clear of base spans: _row, s, e, m, p, ks), p a pattern, ks the kinds it looks like."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    for kind in KINDS:
-        df = located(df, kind, PATTERNS[kind])
-    df = located(df, "token", TOKEN)
-    def checked(k: int, kind: str) -> Column:
-        good = F.filter(kind, lambda x: valid(kind, x["m"]))
-        return F.transform(good, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"),
-                                                    x["m"].alias("m"), pattern_of(x["l"]).alias("p")))
-
-    kept = [checked(k, kind) for k, kind in enumerate(KINDS)]
-    df = df.withColumn("base", F.array_sort(F.concat(*kept)))
-    # Punctuation around a token is not part of it.
-    trimmed = F.transform("token", lambda x: F.struct(
-        (x["s"] + F.length(x["m"]) - F.length(F.regexp_replace(x["m"], "^[(\\[<\"']+", ""))).alias("s"),
-        F.regexp_replace(x["m"], "^[(\\[<\"']+|[.,;:!?)\\]>\"']+$", "").alias("m"), x["l"].alias("l")))
-    free = F.filter(trimmed, lambda x: (F.length(x["m"]) <= TOKEN_CHARS) & ~F.exists(
-        "base", lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"])))
-    shaped = F.transform(free, lambda x: F.struct(
-        x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), x["m"].alias("m"), pattern_of(x["l"]).alias("p"),
-        F.filter(F.array(*[F.when(looks_like(kind, x["m"]), F.lit(k)) for k, kind in enumerate(KINDS)]),
-                 lambda k: k.isNotNull()).alias("ks")))
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "base", shaped.alias("unseen"))
-    return staged(rows, "pii-rows")
-
-
-def discovered(rows: DataFrame) -> DataFrame:
+    for k, (name, pattern) in enumerate([*PATTERNS.items(), ("token", TOKEN)]):
+        df = matches(df, k, name, pattern)
+    rows = staged(df.select(F.monotonically_increasing_id().alias("_row"), "doc_id",
+                            F.concat(*PATTERNS, "token").alias("hits")), "pii-rows")
+    hits = rows.select("_row", F.inline("hits"))
+    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("_row", "k").orderBy("i")).cast("int")
+    hits = hits.withColumn("e", end).withColumn("s", F.col("e") - F.col("n"))
+    ok = F.lit(False)
+    for k, kind in enumerate(KINDS):
+        ok = ok | ((F.col("k") == k) & valid(kind, F.col("m")))
+    token = F.col("k") == TOKENS
+    ahead = F.regexp_replace("m", "^[(\\[<\"']+", "")               # punctuation around a token is not part of it
+    core = F.regexp_replace(ahead, "[.,;:!?)\\]>\"']+$", "")
+    hits = (hits.where(token | ok)
+            .withColumn("s", F.when(token, F.col("s") + F.col("n") - F.length(ahead)).otherwise(F.col("s")))
+            .withColumn("m", F.when(token, core).otherwise(F.col("m"))).withColumn("e", F.col("s") + F.length("m")))
+    order = Window.partitionBy("_row").orderBy("s", "k")
+    reach = F.max(F.when(~token, F.col("e"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    hits = (hits.withColumn("_reach", reach).withColumn("_base", F.when(~token, F.col("s")))
+            .withColumn("_next", F.expr("lead(_base) IGNORE NULLS OVER (PARTITION BY _row ORDER BY s, k)"))
+            .withColumn("p", pattern_of(F.col("l"))))
+    hits = staged(hits.select("_row", "s", "k", "e", "m", "p", "_reach", "_next"), "pii-hits")
+    token = F.col("k") == TOKENS
+    clear = (F.coalesce("_reach", F.lit(0)) <= F.col("s")) & (F.coalesce("_next", F.col("e")) >= F.col("e"))
+    shapes = F.array_compact(F.array(*[F.when(looks_like(kind, F.col("m")), F.lit(k)) for k, kind in enumerate(KINDS)]))
+    unseen = (hits.where(token & clear & F.length("m").between(1, TOKEN_CHARS))
+              .select("_row", "s", "e", "m", "p", shapes.alias("ks")))
+    return rows.select("_row", "doc_id"), hits.where(~token).select("_row", "s", "k", "e", "m", "p"), unseen
+
+
+def discovered(base: DataFrame, unseen: DataFrame) -> DataFrame:
     """(m, k): unseen instances that reach the confidence, each with its best kind."""
-    seeds = rows.select(F.explode("base").alias("x")).select(
-        F.col("x.p").alias("p"), F.col("x.k").alias("k"), F.col("x.m").alias("m"), F.lit(1.0).alias("seed"))
-    other = rows.select(F.explode("unseen").alias("x")).select("x.p", "x.m", F.explode_outer("x.ks").alias("k"))
+    seeds = base.select("p", "k", "m", F.lit(1.0).alias("seed"))
+    other = unseen.select("p", "m", F.explode_outer("ks").alias("k"))
     seen = seeds.unionByName(other.select("p", "k", "m", F.lit(0.0).alias("seed"))).where("p <> ''")
     edges = staged(seen.groupBy("p", "k", "m").agg(F.max("seed").alias("seed")), "pii-edges")
     supported = staged(edges.where("seed = 1").groupBy("p", "k").agg(F.count(F.lit(1)).alias("n"))
@@ -172,20 +172,20 @@ def written(found: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans,
     n_discovered of every document."""
-    rows = spans(docs)
-    new = discovered(rows)
-    new = staged(new.select(F.col("m").alias("_m"), F.col("k").alias("_k")), "pii-discovered")
-    hits = (rows.select("_row", F.explode("unseen").alias("x")).select("_row", "x.s", "x.e", "x.m")
-            .join(new, F.col("m") == F.col("_m"))
-            .groupBy(F.col("_row").alias("_hit")).agg(F.collect_list(F.struct("s", F.col("_k").alias("k"), "e")).alias("more")))
-    base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    more = F.coalesce(F.col("more"), F.array().cast("array<struct<s:int,k:int,e:int>>"))
+    rows, base, unseen = spans(docs)
+    new = staged(discovered(base, unseen).select(F.col("m").alias("_m"), F.col("k").alias("k")), "pii-discovered")
+    more = unseen.join(new, F.col("m") == F.col("_m")).select("_row", "s", "k", "e", F.lit(True).alias("new"))
+    every = base.select("_row", "s", "k", "e", F.lit(False).alias("new")).unionByName(more)
+    found = staged(every.groupBy(F.col("_row").alias("_r")).agg(F.sort_array(F.collect_list(
+        F.struct("s", "k", "e", "new"))).alias("found")), "pii-found")
+    found_or_none = F.coalesce("found", F.array().cast("array<struct<s:int,k:int,e:int,new:boolean>>"))
+    whole = rows.join(found, F.col("_row") == F.col("_r"), "left").select("doc_id", found_or_none.alias("found"))
+    base_only = F.filter("found", lambda x: ~x["new"])
 
     def count(k: int) -> Column:
-        return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+        return F.size(F.filter("found", lambda x: ~x["new"] & (x["k"] == k))).cast("long")
 
-    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return (rows.join(hits, F.col("_row") == F.col("_hit"), "left")
-            .select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"),
-                    written(F.array_sort(F.concat(base, more))).alias("spans"),
-                    F.size(more).cast("long").alias("n_discovered")))
+    return whole.select(
+        "doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        F.sha2(written(base_only), 256).alias("base_sha256"), written(F.col("found")).alias("spans"),
+        F.size(F.filter("found", lambda x: x["new"])).cast("long").alias("n_discovered"))

@@ -59,7 +59,7 @@ def windows(text: bytes):
         cut = line.rfind(b" ", at + 1, at + WINDOW + 1)
         if cut < 0:                                        # one long word
             cut = min(at + WINDOW, end)
-        yield MARK + line[at:cut + 1]
+        yield MARK + (line[at:cut + 1] if line[cut] == 32 else line[at:cut])
         at = cut
 
 
