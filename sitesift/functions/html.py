@@ -25,17 +25,23 @@ CT_WORD = r"^application/msword"
 LINK_TAGS = (("a", "href"), ("area", "href"), ("frame", "src"))
 # Characters decoded in link attribute values: amp, quot, gt, lt and numeric.
 LINK_ENTITIES = {"amp": "&", "quot": '"', "gt": ">", "lt": "<"}
-# ---------------------------------------------------------------------------
-
-WS = r"[ \t\n\f\r]"
+# Text stripping: comments, lower-case script and style blocks, any tag.
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT_STYLE = r"(?s)<(script|style).*?>.*?</(script|style).*?>"
 ANY_TAG = r"(?s)<.+?>"
+# ---------------------------------------------------------------------------
+
+WS = r"[ \t\n\f\r]"
 WS_RUN = WS + "+"
 STRIP_EDGES = r"^[ \t\n\f\r\x0B\x00]+|[ \t\n\f\r\x0B\x00]+$"
-# One entity: named, decimal or hexadecimal, terminated by ';'.
-ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-LINK_ENTITY = r"&(amp|quot|gt|lt|#[0-9]{1,7}|#x[0-9a-fA-F]{1,6});"
+# One entity: named, decimal or hexadecimal (leading zeros aside, up to 7 or 6
+# digits), terminated by ';'.
+ENTITY = r"&(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+LINK_ENTITY = r"&(amp|quot|gt|lt|#0*[0-9]{1,7}|#x0*[0-9a-fA-F]{1,6});"
+# The rest of a tag after its name, quoted values taken whole (possessive: the
+# JVM's matcher neither backtracks nor recurses), and one attribute of it.
+TAG_REST = r"(?:[ \t\n\f\r/](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?+>"
+ATTRIBUTE = r"[ \t\n\f\r/\"']([^ \t\n\f\r=>/\"']++)[ \t\n\f\r]*+=[ \t\n\f\r]*+(\"[^\"]*+\"|'[^']*+'|[^ \t\n\f\r\"'>]++)"
 # Blocks whose content is not markup for an HTML parser (links are not
 # looked for inside them).
 OPAQUE_BLOCKS = (r"(?is)<!--.*?-->|<script(?:" + WS + r"[^>]*)?>.*?</script" + WS + r"*>|<style(?:"
@@ -69,8 +75,9 @@ def _entity_text(body: Column, table: dict[str, str]) -> Column:
     """Decoded text of one entity body (the part between ``&`` and ``;``)."""
     lookup = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
     is_hex = body.startswith("#x") | body.startswith("#X")
-    num = (F.when(is_hex, F.conv(F.substring(body, 3, 16), 16, 10))
-           .when(body.startswith("#"), F.substring(body, 2, 16))).cast("bigint")
+    digits = F.regexp_replace(body, "^#[xX]?0*", "")
+    num = F.when(digits == "", F.lit("0")).when(is_hex, F.conv(digits, 16, 10)).when(
+        body.startswith("#"), digits).cast("bigint")
     decoded = F.when(body.startswith("#"), _codepoint_text(num)).otherwise(F.try_element_at(lookup, body))
     return F.coalesce(decoded, F.concat(F.lit("&"), body, F.lit(";")))
 
@@ -99,20 +106,40 @@ def unescape_link(c) -> Column:
     return _decode_with(_col(c), LINK_ENTITY, LINK_ENTITIES)
 
 
+def _remove(c: Column, pattern: str, closers: str) -> Column:
+    """Remove all matches of ``pattern``, each of which ends with a closer. What
+    follows the last closer cannot match and is set aside, so that openers
+    without an end are not searched for one from each of them."""
+    def cut(x):
+        head = F.regexp_extract(x, rf"(?s)^(.*(?:{closers}))", 1)
+        return F.concat(F.regexp_replace(head, pattern, ""), F.substring(x, F.length(head) + 1, F.length(x)))
+    return let(c, cut)
+
+
 def strip_comments(c) -> Column:
     """E5."""
-    return F.regexp_replace(_col(c), COMMENT, "")
+    return _remove(_col(c), COMMENT, "-->")
+
+
+def strip_blocks(c) -> Column:
+    """Script and style blocks removed (the first half of E6)."""
+    return _remove(_col(c), SCRIPT_STYLE, "</(?:script|style)[^>]*>")
 
 
 def strip_tags(c) -> Column:
     """script/style blocks, then every tag (no space put in), whitespace
     runs to one space, edges trimmed."""
-    x = F.regexp_replace(_col(c), SCRIPT_STYLE, "")
-    x = F.regexp_replace(x, ANY_TAG, "")
+    x = _remove(strip_blocks(c), ANY_TAG, ">")
     x = F.regexp_replace(x, WS_RUN, " ")
     return F.regexp_replace(x, STRIP_EDGES, "")
 
 
+def markup(html) -> Column:
+    """The page without comments and script/style blocks, where elements are
+    looked for: a title or body inside them is none."""
+    return strip_blocks(strip_comments(html))
+
+
 def strip_edges(c) -> Column:
     return F.regexp_replace(_col(c), STRIP_EDGES, "")
 
@@ -127,25 +154,25 @@ def element_inner_pattern(tag: str, attr: str | None = None, value: str | None =
     import re as _re
     t = _re.escape(tag)
     if attr is None:
-        open_ = rf"<{t}(?:{WS}[^>]*)?>"
+        open_ = rf"<{t}{TAG_REST}"
     else:
         a, v = _re.escape(attr), _re.escape(value or "")
         open_ = (rf"<{t}{WS}(?:[^>]*?{WS})?{a}{WS}*={WS}*"
-                 rf"(?:\"{v}\"[^>]*|'{v}'[^>]*|{v}(?:[ \t\n\f\r/][^>]*)?)>")
+                 rf"(?:\"(?-i:{v})\"[^>]*|'(?-i:{v})'[^>]*|(?-i:{v})(?:[ \t\n\f\r/][^>]*)?)>")
     end = rf"(?:</{t}{WS}*>|\z)" if to_end else rf"</{t}{WS}*>"
     return rf"(?is){open_}(.*?){end}"
 
 
 def select_all_inner(html, tag: str, attr: str | None = None, value: str | None = None) -> Column:
     """Inner HTML of all matching elements, joined (a string selector)."""
-    return F.array_join(F.regexp_extract_all(_col(html), F.lit(element_inner_pattern(tag, attr, value)), 1), "")
+    return F.array_join(F.regexp_extract_all(markup(html), F.lit(element_inner_pattern(tag, attr, value)), 1), "")
 
 
 def select_first_inner(html, tag: str, attr: str | None = None, value: str | None = None,
                        to_end: bool = False) -> Column:
     """Inner HTML of the first matching element, NULL when there is none."""
     p = element_inner_pattern(tag, attr, value, to_end)
-    return let(_col(html), lambda h: F.when(h.rlike(p), F.regexp_extract(h, p, 1)))
+    return let(markup(html), lambda h: F.when(h.rlike(p), F.regexp_extract(h, p, 1)))
 
 
 def extract_title(html, tag: str = "title", attr: str | None = None, value: str | None = None) -> Column:
@@ -156,7 +183,7 @@ def extract_title(html, tag: str = "title", attr: str | None = None, value: str
 
 def body_inner(html) -> Column:
     """Inner HTML of ``<body>``; an unclosed body runs to the end of the page."""
-    return F.regexp_extract(_col(html), element_inner_pattern("body", to_end=True), 1)
+    return F.regexp_extract(markup(html), element_inner_pattern("body", to_end=True), 1)
 
 
 def extract_content(html) -> Column:
@@ -169,10 +196,19 @@ def text_of(inner) -> Column:
     return decode_entities(strip_tags(strip_comments(_col(inner))))
 
 
-def _attr_values(html: Column, tag: str, attr: str) -> Column:
-    p = (rf"(?i)<{tag}(?:{WS}[^>]*?)?{WS}{attr}{WS}*={WS}*(\"[^\"]*\"|'[^']*'|[^ \t\n\f\r\"'>]+)")
-    raw = F.regexp_extract_all(html, F.lit(p), 1)
-    return F.transform(raw, _unquote)
+def _tags(html: Column, tag: str) -> Column:
+    """All opening tags of one name, as written; none begins after the last ``>``."""
+    closed = F.regexp_extract(html, "(?s)^(.*>)", 1)
+    return F.regexp_extract_all(closed, F.lit(rf"(?i)<{tag}{TAG_REST}"), F.lit(0))
+
+
+def _attribute(tag: Column, attr: str) -> Column:
+    """The value of the first attribute of that name, NULL when there is none."""
+    def pick(t):
+        pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(ATTRIBUTE), 1).alias("k"),
+                             F.regexp_extract_all(t, F.lit(ATTRIBUTE), 2).alias("v"))
+        return F.get(F.filter(pairs, lambda p: F.lower(p["k"]) == attr.lower()), F.lit(0))["v"]
+    return let(let(tag, pick), _unquote)
 
 
 def _unquote(v: Column) -> Column:
@@ -183,28 +219,22 @@ def extract_links(html) -> Column:
     """a@href, area@href, frame@src over the whole page, in that order;
     values starting with ``#`` dropped, the rest HTML-unescaped."""
     def from_clean(h):
-        vals = F.concat(*[_attr_values(h, t, a) for t, a in LINK_TAGS])
-        return F.transform(F.filter(vals, lambda v: ~v.startswith("#")), unescape_link)
-    return let(F.regexp_replace(_col(html), OPAQUE_BLOCKS, ""), from_clean)
+        def values(tag, attr):
+            return F.transform(_tags(h, tag), lambda t: _attribute(t, attr))
+        vals = F.concat(*[values(t, a) for t, a in LINK_TAGS])
+        return F.transform(F.filter(vals, lambda v: v.isNotNull() & ~v.startswith("#")), unescape_link)
+    closers = r"-->|</(?:[sS][cC][rR][iI][pP][tT]|[sS][tT][yY][lL][eE])[ \t\n\f\r]*>"
+    return let(_remove(_col(html), OPAQUE_BLOCKS, closers), from_clean)
 
 
 def attribute_of_first(html, tag: str, attr: str, match_attr: str | None = None,
                        match_value: str | None = None) -> Column:
     """Value of ``attr`` on the first ``<tag>`` (optionally the first whose
     ``match_attr`` equals ``match_value``), used as is; NULL when absent."""
-    import re as _re
-    h = _col(html)
-    if match_attr is None:
-        tag_p = rf"(?is)(<{_re.escape(tag)}(?:{WS}[^>]*)?>)"
-    else:
-        ma, mv = _re.escape(match_attr), _re.escape(match_value or "")
-        tag_p = (rf"(?is)(<{_re.escape(tag)}{WS}(?:[^>]*?{WS})?{ma}{WS}*={WS}*"
-                 rf"(?:\"{mv}\"|'{mv}'|{mv})[^>]*>)")
-    t = F.regexp_extract(h, tag_p, 1)
-    a = _re.escape(attr)
-    vp = rf"(?is){WS}{a}{WS}*={WS}*(\"[^\"]*\"|'[^']*'|[^ \t\n\f\r\"'>/]+)"
-    v = F.regexp_extract(t, vp, 1)
-    return F.when(t.rlike(vp), _unquote(v))
+    found = _tags(strip_comments(html), tag)
+    if match_attr is not None:
+        found = F.filter(found, lambda t: F.coalesce(_attribute(t, match_attr) == F.lit(match_value or ""), F.lit(False)))
+    return let(F.get(found, F.lit(0)), lambda t: _attribute(t, attr))
 
 
 def title_postprocess(title, pattern: str) -> Column:

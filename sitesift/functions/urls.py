@@ -20,8 +20,10 @@ URI_SPLIT = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(?:#(.*))?$
 # RFC 2396 characters (as the reference's URI parser accepts): unreserved,
 # reserved and %HH escapes, with at most one '#'. Anything else (spaces,
 # control and non-ASCII characters, <>"{}|\^`) makes the URL unparseable.
-URIC = r"(?:[A-Za-z0-9\-_.!~*'();/?:@&=+$,\[\]]|%[0-9A-Fa-f]{2})"
-VALID_URI = rf"^{URIC}*(?:#{URIC}*)?$"
+# Tested by single character classes, which the JVM matches without recursion.
+URIC = r"[A-Za-z0-9\-_.!~*'();/?:@&=+$,\[\]%]"
+URI_CHARACTERS = rf"^{URIC}*(?:#{URIC}*)?$"
+BAD_ESCAPE = r"%(?![0-9A-Fa-f][0-9A-Fa-f])"
 SCHEME_SYNTAX = r"^[A-Za-z][A-Za-z0-9+\-.]*$"
 # Authority: optional userinfo, host (or [IPv6]), optional port.
 AUTHORITY = r"^(?:([^@]*)@)?(\[[^\]]*\]|[^:]*)(?::([0-9]*))?$"
@@ -41,7 +43,9 @@ def _col(c) -> Column:
 def is_valid_uri(url) -> Column:
     u = _col(url)
     sch = F.regexp_extract(u, URI_SPLIT, 1)
-    return u.rlike(VALID_URI) & ((sch == "") | sch.rlike(SCHEME_SYNTAX))
+    port = F.regexp_extract(F.regexp_extract(u, URI_SPLIT, 2), AUTHORITY, 3)
+    return (u.rlike(URI_CHARACTERS) & ~u.rlike(BAD_ESCAPE) & ((sch == "") | sch.rlike(SCHEME_SYNTAX))
+            & ((port == "") | port.try_cast("int").isNotNull()))
 
 
 def uri_part(url, part: str) -> Column:
@@ -84,7 +88,7 @@ def _split(u: Column, valid: Column) -> Column:
         ok(F.when(u.rlike(r"^[^:/?#]+:"), raw["scheme"])).alias("scheme"),
         ok(_authority_part(auth, 1)).alias("userinfo"),
         ok(_authority_part(auth, 2)).alias("host"),
-        ok(_authority_part(auth, 3).cast("int")).alias("port"),
+        ok(_authority_part(auth, 3).try_cast("int")).alias("port"),
         ok(raw["path"]).alias("path"),
         ok(F.when(u.rlike(r"^[^#]*\?"), F.substring(raw["query"], 2, 1 << 30))).alias("query"),
         ok(F.when(u.contains("#"), raw["fragment"])).alias("fragment"))

@@ -53,15 +53,15 @@ DEFAULT_CONTENT = Selector("body", first=False)
 
 # ---------------------------------------------------------------- E8 (Python)
 class _ElementFinder(HTMLParser):
-    """Offsets of the inner HTML of the first element matching a selector,
-    with nesting of the same tag counted."""
+    """Offsets of the inner HTML of the outermost elements matching a selector
+    (the first, or all), with nesting of the same tag counted."""
 
-    def __init__(self, tag, attr, value):
+    def __init__(self, tag, attr, value, first):
         super().__init__(convert_charrefs=False)
         self.tag, self.attr, self.value = tag.lower(), attr, value
         self.depth = 0
-        self.start = None
-        self.end = None
+        self.first = first
+        self.found = []
         self._lines = None
 
     def feed_text(self, text):
@@ -78,7 +78,7 @@ class _ElementFinder(HTMLParser):
         return self._lines[line - 1] + col
 
     def handle_starttag(self, tag, attrs):
-        if self.end is not None:
+        if self.first and self.found and not self.depth:
             return
         if self.depth:
             if tag == self.tag:
@@ -86,36 +86,35 @@ class _ElementFinder(HTMLParser):
             return
         if tag == self.tag and (self.attr is None or dict(attrs).get(self.attr.lower()) == self.value):
             self.depth = 1
-            self.start = self._offset() + len(self.get_starttag_text() or "")
+            self.found.append([self._offset() + len(self.get_starttag_text() or ""), None])
 
     def handle_endtag(self, tag):
         if self.depth and tag == self.tag:
             self.depth -= 1
             if self.depth == 0:
-                self.end = self._offset()
+                self.found[-1][1] = self._offset()
 
 
-def _first_inner_py(text, sel: Selector):
+def _inner_py(text, sel: Selector):
+    """Inner HTML of the first match, or of all matches joined; NULL when there is none."""
     if text is None:
         return None
-    f = _ElementFinder(sel.tag, sel.attr, sel.value)
+    f = _ElementFinder(sel.tag, sel.attr, sel.value, sel.first)
     try:
         f.feed_text(text)
     except Exception:  # noqa: BLE001 - malformed markup: no element found
         return None
-    if f.start is None:
-        return None
-    return text[f.start:] if f.end is None else text[f.start:f.end]
+    return "".join(text[a:b] for a, b in f.found) if f.found else None
 
 
 def with_nested_selection(df: DataFrame, html_col: str, sel: Selector, out: str) -> DataFrame:
-    """Add ``out`` = inner HTML of the first element matching ``sel`` (NULL if
-    none), computed per Arrow batch in the executors."""
+    """Add ``out`` = inner HTML of what matches ``sel`` (NULL if nothing does),
+    computed per Arrow batch in the executors."""
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
 
     def run(batches):
         for pdf in batches:
-            pdf[out] = pd.Series([_first_inner_py(h, sel) for h in pdf[html_col]], index=pdf.index,
+            pdf[out] = pd.Series([_inner_py(h, sel) for h in pdf[html_col]], index=pdf.index,
                                  dtype=object)
             yield pdf
 
@@ -124,7 +123,7 @@ def with_nested_selection(df: DataFrame, html_col: str, sel: Selector, out: str)
 
 # ----------------------------------------------------------------- selection
 def _is_nested(sel: Selector) -> bool:
-    return sel.first and sel.tag.lower() in NESTABLE_TAGS
+    return sel.tag.lower() in NESTABLE_TAGS
 
 
 def _select_inner(html: Column, sel: Selector, to_end: bool) -> Column:
@@ -154,7 +153,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", title: Selector | At
         df = with_nested_selection(df, html_col, title, "__title_inner")
         tmp.append("__title_inner")
         t = F.when(F.col("__title_inner").isNotNull(),
-                   H.strip_edges(H.decode_entities(H.strip_tags(F.col("__title_inner"))))).otherwise(H.extract_title(h))
+                   H.strip_edges(H.decode_entities(H.strip_tags(F.col("__title_inner"))))).otherwise(
+                       H.extract_title(h) if title.first else F.lit(""))
     elif title.first:
         t = let(_select_inner(h, title, to_end=False), lambda inner: F.when(
             inner.isNotNull(), H.strip_edges(H.decode_entities(H.strip_tags(inner)))).otherwise(H.extract_title(h)))
@@ -167,7 +167,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", title: Selector | At
         df = with_nested_selection(df, html_col, content, "__content_inner")
         tmp.append("__content_inner")
         c = F.when(F.col("__content_inner").isNotNull(), H.text_of(F.col("__content_inner"))).otherwise(
-            H.extract_content(h))
+            H.extract_content(h) if content.first else F.lit(""))
     elif content.first:
         c = let(_select_inner(h, content, to_end=True), lambda inner: F.when(
             inner.isNotNull(), H.text_of(inner)).otherwise(H.extract_content(h)))
@@ -181,14 +181,3 @@ def extract_pages(pages: DataFrame, html_col: str = "html", title: Selector | At
 def dispatch(df: DataFrame, content_type_col: str = "content_type") -> DataFrame:
     """Add ``extractor`` (html, pdf, doc or unsupported)."""
     return df.withColumn("extractor", H.content_route(content_type_col))
-
-
-def extract_by_type(captures: DataFrame, **kw) -> DataFrame:
-    """E1 + E11: only the html route extracts; other types give NULL content
-    (pdf and doc need external single-machine tools and are not built)."""
-    d = dispatch(captures)
-    html_rows = extract_pages(d.where(F.col("extractor") == "html"), **kw)
-    other = d.where(F.col("extractor") != "html").drop("html").select(
-        "*", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("content"),
-        F.lit(None).cast("array<string>").alias("links"))
-    return html_rows.unionByName(other)

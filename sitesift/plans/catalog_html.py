@@ -40,8 +40,7 @@ def q_strip_tags(spark, sf):
 
 
 def q_decode_entities(spark, sf):
-    raw = H.select_all_inner("html", "footer")
-    return _pages(spark, sf).select("page_id", H.decode_entities(raw).alias("footer"))
+    return _pages(spark, sf).select("page_id", H.decode_entities("html").alias("decoded"))
 
 
 def q_extract_by_selector(spark, sf):
@@ -51,7 +50,8 @@ def q_extract_by_selector(spark, sf):
 def q_meta_attribute_title(spark, sf):
     return _pages(spark, sf).select(
         "page_id", H.attribute_of_first("html", "meta", "charset").alias("charset"),
-        H.attribute_of_first("html", "html", "lang").alias("lang"))
+        H.attribute_of_first("html", "html", "lang").alias("lang"),
+        H.attribute_of_first("html", "html", "lang", "lang", "fr").alias("french"))
 
 
 def q_title_postprocess(spark, sf):
@@ -93,15 +93,15 @@ def oracle() -> dict[str, str]:
         "extract_links": f"SELECT page_id, {S.extract_links('html')} AS links FROM pages",
         "strip_comments": f"SELECT page_id, {S.strip_comments(S.body_inner('html'))} AS body FROM pages",
         "strip_tags": f"SELECT page_id, {S.strip_tags(S.body_inner('html'))} AS text FROM pages",
-        "decode_entities": f"SELECT page_id, {S.decode_entities(S.select_all_inner('html', 'footer'))} AS footer "
-                           f"FROM pages",
+        "decode_entities": f"SELECT page_id, {S.decode_entities('html')} AS decoded FROM pages",
         "extract_by_selector": (
             f"SELECT page_id, CASE WHEN ({h1}) IS NOT NULL THEN "
             f"{S.strip_edges(S.decode_entities(S.strip_tags(h1)))} ELSE {S.extract_title('html')} END AS title, "
             f"CASE WHEN ({art}) IS NOT NULL THEN {S.text_of(art)} ELSE {S.extract_content('html')} END AS content "
             f"FROM pages"),
         "meta_attribute_title": f"SELECT page_id, {S.attribute_of_first('html', 'meta', 'charset')} AS charset, "
-                                f"{S.attribute_of_first('html', 'html', 'lang')} AS lang FROM pages",
+                                f"{S.attribute_of_first('html', 'html', 'lang')} AS lang, "
+                                f"{S.attribute_of_first('html', 'html', 'lang', 'lang', 'fr')} AS french FROM pages",
         "title_postprocess": f"SELECT page_id, {S.title_postprocess(S.extract_title('html'), TITLE_TAIL)} AS title "
                              f"FROM pages",
         "extract_pages": f"SELECT page_id, url, {S.extract_title('html')} AS title, "

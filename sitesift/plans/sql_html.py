@@ -1,12 +1,31 @@
 """DuckDB SQL expression builders for the HTML functions (oracle side).
 
-Same pinned patterns as :mod:`sitesift.functions.html`, re-expressed with
-DuckDB's regex (RE2) and list functions.
+The patterns are written here on their own, for DuckDB's linear-time matcher
+(RE2), so that they check those of the engine and do not repeat them.
 """
 
 from __future__ import annotations
 
-from ..functions import html as H
+import html.entities
+import re
+
+# ---------------------------------------------------------------------------
+# Fixed values (the behaviour both sides must show)
+SPACE = r"[ \t\n\f\r]"
+COMMENT = r"(?s)<!--.*?-->"
+BLOCK = r"(?s)<(?:script|style).*?>.*?</(?:script|style).*?>"
+TAG = r"(?s)<.+?>"
+EDGES = r"^[ \t\n\f\r\x0B\x00]+|[ \t\n\f\r\x0B\x00]+$"
+ENTITY = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});"
+LINK_ENTITY = r"&(amp|quot|gt|lt|#[0-9]+|#x[0-9a-fA-F]+);"
+NO_MARKUP = (r"(?is)<!--.*?-->|<script(?:[ \t\n\f\r][^>]*)?>.*?</script[ \t\n\f\r]*>"
+             r"|<style(?:[ \t\n\f\r][^>]*)?>.*?</style[ \t\n\f\r]*>")
+REST = r"(?:[ \t\n\f\r/](?:[^>\"']|\"[^\"]*\"|'[^']*')*)?>"
+ATTRIBUTE = r"[ \t\n\f\r/\"']([^ \t\n\f\r=>/\"']+)[ \t\n\f\r]*=[ \t\n\f\r]*(\"[^\"]*\"|'[^']*'|[^ \t\n\f\r\"'>]+)"
+LINKS = (("a", "href"), ("area", "href"), ("frame", "src"))
+HTML_TYPES = r"^(text/(html|xml)|application/(xhtml\+xml|xml))"
+# ---------------------------------------------------------------------------
+NAMED = {k: chr(v) for k, v in html.entities.name2codepoint.items()} | {"apos": "'"}
 
 
 def q(s: str) -> str:
@@ -23,9 +42,10 @@ def _map_literal(table: dict[str, str]) -> str:
 
 
 def _entity_text(b: str, table: dict[str, str]) -> str:
-    num = (f"CASE WHEN starts_with({b}, '#x') OR starts_with({b}, '#X') "
-           f"THEN CAST('0x' || substring({b}, 3, 16) AS BIGINT) "
-           f"WHEN starts_with({b}, '#') THEN CAST(substring({b}, 2, 16) AS BIGINT) END")
+    digits = f"ltrim(ltrim({b}, '#xX'), '0')"
+    num = (f"CASE WHEN NOT starts_with({b}, '#') THEN NULL WHEN length({digits}) > 7 THEN -1 WHEN {digits} = '' THEN 0 "
+           f"WHEN starts_with({b}, '#x') OR starts_with({b}, '#X') "
+           f"THEN CAST('0x' || {digits} AS BIGINT) ELSE CAST({digits} AS BIGINT) END")
     n = f"({num})"
     cp = (f"CASE WHEN {n} > 0 AND {n} <= 1114111 AND NOT ({n} BETWEEN 55296 AND 57343) "
           f"THEN chr(CAST({n} AS INTEGER)) END")
@@ -42,43 +62,51 @@ def _decode_with(x: str, pattern: str, table: dict[str, str]) -> str:
 
 
 def decode_entities(x: str) -> str:
-    return _decode_with(x, H.ENTITY, H.named_entities())
+    return _decode_with(x, ENTITY, NAMED)
 
 
 def unescape_link(x: str) -> str:
-    return _decode_with(x, H.LINK_ENTITY, H.LINK_ENTITIES)
+    return _decode_with(x, LINK_ENTITY, {k: NAMED[k] for k in ("amp", "quot", "gt", "lt")})
 
 
 def strip_comments(x: str) -> str:
-    return replace_all(x, H.COMMENT)
+    return replace_all(x, COMMENT)
 
 
 def strip_edges(x: str) -> str:
-    return replace_all(x, H.STRIP_EDGES)
+    return replace_all(x, EDGES)
 
 
 def strip_tags(x: str) -> str:
-    y = replace_all(x, H.SCRIPT_STYLE)
-    y = replace_all(y, H.ANY_TAG)
-    y = replace_all(y, H.WS_RUN, " ")
+    y = replace_all(x, BLOCK)
+    y = replace_all(y, TAG)
+    y = replace_all(y, SPACE + "+", " ")
     return strip_edges(y)
 
 
-def select_all_inner(x: str, tag: str, attr=None, value=None) -> str:
-    return f"array_to_string(regexp_extract_all({x}, {q(H.element_inner_pattern(tag, attr, value))}, 1), '')"
+def markup(x: str) -> str:
+    return replace_all(strip_comments(x), BLOCK)
 
 
-def select_first_inner(x: str, tag: str, attr=None, value=None, to_end=False) -> str:
-    p = q(H.element_inner_pattern(tag, attr, value, to_end))
-    return f"CASE WHEN regexp_matches({x}, {p}) THEN regexp_extract({x}, {p}, 1) END"
+def inner_pattern(tag: str, to_end: bool = False) -> str:
+    return rf"(?is)<{re.escape(tag)}{REST}(.*?)(?:</{tag}{SPACE}*>{'|\z' if to_end else ''})"
 
 
-def extract_title(x: str, tag="title", attr=None, value=None) -> str:
-    return strip_edges(decode_entities(strip_tags(select_all_inner(x, tag, attr, value))))
+def select_all_inner(x: str, tag: str) -> str:
+    return f"array_to_string(regexp_extract_all({markup(x)}, {q(inner_pattern(tag))}, 1), '')"
+
+
+def select_first_inner(x: str, tag: str, to_end=False) -> str:
+    p = q(inner_pattern(tag, to_end))
+    return f"CASE WHEN regexp_matches({markup(x)}, {p}) THEN regexp_extract({markup(x)}, {p}, 1) END"
+
+
+def extract_title(x: str, tag="title") -> str:
+    return strip_edges(decode_entities(strip_tags(select_all_inner(x, tag))))
 
 
 def body_inner(x: str) -> str:
-    return f"regexp_extract({x}, {q(H.element_inner_pattern('body', to_end=True))}, 1)"
+    return f"regexp_extract({markup(x)}, {q(inner_pattern('body', to_end=True))}, 1)"
 
 
 def text_of(inner: str) -> str:
@@ -94,25 +122,29 @@ def _unquote(v: str) -> str:
             f"THEN substring({v}, 2, length({v}) - 2) ELSE {v} END")
 
 
-def _attr_values(h: str, tag: str, attr: str) -> str:
-    ws = H.WS
-    p = (rf"(?i)<{tag}(?:{ws}[^>]*?)?{ws}{attr}{ws}*={ws}*(\"[^\"]*\"|'[^']*'|[^ \t\n\f\r\"'>]+)")
-    return f"list_transform(regexp_extract_all({h}, {q(p)}, 1), lambda v: {_unquote('v')})"
+def _tags(h: str, tag: str) -> str:
+    return f"regexp_extract_all({h}, {q('(?i)<' + tag + REST)})"
+
+
+def _attribute(t: str, attr: str) -> str:
+    pairs = f"list_zip(regexp_extract_all({t}, {q(ATTRIBUTE)}, 1), regexp_extract_all({t}, {q(ATTRIBUTE)}, 2))"
+    v = f"(list_filter({pairs}, lambda kv: lower(kv[1]) = {q(attr.lower())})[1])[2]"
+    return _unquote(v)
 
 
 def extract_links(x: str) -> str:
-    h = replace_all(x, H.OPAQUE_BLOCKS)
-    vals = "list_concat(" + ", ".join(_attr_values(h, t, a) for t, a in H.LINK_TAGS) + ")"
-    return f"list_transform(list_filter({vals}, lambda v: NOT starts_with(v, '#')), lambda v: {unescape_link('v')})"
+    h = replace_all(x, NO_MARKUP)
+    vals = "list_concat(" + ", ".join(f"list_transform({_tags(h, t)}, lambda t: {_attribute('t', a)})"
+                                      for t, a in LINKS) + ")"
+    return (f"list_transform(list_filter({vals}, lambda v: v IS NOT NULL AND NOT starts_with(v, '#')), "
+            f"lambda v: {unescape_link('v')})")
 
 
-def attribute_of_first(x: str, tag: str, attr: str) -> str:
-    ws = H.WS
-    tag_p = rf"(?is)(<{tag}(?:{ws}[^>]*)?>)"
-    vp = rf"(?is){ws}{attr}{ws}*={ws}*(\"[^\"]*\"|'[^']*'|[^ \t\n\f\r\"'>/]+)"
-    t = f"regexp_extract({x}, {q(tag_p)}, 1)"
-    v = f"regexp_extract({t}, {q(vp)}, 1)"
-    return f"CASE WHEN regexp_matches({t}, {q(vp)}) THEN {_unquote(v)} END"
+def attribute_of_first(x: str, tag: str, attr: str, match_attr: str | None = None, match_value: str = "") -> str:
+    found = _tags(strip_comments(x), tag)
+    if match_attr:
+        found = f"list_filter({found}, lambda t: coalesce({_attribute('t', match_attr)} = {q(match_value)}, FALSE))"
+    return _attribute(f"({found})[1]", attr)
 
 
 def title_postprocess(t: str, pattern: str) -> str:
@@ -121,9 +153,9 @@ def title_postprocess(t: str, pattern: str) -> str:
 
 
 def content_route(ct: str) -> str:
-    return (f"CASE WHEN regexp_matches({ct}, {q(H.CT_HTML)}) THEN 'html' "
-            f"WHEN regexp_matches({ct}, {q(H.CT_PDF)}) THEN 'pdf' "
-            f"WHEN regexp_matches({ct}, {q(H.CT_WORD)}) THEN 'doc' ELSE 'unsupported' END")
+    return (f"CASE WHEN regexp_matches({ct}, {q(HTML_TYPES)}) THEN 'html' "
+            f"WHEN regexp_matches({ct}, '^application/pdf') THEN 'pdf' "
+            f"WHEN regexp_matches({ct}, '^application/msword') THEN 'doc' ELSE 'unsupported' END")
 
 
 def captures_cte() -> str:

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from ..functions import urls as U
 from .sql_html import q
 
+
+class U:
+    """Fixed values of the URL rules, written for DuckDB's matcher."""
+    URI_SPLIT = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(?:#(.*))?$"
+    ONE = r"(?:[A-Za-z0-9\-_.!~*'();/?:@&=+$,\[\]]|%[0-9A-Fa-f]{2})"
+    VALID_URI = rf"^{ONE}*(?:#{ONE}*)?$"
+    SCHEME_SYNTAX = r"^[A-Za-z][A-Za-z0-9+\-.]*$"
+    FILE_PREFIX = r"(?i)^file://"
+    AUTHORITY = r"^(?:([^@]*)@)?(\[[^\]]*\]|[^:]*)(?::([0-9]*))?$"
+
 _PARTS = {"scheme": 1, "authority": 2, "path": 3, "query": 4, "fragment": 5}
 
 
 def is_valid(u: str) -> str:
     sch = f"regexp_extract({u}, {q(U.URI_SPLIT)}, 1)"
+    prt = f"regexp_extract(regexp_extract({u}, {q(U.URI_SPLIT)}, 2), {q(U.AUTHORITY)}, 3)"
     return (f"(regexp_matches({u}, {q(U.VALID_URI)}) AND ({sch} = '' OR "
-            f"regexp_matches({sch}, {q(U.SCHEME_SYNTAX)})))")
+            f"regexp_matches({sch}, {q(U.SCHEME_SYNTAX)})) AND (coalesce({prt}, '') = '' OR "
+            f"TRY_CAST({prt} AS INTEGER) IS NOT NULL))")
 
 
 def part(u: str, name: str) -> str:
@@ -47,8 +58,8 @@ def resolve(u: str, r: str) -> str:
     """B3, same rules as :func:`sitesift.functions.urls.resolve_relative`."""
     c_s, c_a, c_p, c_q, c_f = (part(u, k) for k in ("scheme", "authority", "path", "query", "fragment"))
     p_s, p_a, p_p = (part(r, k) for k in ("scheme", "authority", "path"))
-    c_host, c_user, c_port = _auth(c_a, 2), _auth(c_a, 1), f"CAST({_auth(c_a, 3)} AS INTEGER)"
-    p_host, p_port = _auth(p_a, 2), f"CAST({_auth(p_a, 3)} AS INTEGER)"
+    c_host, c_user, c_port = _auth(c_a, 2), _auth(c_a, 1), f"TRY_CAST({_auth(c_a, 3)} AS INTEGER)"
+    p_host, p_port = _auth(p_a, 2), f"TRY_CAST({_auth(p_a, 3)} AS INTEGER)"
     scheme = f"coalesce({c_s}, {p_s})"
     hst = f"(CASE WHEN {c_host} IS NOT NULL THEN {c_host} ELSE {p_host} END)"
     user = f"(CASE WHEN {c_host} IS NOT NULL THEN {c_user} END)"

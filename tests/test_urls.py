@@ -93,3 +93,12 @@ def test_scheme_filters(spark):
     urls = ["mailto:a@b", "javascript:x()", "HTTPS://h/", "rel.html", "file:///x"]
     assert _passes(spark, urls, C.scheme_http("url")) == ["HTTPS://h/", "rel.html"]
     assert _passes(spark, urls, C.scheme_file("url")) == ["rel.html", "file:///x"]
+
+
+def test_overlong_urls_and_ports_are_dropped_not_fatal(spark):
+    long_ok, long_bad = "http://h/" + "a" * 1_000_000, "data:image/png;base64," + "é" * 1_000_000
+    rows = [(long_ok,), (long_bad,), ("http://h:99999999999/a",), ("http://h/%zz",), ("http://h/%41%",), ("http://h:80/%41",)]
+    df = spark.createDataFrame(rows, "u string").repartition(3)
+    got = {r.u: (r.s.valid, r.s.port) for r in df.select("u", U.split_uri("u").alias("s")).collect()}
+    assert [got[u][0] for u, in rows] == [True, False, False, False, False, True]
+    assert got["http://h:80/%41"][1] == 80 and got["http://h:99999999999/a"][1] is None
