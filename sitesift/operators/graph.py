@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,7 +90,7 @@ def _write(df: DataFrame, path: str) -> None:
 
 
 # Rows per bucket of the crawl's static join tables; the bucket count is
-# derived from the table's size (capped at spark.sql.shuffle.partitions).
+# derived from the table's size.
 ROWS_PER_BUCKET = 2_000_000
 
 
@@ -106,14 +107,13 @@ def _write_bucketed(spark: SparkSession, df: DataFrame, path: str, key: str) ->
     """
     stage = path + "_stage"
     rows = _write_counted(df, stage)
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, min(cap, -(-rows // ROWS_PER_BUCKET)))
+    n = max(1, -(-rows // ROWS_PER_BUCKET))
     name = "sitesift_" + os.path.basename(os.path.dirname(path)).replace("-", "_") + "_" + os.path.basename(path)
     try:
         (spark.read.parquet(stage).repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
          .option("path", path).format("parquet").saveAsTable(name))
         return spark.table(name)
-    except Exception:  # noqa: BLE001 - no writable catalog: unbucketed files
+    except AnalysisException:        # the catalog refuses tables: unbucketed files
         return spark.read.parquet(stage)
 
 

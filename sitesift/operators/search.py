@@ -78,7 +78,7 @@ def _bounds(q: DataFrame):
     """One small driver action on the query table: sizes that decide
     broadcasts, the top-k bound and the width of the matched-term masks."""
     r = q.agg(F.coalesce(F.sum(F.size("qterms")), F.lit(0)).alias("n_terms"),
-              F.coalesce(F.max(F.col("offset") + F.col("limit")), F.lit(0)).alias("max_rank"),
+              F.coalesce(F.max(F.col("offset").cast("bigint") + F.col("limit")), F.lit(0)).alias("max_rank"),
               F.coalesce(F.sum(F.col("limit")), F.lit(0)).alias("n_results"),
               F.coalesce(F.max(F.size("qterms")), F.lit(0)).alias("max_q"),
               F.count(F.lit(1)).alias("n_queries")).first()
@@ -90,11 +90,11 @@ def _maybe_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:
 
 
 def _in_scope() -> Column:
-    return (F.col("fields").isNull() | F.array_contains("fields", "*")
+    return (F.col("fields").isNull() | (F.size("fields") == 0) | F.array_contains("fields", "*")
             | F.array_contains("fields", F.col("field")))
 
 
-def score_matches(index: Index, q: DataFrame, n_terms: int, max_q: int = 64) -> DataFrame:
+def score_matches(index: Index, q: DataFrame, n_terms: int, max_q: int = 64, n_queries: int = 0) -> DataFrame:
     """(query_id, doc_id, score, matched) for every matching document.
 
     OR queries join their terms with the postings. AND queries first take
@@ -141,7 +141,7 @@ def score_matches(index: Index, q: DataFrame, n_terms: int, max_q: int = 64) ->
     per_doc = hits.groupBy("query_id", "doc_id").agg(F.sum("part").alias("raw"), *masks)
     matched = sum((F.bit_count(F.col(f"m{w}")) for w in range(words)), F.lit(0))
     qm = _maybe_broadcast(q.select("query_id", "mode", F.size("qterms").alias("nq")),
-                          n_terms, BROADCAST_MAX_QUERY_TERMS)
+                          max(n_terms, n_queries), BROADCAST_MAX_QUERY_TERMS)
     return (per_doc.join(qm, "query_id")
             .where((F.col("mode") == "or") | (matched == F.col("nq")))
             .select("query_id", "doc_id",
@@ -158,7 +158,7 @@ def hit_totals(scored: DataFrame, q: DataFrame) -> DataFrame:
                     F.coalesce("max_score", F.lit(0.0)).alias("max_score")))
 
 
-def top_k(scored: DataFrame, q: DataFrame, max_rank: int, n_results: int) -> DataFrame:
+def top_k(scored: DataFrame, q: DataFrame, max_rank: int, n_results: int, n_queries: int = 0) -> DataFrame:
     """Rows ``offset <= rank < offset+limit`` of each query, rank 0-based.
 
     The literal bound on ``row_number`` lets Spark put a WindowGroupLimit
@@ -166,10 +166,11 @@ def top_k(scored: DataFrame, q: DataFrame, max_rank: int, n_results: int) -> Dat
     """
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     ranked = (scored.withColumn("rn", F.row_number().over(w))
-              .where(F.col("rn") <= F.lit(max(max_rank, 0))))
-    page = _maybe_broadcast(q.select("query_id", "offset", "limit"), n_results, BROADCAST_MAX_RESULT_ROWS)
+              .where(F.col("rn") <= F.lit(min(max(max_rank, 0), 2 ** 31 - 1))))
+    page = _maybe_broadcast(q.select("query_id", "offset", "limit"), max(n_results, n_queries),
+                            BROADCAST_MAX_RESULT_ROWS)
     return (ranked.join(page, "query_id")
-            .where((F.col("rn") > F.col("offset")) & (F.col("rn") <= F.col("offset") + F.col("limit")))
+            .where((F.col("rn") > F.col("offset")) & (F.col("rn") <= F.col("offset").cast("bigint") + F.col("limit")))
             .select("query_id", (F.col("rn") - 1).cast("int").alias("rank"), "doc_id", "score"))
 
 
@@ -182,16 +183,18 @@ def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOpti
     """
     q = normalize_queries(queries)
     n_terms, max_rank, n_results, max_q, n_queries = _bounds(q)
-    scored = score_matches(index, q, n_terms, max_q).drop("matched")
+    scored = score_matches(index, q, n_terms, max_q, n_queries).drop("matched")
     totals = _maybe_broadcast(hit_totals(scored, q), n_queries, BROADCAST_MAX_RESULT_ROWS)
-    page = top_k(scored, q, max_rank, n_results)
+    page = top_k(scored, q, max_rank, n_results, n_queries)
     page_b = _maybe_broadcast(page.join(totals, "query_id"), n_results, BROADCAST_MAX_RESULT_ROWS)
     if "part" in index.docs.columns:
         # stored documents in hash folders: joining on the folder lets Spark
         # prune the scan to the folders of this page of hits (DPP)
         from ..sources.index_store import doc_part
-        stored = index.docs.select("part", "doc_id", "title", "url", "data")
-        rows = stored.join(page_b.withColumn("part", doc_part("doc_id")), ["part", "doc_id"]).drop("part")
+        stored = index.docs.select("parts", "part", "doc_id", "title", "url", "data")
+        wanted = page_b.withColumn("parts", F.explode(F.array(*[F.lit(p) for p in index.parts])))
+        rows = (stored.join(wanted.withColumn("part", doc_part("doc_id", F.col("parts"))), ["parts", "part", "doc_id"])
+                .drop("parts", "part"))
     else:
         stored = index.docs.select("doc_id", "title", "url", "data")
         rows = stored.join(page_b, "doc_id")

@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..functions.html import attribute_of_first
 from ..operators.index import Index
 from ..session import scratch_path
 from ..sources.files import FILE_EXTENSION_MIME_TYPES, DEFAULT_MIME, extract_files, file_scan, mime_from_extension
@@ -22,15 +21,16 @@ PUBLIC_PREFIX = "https://docs.example.org/doc/"
 
 
 def q_file_scan(spark, sf):
-    """A4 over a file tree derived from ``pages``: every page body is written
-    as text under a folder per page language, then listed and read back."""
+    """A4 over a file tree derived from ``pages``: every page body is a ``.htm``
+    file of its own (one line), listed, routed by extension and read back."""
     root = scratch_path(spark, "files")
-    pages = read(spark, sf, "pages")
-    (pages.select(F.coalesce(attribute_of_first("html", "html", "lang"), F.lit("none")).alias("lang"),
-                  F.regexp_replace("html", r"[\r\n]+", " ").alias("value"))
-     .repartition("lang").write.partitionBy("lang").text(root))   # one file per language folder
-    files = file_scan(spark, root)
-    return extract_files(files).select("url", "extractor", "title")
+    pages = read(spark, sf, "pages").where(F.col("html").isNotNull())
+    # One value per row and per file, written as it is: no quoting, a separator that no page holds.
+    (pages.select(F.regexp_replace("html", r"[\r\n]+", " ").alias("value"))
+     .write.option("maxRecordsPerFile", 1).option("extension", "htm").option("sep", "\u0001").option("quote", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root))
+    files = extract_files(file_scan(spark, root))
+    return files.select(F.regexp_extract("url", r"\.([a-z]+)$", 1).alias("extension"), "extractor", "title")
 
 
 def q_mime_from_extension(spark, sf):
@@ -44,8 +44,9 @@ def q_index_sink(spark, sf):
     path = scratch_path(spark, "index")
     docs = documents_as_docs(spark, sf)
     lang = read(spark, sf, "documents").select("doc_id", "lang")
-    first = docs.join(lang.where(F.col("lang").isin("en", "de")), "doc_id", "left_semi")
-    rest = docs.join(lang.where(~F.col("lang").isin("en", "de")), "doc_id", "left_semi")
+    early = F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))
+    first = docs.join(lang.where(early), "doc_id", "left_semi")
+    rest = docs.join(lang.where(~early), "doc_id", "left_semi")
     write_index(Index.build(first), path, create=True)
     write_index(Index.build(rest), path, create=False)
     return read_index(spark, path).term_stats
@@ -98,6 +99,9 @@ def oracle() -> dict[str, str]:
     return {
         "mime_from_extension": f"SELECT page_id, coalesce(CASE {ext} {mime_cases} END, '{DEFAULT_MIME}') "
                                f"AS content_type FROM pages",
+        "file_scan": "SELECT 'htm' AS extension, 'html' AS extractor, "
+                     + SH.extract_title(r"regexp_replace(html, '[\r\n]+', ' ', 'g')") + " AS title FROM pages "
+                     "WHERE html IS NOT NULL",
         "index_sink": OI.sql_term_statistics(),
         "rewrite_uri": (f"SELECT CAST(doc_id AS BIGINT) AS doc_id, '{PUBLIC_PREFIX}' || CAST(doc_id AS VARCHAR) "
                         f"AS url FROM documents"),

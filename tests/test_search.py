@@ -109,3 +109,31 @@ def test_index_batch_reports_indexed_count(spark):
     path = scratch_path(spark, "test-count")
     res = write_index(Index.build(docs), path)
     assert res.batch == 0 and res.indexed_documents == docs.count()
+
+
+def test_index_spreads_beyond_64_tasks_publishes_last_and_compacts(spark, tmp_path):
+    import os
+    from sitesift.sources.index_store import compact_index
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("u"), "id").alias("url"),
+                                   F.lit("t").alias("title"), F.concat_ws(" ", F.lit("word"), "id").alias("data"))
+    path = str(tmp_path / "index")
+    write_index(Index.build(docs.where("doc_id % 3 > 0")), path, partitions=100)
+    folders = os.listdir(f"{path}/docs/batch=0/parts=128")
+    assert sum(f.startswith("part=") for f in folders) > 100
+    write_index(Index.build(docs.where("doc_id % 3 = 0")), path, create=False, partitions=4)
+    os.makedirs(f"{path}/docs/batch=7/parts=1/part=0")          # a writer that did not come to publish
+    index = read_index(spark, path)
+    q = se.query_table(spark, [(1, "word 33"), (2, "word 34")], mode="and")
+    found = {(r.query_id, r.doc_id, r.url) for r in se.search(index, q).collect()}
+    assert found == {(1, 33, "u33"), (2, 34, "u34")} and index.docs.count() == 600
+    assert compact_index(spark, path, partitions=2).indexed_documents == 600
+    assert {(r.query_id, r.doc_id, r.url) for r in se.search(read_index(spark, path), q).collect()} == found
+    assert not any(os.path.exists(f"{path}/docs/batch={b}") for b in (0, 1))
+
+
+def test_paging_beyond_int_and_empty_fields(spark):
+    docs = spark.createDataFrame([(1, "u", "t", "foo bar")], "doc_id long, url string, title string, data string")
+    q = spark.createDataFrame([(1, ["foo"], "or", [], 1, 2147483647), (2, ["foo"], "or", [], 0, 2147483647)],
+                              "query_id int, terms array<string>, mode string, fields array<string>, "
+                              "offset int, limit int")
+    assert [r.query_id for r in se.search(Index.build(docs), q).collect()] == [2]
