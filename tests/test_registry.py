@@ -1,10 +1,15 @@
+import os
+import subprocess
+import sys
+
 import __spark_entry__ as E
+from sitesift.plans import registry
 
 from .conftest import SF001
 
 # Queries without a SQL equivalent, each covered by a pytest against brute
-# force or a fixture (test_crawl, test_sources).
-ROWS_ONLY = {"crawl_etag", "file_scan"}
+# force (test_crawl).
+ROWS_ONLY = {"crawl_etag"}
 
 SURVEY_IDS = ("seed_frontier page_scan status_route file_scan mime_from_extension index_sink rewrite_uri "
               "uri_split drop_empty_and_file_children resolve_relative_uri strip_fragment append_index_document "
@@ -19,7 +24,8 @@ SURVEY_IDS = ("seed_frontier page_scan status_route file_scan mime_from_extensio
 
 
 def test_every_survey_operator_is_registered_with_an_oracle():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = registry.queries(), registry.oracle_sql()
+    assert set(q) <= set(E.queries()) and set(o) <= set(E.oracle_sql())
     assert set(SURVEY_IDS) <= set(q)
     assert set(o) <= set(q)
     assert set(q) - set(o) == ROWS_ONLY
@@ -37,3 +43,21 @@ def test_small_queries_run_at_smoke_scale(spark):
     q = E.queries()
     for name in ("extract_pages", "filter_chain", "postings", "status_route"):
         assert q[name](spark, SF001).count() > 0
+
+
+def test_entry_imports_without_the_training_data_operators():
+    code = """
+import sys
+
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name in ("corpus_pipeline", "sitesift.llm"):
+            raise ModuleNotFoundError(name, name=name)
+
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as E
+from sitesift.plans import registry
+assert set(E.queries()) == set(registry.queries()) and set(E.oracle_sql()) == set(registry.oracle_sql())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
