@@ -163,14 +163,32 @@ def element_inner_pattern(tag: str, attr: str | None = None, value: str | None =
     return rf"(?is){open_}(.*?){end}"
 
 
+def _elements(html, tag: str, attr: str | None, value: str | None) -> Column:
+    """(whole, inner) of every matching element and of every comment, script and
+    style block: these are matched first, so that no element is found inside
+    them, while a comment inside an element stays part of it."""
+    element = element_inner_pattern(tag, attr, value).removeprefix("(?is)")
+    p = F.lit(f"{OPAQUE_BLOCKS}|{element}")
+    closers = rf"-->|</(?i:script|style|{tag}){WS}*>"
+
+    def found(h):
+        head = F.regexp_extract(h, rf"(?s)^(.*(?:{closers}))", 1)      # what follows cannot match
+        return let(head, lambda x: F.arrays_zip(F.regexp_extract_all(x, p, F.lit(0)).alias("whole"),
+                                                F.regexp_extract_all(x, p, F.lit(1)).alias("inner")))
+    return F.filter(let(_col(html), found), lambda e: ~e["whole"].rlike("(?i)^<(?:!--|(?:script|style)[ \\t\\n\\f\\r>])"))
+
+
 def select_all_inner(html, tag: str, attr: str | None = None, value: str | None = None) -> Column:
     """Inner HTML of all matching elements, joined (a string selector)."""
-    return F.array_join(F.regexp_extract_all(markup(html), F.lit(element_inner_pattern(tag, attr, value)), 1), "")
+    return F.array_join(F.transform(_elements(html, tag, attr, value), lambda e: e["inner"]), "")
 
 
 def select_first_inner(html, tag: str, attr: str | None = None, value: str | None = None,
                        to_end: bool = False) -> Column:
-    """Inner HTML of the first matching element, NULL when there is none."""
+    """Inner HTML of the first matching element, NULL when there is none. With
+    ``to_end`` (content, which loses its comments anyway) looked for in the markup."""
+    if not to_end:
+        return F.get(_elements(html, tag, attr, value), F.lit(0))["inner"]
     p = element_inner_pattern(tag, attr, value, to_end)
     return let(markup(html), lambda h: F.when(h.rlike(p), F.regexp_extract(h, p, 1)))
 

@@ -92,11 +92,19 @@ def inner_pattern(tag: str, to_end: bool = False) -> str:
     return rf"(?is)<{re.escape(tag)}{REST}(.*?)(?:</{tag}{SPACE}*>{'|\z' if to_end else ''})"
 
 
+def _elements(x: str, tag: str) -> str:
+    p = q(NO_MARKUP + "|" + inner_pattern(tag).removeprefix("(?is)"))
+    both = f"list_zip(regexp_extract_all({x}, {p}, 0), regexp_extract_all({x}, {p}, 1))"
+    return f"list_filter({both}, lambda e: NOT regexp_matches(e[1], '(?i)^<(!--|script[^a-z]|style[^a-z])'))"
+
+
 def select_all_inner(x: str, tag: str) -> str:
-    return f"array_to_string(regexp_extract_all({markup(x)}, {q(inner_pattern(tag))}, 1), '')"
+    return f"array_to_string(list_transform({_elements(x, tag)}, lambda e: e[2]), '')"
 
 
 def select_first_inner(x: str, tag: str, to_end=False) -> str:
+    if not to_end:
+        return f"(({_elements(x, tag)})[1])[2]"
     p = q(inner_pattern(tag, to_end))
     return f"CASE WHEN regexp_matches({markup(x)}, {p}) THEN regexp_extract({markup(x)}, {p}, 1) END"
 
