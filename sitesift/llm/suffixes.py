@@ -46,7 +46,7 @@ LEAST = 50
 GRAM = 20
 WINDOW = LEAST - GRAM + 1            # grams of which one is kept
 SIDE = LEAST - GRAM                  # words of context on each side
-CROWDED = 256
+CROWDED = 32
 CHUNK = 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 

@@ -44,7 +44,7 @@ def corpus(words):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("crowded", [256, 5])
+@pytest.mark.parametrize("crowded", [32, 5])
 def test_every_passage_is_found(spark, words, monkeypatch, crowded):
     monkeypatch.setattr(suffixes, "CROWDED", crowded)
     rows = corpus(words)
