@@ -14,8 +14,8 @@ from .catalog_urls import chain_sql
 from .tables import DOC_LINK_RULE, DOC_SITE, captures, doc_graph, read
 
 # Fixed parameters: a crawl of the captured sites (spam hosts excluded),
-# seeded with every captured URL, one level of links deep.
-PAGES_CRAWL = CrawlConfig(include_hosts=None, exclude_documents=(r"spam-farm\.", r"cheap-pills\."), max_depth=1)
+# seeded with every captured URL, run to its fixpoint.
+PAGES_CRAWL = CrawlConfig(include_hosts=None, exclude_documents=(r"spam-farm\.", r"cheap-pills\."))
 DOCS_CRAWL = CrawlConfig(include_hosts=None)
 DOCS_SHALLOW = CrawlConfig(include_hosts=None, max_depth=2)
 

@@ -55,6 +55,18 @@ def test_fixture_graph_max_depth(spark):
     assert [u for u, _ in kept] == ["http://h/a", "http://h/b", "http://h/c"]
 
 
+def test_registered_page_crawl_runs_to_its_fixpoint(spark):
+    rows = [(i, f"http://h/{i}", _page(str(i + 1)), 200, None, None) for i in range(4)]
+    rows += [(4, "http://h/4", "", 301, None, "http://h/5"), (5, "http://h/5", "", 301, None, "http://h/6"),
+             (6, "http://h/6", _page("http://spam-farm.x/y", "0"), 200, None, None)]
+    caps = spark.createDataFrame([(p, u, h, st, "text/html", et, rd) for p, u, h, st, et, rd in rows],
+                                 "page_id long, url string, html string, status int, content_type string, "
+                                 "etag string, redirect_to string")
+    res = crawl(spark, ["http://h/0"], caps, cc.PAGES_CRAWL)
+    fetched = sorted((r.url, r.depth, r.route) for r in res.fetched(spark).collect())
+    assert fetched == [(f"http://h/{i}", i, "redirect" if i in (4, 5) else "success") for i in range(7)]
+
+
 def test_empty_start_urls_raise(spark):
     import pytest
     with pytest.raises(ValueError):
