@@ -4,8 +4,9 @@ A page becomes a flat list of elements in page order. Elements that are
 boilerplate by tag, role or class are set aside. Every paragraph earns points
 for its length and commas and passes them to its parent, grandparent and so on
 with falling weight; a container's score is discounted by the share of its text
-that is links. The best container is kept together with siblings that score
-well or read like prose. Lists and boxes inside it that are mostly links go.
+that is links. The article or main element around the best container is kept as
+a whole; without one, the best container is kept with all on the way up to the
+body that holds paragraphs and few links. Lists and boxes inside that are mostly links go.
 
 At scale: one narrow pass in Arrow batches, page by page, linear in a page's
 length (no regular expression backtracks over a page, no recursion).
@@ -226,12 +227,14 @@ def main_text(html: str | None) -> str:
         links[up] += links[i]
         commas[up] += commas[i]
     score: dict[int, float] = {}
+    earned = [False] * n
     for i in range(1, n):
         tag = page.tag[i]
         prose = tag in PARAGRAPHS or tag in ("div", "section", "article", "main", "body") and own[i] >= LEAST_PARAGRAPH
         size, seps = (length[i], commas[i]) if tag in PARAGRAPHS else (own[i], own[i] // 60)
         if page.dropped[i] or not prose or size < LEAST_PARAGRAPH:
             continue
+        earned[i] = True
         points = 1 + seps + min(size / 100, 3)
         up, level = (page.parent[i] if tag in PARAGRAPHS else i), 0
         while up and level < 5:
@@ -240,30 +243,49 @@ def main_text(html: str | None) -> str:
             score[up] += points / (1, 2, 6, 9, 12)[level]
             up, level = page.parent[up], level + 1
     ranked = {i: s * (1 - links[i] / max(1, length[i])) for i, s in score.items()}
-    kept = set()
+    kept, path = set(), []
     if ranked:
         best = max(ranked, key=lambda i: (ranked[i], -i))
-        kept.add(best)
         bar = max(10, 0.2 * ranked[best])
-        siblings = [i for i in range(1, n) if page.parent[i] == page.parent[best] and i != best
-                    and not page.dropped[i]] if page.parent[best] else []
-        for i in siblings:
-            dense = links[i] / max(1, length[i])
-            prose = page.tag[i] == "p" and (length[i] > 80 and dense < 0.25 or 0 < length[i] <= 80 and dense == 0)
-            title = page.tag[i] in HEADINGS and i < best and dense == 0
-            if ranked.get(i, 0) >= bar or prose or title:
-                kept.add(i)
+        prose = list(earned)                           # elements that hold a paragraph of points
+        for i in range(n - 1, 0, -1):
+            prose[page.parent[i]] = prose[page.parent[i]] or prose[i]
+        path = [best]
+        while path[-1]:
+            path.append(page.parent[path[-1]])
+        tops = [i for i in path if page.tag[i] in ("article", "main") and not page.dropped[i]]
+        # The article is kept as a whole, or main if it holds articles beside it.
+        whole = next((i for i in tops if page.tag[i] == "main"), tops[0]) if tops else best
+        kept.add(whole)
+        beside: dict[int, list[int]] = {}
+        for i in range(1, n):
+            beside.setdefault(page.parent[i], []).append(i)
+        for step in path[path.index(whole):-1]:
+            siblings = [i for i in beside[page.parent[step]] if i != step and not page.dropped[i]]
+            taken = []
+            for i in siblings:
+                dense = links[i] / max(1, length[i])
+                paragraph = page.tag[i] == "p" and (length[i] > 80 and dense < 0.25 or 0 < length[i] <= 80 and dense == 0)
+                scored = step == whole and ranked.get(i, 0) >= bar
+                container = prose[i] and dense < 0.25 and (not tops or page.tag[i] in ("article", "main"))
+                if scored or container or paragraph and (step == whole or not tops):
+                    taken.append(i)
+            last = max([step, *taken])
+            kept.update(taken)
+            if step == whole or taken:                 # with the headings before them
+                kept.update(i for i in siblings if i < last and page.tag[i] in HEADINGS and not links[i])
     else:
         for wanted in ("article", "main", "body"):
             kept = {i for i in range(n) if page.tag[i] == wanted and not page.dropped[i] and length[i]}
             if kept:
                 break
         kept = kept or {0}
+    exempt = kept.union(path)
     inside, cleaned = [False] * n, [False] * n
     for i in range(n):
         up = page.parent[i]
         cleaned[i] = (i > 0 and cleaned[up]) or page.tag[i] in ("ul", "ol", "div", "section", "table", "dl") \
-            and i not in kept and links[i] > 0.5 * length[i]
+            and i not in exempt and links[i] > 0.5 * length[i]
         inside[i] = i in kept or (i > 0 and inside[up])
     blocks, line = [], []
     for i, t in pieces:

@@ -48,6 +48,28 @@ def test_link_lists_inside_go():
     assert main_text(html) == f"{PROSE}\n\n{OTHER}"
 
 
+LONG = PROSE + " " + "It goes on, with more of the same, for as long as it takes. " * 4
+
+
+@pytest.mark.parametrize("inner", [
+    "<article>{}{}{}</article>", "<main>{}{}{}</main>", "<div>{}{}{}</div>", "{}{}{}",
+    "<main><div><article>{}</article></div><div><article>{}</article></div><div><article>{}</article></div></main>",
+    "<div><div><section>{}{}</section></div></div><div>{}</div>"])
+def test_long_articles_over_nested_sections(inner):
+    parts = [[f"Part {k}, paragraph {i}. {LONG}".strip() for i in range(8)] for k in range(3)]
+    html = ["<section><div>" + "".join(f"<p>{t}</p>" for t in part) + "</div></section>" for part in parts]
+    nav = "<nav><a href=/>Home</a></nav><div><a href=a>One thing, and another</a> <a href=b>More, much more of it</a></div>"
+    text = main_text(page(nav + inner.format(*html) + "<footer>us, all rights, always, reserved here</footer>"))
+    assert text == "\n\n".join(t for part in parts for t in part)
+
+
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>", "{}"])
+def test_the_lead_beside_a_long_body_stays(inner):
+    body = [f"Paragraph {i}. {LONG}".strip() for i in range(20)]
+    html = f"<div class=lead><p>{PROSE}</p></div><h2>Part</h2><div>" + "".join(f"<p>{t}</p>" for t in body) + "</div>"
+    assert main_text(page(inner.format(html))) == "\n\n".join([PROSE, "Part", *body])
+
+
 def test_short_articles_fall_back():
     assert main_text(page("<nav>menu</nav><article><h1>By</h1><p>So.</p></article><footer>f</footer>")) == "By\n\nSo."
     assert main_text("just text, no markup &amp; no page") == "just text, no markup & no page"
