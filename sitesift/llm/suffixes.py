@@ -4,17 +4,14 @@ Texts are sequences of words. Of every ``LEAST - GRAM + 1`` neighbouring word
 ``GRAM``-grams, the one of smallest hash is kept (a minimiser), so that equal
 passages keep equal suffixes, and every passage of ``LEAST`` words keeps at
 least one. The suffixes whose gram stands in more than one text are sorted by
-gram and following words; neighbours from different texts are compared and
-their match is extended right and left, word by word, up to the words needed to
-prove ``LEAST``. The same is done in the order of the preceding words, and rows
-that still have no match in a gram of several texts are compared with all of
-them, so no passage is lost. Overlapping matches join into longer passages.
+gram; each is compared with all others of its gram, and their match is extended
+right and left, word by word, up to the words needed to prove ``LEAST``, so no
+passage is lost. Overlapping matches join into longer passages.
 
 Output: passages of ``LEAST`` words or more that repeat across documents, as
 word offsets; and the part of them that is cut when passages are deduplicated:
-a match is cut from the document of larger (doc_id, text hash). Besides its
-neighbours, each suffix is compared with the smallest document among all that
-neighbours link, so that little more than the first occurrence stays.
+a match is cut from the document of larger (doc_id, text hash), so that only
+the first occurrence stays.
 
 At scale: equal texts are collapsed first (they repeat as wholes). Only grams
 that stand in two texts are followed up; the texts are shuffled once to fetch
@@ -40,7 +37,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .components import contract
 
 LEAST = 50
 GRAM = 20
@@ -141,44 +137,29 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compare(key, doc, th, pos, left, right):
-    """(row, start, end, kept) for matches of at least ``LEAST`` words among the
-    suffixes of whole grams; ``kept`` where the row's document is the smaller."""
-    matches = []
-
-    def match(i, j):
-        back, on = _same(left[i], left[j]), _same(right[i], right[j])
-        ok = (back + on >= SIDE) & (th[i] != th[j])
-        matches.append((i[ok], j[ok], back[ok], on[ok]))
-        return i[ok]
-
+    """(row, start, end, kept) of the suffixes of whole grams, sorted by gram, text and
+    place, each compared with all others of its gram. Matches of at least ``LEAST`` words
+    all hold the gram, so a row has one span over all of them (kept), and one over those
+    with smaller documents (not kept)."""
+    once = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (th[1:] != th[:-1]) | (pos[1:] != pos[:-1])])
+    key, doc, th, pos, left, right = (c[once] for c in (key, doc, th, pos, left, right))
     n = len(key)
-    done = np.zeros(n, bool)
-    for near in (right, left):                         # neighbours from another text, in either order
-        order = np.lexsort((doc, th, near.view(f"S{4 * SIDE}").ravel(), key))
-        k, t = key[order], th[order]
-        new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
-        starts = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        before = starts[run] - 1
-        after = np.r_[starts[1:], n][run]
-        for other in (before, after):
-            ok = (other >= 0) & (other < n)
-            ok[ok] = k[ok] == k[other[ok]]
-            done[match(order[ok], order[other[ok]])] = True
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    for a, b in zip(begin, np.r_[begin[1:], n], strict=True):
-        if b - a > 2 and not done[a:b].all():          # not found beside it: against the whole gram
-            for i in np.flatnonzero(~done[a:b]) + a:
-                match(np.full(b - a, i), np.arange(a, b))
-    order = np.lexsort((th, doc))
     rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    i, j = (np.concatenate(c) for c in list(zip(*matches, strict=True))[:2])
-    if len(i):                                         # and each against its class's smallest document
-        node, smallest = contract(rank[i], rank[j])
-        match(order[node], order[smallest])
-    i, j, back, on = (np.concatenate(c) for c in zip(*matches, strict=True))
-    return i, pos[i] - back, pos[i] + GRAM + on, rank[i] < rank[j]
+    rank[np.lexsort((th, doc))] = np.arange(n)
+    back, on = np.full((2, n), -1), np.full((2, n), -1)        # of all matches, and with smaller documents
+    i, step = np.arange(n - 1), 1
+    while len(i := i[i + step < n]) and len(i := i[key[i] == key[i + step]]):
+        j = i + step
+        b, o = _same(left[i], left[j]), _same(right[i], right[j])
+        ok = (b + o >= SIDE) & (th[i] != th[j])
+        x, y, b, o = i[ok], j[ok], b[ok], o[ok]
+        first = rank[x] < rank[y]
+        for of, rows, some in ((0, x, slice(None)), (0, y, slice(None)), (1, x, ~first), (1, y, first)):
+            r = rows[some]
+            back[of, r], on[of, r] = np.maximum(back[of, r], b[some]), np.maximum(on[of, r], o[some])
+        step += 1
+    of, row = np.nonzero(on >= 0)
+    return once[row], pos[row] - back[of, row], pos[row] + GRAM + on[of, row], of == 0
 
 
 def matched(found: DataFrame) -> DataFrame:
@@ -210,7 +191,7 @@ def matched(found: DataFrame) -> DataFrame:
         if held is not None:
             yield result(held)
 
-    dealt = found.repartition(F.col("key")).sortWithinPartitions("key", "right", "left", "th", "pos")
+    dealt = found.repartition(F.col("key")).sortWithinPartitions("key", "th", "pos")
     return dealt.mapInArrow(run, "doc_id long, th long, start int, end int, kept boolean")
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,41 @@ def test_every_passage_is_found(spark, words, monkeypatch, crowded):
     assert missed <= 0.02 * total and total > 5000
 
 
+def near_copies(words, share):
+    """12 copies of a text with a share of the words replaced, beside one unlike them."""
+    r = random.Random(11)
+    rows = []
+    for _ in range(25):
+        text = [r.choice(words) for _ in range(400)]
+        rows += [[w if r.random() > share else f"{w}x{r.random()}" for w in text] for _ in range(12)]
+    return list(enumerate([*rows, [r.choice(words) for _ in range(200)]]))
+
+
+@pytest.mark.parametrize("crowded", [32, 5])
+def test_edited_near_copies_lose_no_word(spark, words, monkeypatch, crowded):
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
+    rows = near_copies(words, 0.015)
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in suffixes.repeats(df).collect()}
+    assert {d: [(x.start, x.end) for x in r.spans] for d, r in got.items()} == covered(rows, suffixes.LEAST)
+    first, may = {}, {}
+    for d, t in rows:
+        for i in range(len(t) - suffixes.LEAST + 1):
+            if first.setdefault(tuple(t[i:i + suffixes.LEAST]), d) != d:
+                may.setdefault(d, set()).update(range(i, i + suffixes.LEAST))
+    assert {d: {i for x in r.cut for i in range(x.start, x.end)} for d, r in got.items() if r.cut} == may
+
+
+def test_a_longer_match_beside_neither_neighbour():
+    # T, A (all of the right), B (20 on the left), C (15 on each side); neighbours of T in either order are A and B.
+    right = [[*range(1, 31)], [*range(1, 31)], [5000] * 30, [*range(1, 16), *[4000] * 15]]
+    left = [[*range(101, 131)], [9000] * 30, [*range(101, 121), *[6000] * 10], [*range(101, 116), *[7000] * 15]]
+    n = len(left)
+    i, start, end, _ = suffixes.compare(np.zeros(n, np.int64), np.arange(n), np.arange(n), np.full(n, 100, np.int32),
+                                        np.array(left, np.uint32), np.array(right, np.uint32))
+    assert min(start[i == 0]) == 85 and max(end[i == 0]) == 150
+
+
 def test_edges(spark, edge_docs, no_docs):
     docs = edge_docs.withColumn("th", F.lit("mine")).withColumn("key", F.lit(1)).withColumn("at", F.lit(1))
     assert suffixes.repeats(docs).count() == 0            # only short texts and repeats within one document
