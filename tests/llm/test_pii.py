@@ -54,6 +54,17 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(got[100 + i].spans == "" for i in range(9)) and got[0].spans == "email:22:32"
 
 
+def test_identifiers_with_spaces_and_long_ones_are_discovered(spark):
+    rows = [(i, f"you may call phone: +1 609 555 47{i:02}, now") for i in range(20)]
+    rows += [(100 + i, f"please write to mail: u{i}@ex{i}.org, now") for i in range(20)]
+    long = "b" * 70 + "@intranet"
+    rows += [(200, "you may call phone: (017) 555-7713 now"), (201, "you may call phone: 0049 30 1234567."),
+             (202, f"please write to mail: {long} now"), (203, "elsewhere (017) 555-7713")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in (200, 201, 202, 203)] == ["phone:20:34", "phone:20:35", "email:22:101", "phone:10:24"]
+    assert got[0] == "phone:20:35" and got[100] == "email:22:32"
+
+
 def test_long_texts_neither_recurse_nor_stall(spark):
     texts = ["a" * 300_000, "a." * 150_000 + "@", "x@" + "a." * 100_000 + "b", "1" * 200_000, "1 " * 100_000,
              "1." * 100_000, "+" + "(" * 200_000, "+1" * 100_000, "@" * 200_000]
