@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maintext, mixing, pii, quality, sharding, simhash, suffixes, topk, toxicity
+from . import (decontaminate, lexical, maintext, mixing, neighbours, pii, quality, repair, sharding, simhash, suffixes,
+               topk, toxicity)
 from .common import staged, table
 
 
@@ -64,6 +65,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_mixing": op2_mixing,
@@ -75,9 +89,14 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_neighbours": op11_neighbours,
+    "op12_lexical": op12_lexical,
+    "op13_repair": op13_repair,
 }
 
 ORACLE = {
     "op2_mixing": mixing.SQL,
     "op4_topk": topk.SQL,
+    "op12_lexical": lexical.SQL,
+    "op13_repair": repair.SQL,
 }
