@@ -6,6 +6,8 @@ they run inside whole-stage codegen with no Python in the task.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from .common import let
 # Fixed values of the engine (pinned by us, see SURVEY F2/G9/G10).
 # A token is a maximal run of Unicode letters and digits, lower-cased.
 TOKEN_PATTERN = r"([\p{L}\p{N}]+)"
+# The other analyzers: runs of letters, runs of anything but white space.
+ANALYZERS = {"standard": TOKEN_PATTERN, "letter": r"(\p{L}+)", "whitespace": r"([^ \t\n\x0B\f\r]+)"}
+# A stock English stop list.
+STOP_WORDS_EN = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there "
+                      "these they this to was will with".split())
 # Word runs and non-word runs, used to cut a fragment into pieces.
 RUN_PATTERN = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
 # An extract is the first 201 characters of a text longer than 200.
@@ -33,9 +40,49 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@dataclass(frozen=True)
+class Analyzer:
+    """how text becomes terms. An index keeps its analyzer with its tables, and
+    queries against it are analysed by that one.
+
+    ``kind``: standard (letters and digits), letter or whitespace. Stop words are
+    no terms and do not count for a field's length, but they keep their place, so
+    that a phrase holds across them.
+    """
+    kind: str = "standard"
+    lower: bool = True
+    stop_words: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if self.kind not in ANALYZERS:
+            raise ValueError(f"unknown analyzer {self.kind!r}: one of {sorted(ANALYZERS)}")
+        words = {w.lower() if self.lower else w for w in self.stop_words}
+        object.__setattr__(self, "stop_words", tuple(sorted(words)))
+
+    def tokens(self, text) -> Column:
+        """All tokens in text order, stop words included."""
+        c = _col(text)
+        return F.regexp_extract_all(F.lower(c) if self.lower else c, F.lit(ANALYZERS[self.kind]), 1)
+
+    def kept(self, token: Column) -> Column:
+        return ~token.isin(*self.stop_words) if self.stop_words else F.lit(True)
+
+    def only_kept(self, tokens: Column) -> Column:
+        return F.filter(tokens, self.kept) if self.stop_words else tokens
+
+    def terms(self, text) -> Column:
+        """The tokens that are terms, in text order."""
+        return self.only_kept(self.tokens(text))
+
+    def placed(self, text) -> Column:
+        """(at, term) of every term; ``at`` counts stop words too."""
+        placed = F.transform(self.tokens(text), lambda t, i: F.struct(i.alias("at"), t.alias("term")))
+        return F.filter(placed, lambda x: self.kept(x["term"])) if self.stop_words else placed
+
+
 def tokenize(text) -> Column:
-    """array of lower-cased letter/digit runs, in text order."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), 1)
+    """F2 by the standard analyzer: array of lower-cased letter/digit runs, in text order."""
+    return Analyzer().tokens(text)
 
 
 def build_extract(data) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import Analyzer
 
 # The stored and tokenised fields of every index document, in order.
 INDEX_FIELDS = ("url", "title", "data")
@@ -29,25 +29,30 @@ def stored_documents(df: DataFrame) -> DataFrame:
                      "url", "title", "data")
 
 
-def field_tokens(docs: DataFrame, fields=INDEX_FIELDS, keys: tuple[str, ...] = ()) -> DataFrame:
+def field_tokens(docs: DataFrame, fields=INDEX_FIELDS, keys: tuple[str, ...] = (),
+                 analyzer: Analyzer = Analyzer()) -> DataFrame:
     """(doc_id, keys..., field, tokens, dl) for every non-NULL field of every
-    document. Narrow: a ``stack`` of the fields, no shuffle."""
+    document. Narrow: a ``stack`` of the fields, no shuffle. ``tokens`` holds
+    stop words too, in their places; ``dl`` counts the terms."""
     stack = ", ".join(f"'{f}', `{f}`" for f in fields)
     return (docs.select("doc_id", *keys, F.expr(f"stack({len(fields)}, {stack}) as (field, value)"))
             .where(F.col("value").isNotNull())
-            .select("doc_id", *keys, "field", tokenize("value").alias("tokens"))
-            .withColumn("dl", F.size("tokens").cast("bigint")))
+            .select("doc_id", *keys, "field", analyzer.tokens("value").alias("tokens"))
+            .withColumn("dl", F.size(analyzer.only_kept(F.col("tokens"))).cast("bigint")))
 
 
-def postings(docs: DataFrame, fields=INDEX_FIELDS, keys: tuple[str, ...] = ()) -> DataFrame:
+def postings(docs: DataFrame, fields=INDEX_FIELDS, keys: tuple[str, ...] = (),
+             analyzer: Analyzer = Analyzer()) -> DataFrame:
     """F2 + F3: tokenize every field and group positions per (term, field, doc).
 
     ``keys``: extra columns that depend on ``doc_id`` only (a storage
     partition) and are kept as grouping keys, so that input partitioned by
     them needs no further exchange.
     """
-    toks = field_tokens(docs, fields, keys)
+    toks = field_tokens(docs, fields, keys, analyzer)
     exploded = toks.select("doc_id", *keys, "field", "dl", F.posexplode("tokens").alias("pos", "term"))
+    if analyzer.stop_words:
+        exploded = exploded.where(analyzer.kept(F.col("term")))
     return (exploded.groupBy("term", "field", "doc_id", *keys)
             .agg(F.count(F.lit(1)).alias("tf"),
                  F.max("dl").alias("dl"),
@@ -60,7 +65,8 @@ def term_statistics(post: DataFrame) -> DataFrame:
                                              F.sum("tf").alias("cf"))
 
 
-def field_statistics(docs: DataFrame, post: DataFrame | None = None, fields=INDEX_FIELDS) -> DataFrame:
+def field_statistics(docs: DataFrame, post: DataFrame | None = None, fields=INDEX_FIELDS,
+                     analyzer: Analyzer = Analyzer()) -> DataFrame:
     """number of documents and mean length (in tokens) per field.
 
     A document whose field is NULL does not count for that field. With
@@ -70,7 +76,7 @@ def field_statistics(docs: DataFrame, post: DataFrame | None = None, fields=INDE
     one narrow tokenizing pass (no shuffle of postings).
     """
     if post is None:
-        toks = field_tokens(docs, fields)
+        toks = field_tokens(docs, fields, analyzer=analyzer)
         return toks.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                          F.sum("dl").alias("total_len"),
                                          F.avg("dl").alias("avg_dl"))
@@ -97,7 +103,7 @@ class Index:
     """The tables of one index, as lazily evaluated DataFrames."""
 
     def __init__(self, docs: DataFrame, postings: DataFrame, term_stats: DataFrame,
-                 field_stats: DataFrame, fields: tuple[str, ...] | None = None):
+                 field_stats: DataFrame, fields: tuple[str, ...] | None = None, analyzer: Analyzer = Analyzer()):
         self.docs = docs
         self.postings = postings
         self.term_stats = term_stats
@@ -105,9 +111,18 @@ class Index:
         # set when the tables are derived from ``docs`` (lets a writer
         # re-plan the derivation around its own partitioning)
         self.fields = fields
+        self.analyzer = analyzer
+
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """The postings of a table of terms; the semi join is pushed below the
+        postings aggregate when the index is built in the same plan."""
+        return self.postings.join(terms, "term", "left_semi")
+
+    def stats_of(self, terms: DataFrame) -> DataFrame:
+        return self.term_stats.join(terms, "term", "left_semi")
 
     @classmethod
-    def build(cls, docs: DataFrame, fields=INDEX_FIELDS) -> "Index":
+    def build(cls, docs: DataFrame, fields=INDEX_FIELDS, analyzer: Analyzer = Analyzer()) -> "Index":
         d = stored_documents(docs)
-        p = postings(d, fields)
-        return cls(d, p, term_statistics(p), field_statistics(d, None, fields), tuple(fields))
+        p = postings(d, fields, analyzer=analyzer)
+        return cls(d, p, term_statistics(p), field_statistics(d, None, fields, analyzer), tuple(fields), analyzer)

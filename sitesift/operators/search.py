@@ -6,7 +6,9 @@ fields ARRAY<STRING> (NULL or ['*'] = all), offset INT, limit INT)``.
 Plan shape (one job):
 
     queries --explode--> (query_id, term)  [broadcast, size checked]
-    postings  ⋈ terms  -> per (query, term, field, doc) BM25 part
+    postings of the batch's terms (their folders only, see index_store)
+             ⋈ statistics -> BM25 part, once per posting, not per query
+             ⋈ terms  -> per (query, term, field, doc)
     groupBy(query_id, doc_id)  -> score, matched terms (partial aggregates)
     AND: matched = number of terms
     groupBy(query_id) -> hitcount, max score       (G5, G6)
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import build_extract, tokenize, with_highlight
+from ..functions.text import Analyzer, build_extract, with_highlight
 from .index import Index
 
 # Fixed values of the engine: BM25 parameters and score rounding (pinned).
@@ -50,8 +52,9 @@ class SearchOptions:
     num_excerpts: int | None = None
 
 
-def normalize_queries(queries: DataFrame) -> DataFrame:
-    """Defaults and analysed terms: each given term is tokenized like the index."""
+def normalize_queries(queries: DataFrame, analyzer: Analyzer = Analyzer()) -> DataFrame:
+    """Defaults and analysed terms: each given term is tokenized like the index.
+    Queries of clauses (see ``clauses``) get these as ``parts`` instead."""
     cols = set(queries.columns)
     q = queries
     if "mode" not in cols:
@@ -62,8 +65,14 @@ def normalize_queries(queries: DataFrame) -> DataFrame:
         q = q.withColumn("offset", F.lit(DEFAULT_OFFSET))
     if "limit" not in cols:
         q = q.withColumn("limit", F.lit(DEFAULT_LIMIT))
-    qterms = F.array_distinct(F.flatten(F.transform(F.coalesce(F.col("terms"), F.array().cast("array<string>")),
-                                                    lambda t: tokenize(t))))
+    extra = []
+    if "clauses" in cols:
+        from .clauses import analysed, shown_terms
+        extra = [analysed(F.col("clauses"), F.col("mode"), analyzer).alias("parts")]
+        qterms = shown_terms(extra[0])
+    else:
+        given = F.coalesce(F.col("terms"), F.array().cast("array<string>"))
+        qterms = F.array_distinct(F.flatten(F.transform(given, lambda t: analyzer.terms(t))))
     return q.select(
         F.col("query_id").cast("int").alias("query_id"),
         qterms.alias("qterms"),
@@ -71,6 +80,7 @@ def normalize_queries(queries: DataFrame) -> DataFrame:
         F.col("fields"),
         F.coalesce(F.col("offset"), F.lit(DEFAULT_OFFSET)).cast("int").alias("offset"),
         F.coalesce(F.col("limit"), F.lit(DEFAULT_LIMIT)).cast("int").alias("limit"),
+        *extra,
     )
 
 
@@ -94,6 +104,26 @@ def _in_scope() -> Column:
             | F.array_contains("fields", F.col("field")))
 
 
+def term_weight() -> Column:
+    return F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+
+
+def bm25(weight: Column, tf: Column, dl: Column) -> Column:
+    """The score of a term (or phrase) with that weight in a field of ``dl`` terms."""
+    norm = F.lit(BM25_K1) * (F.lit(1.0 - BM25_B) + F.lit(BM25_B) * dl / F.col("avg_dl"))
+    return weight * tf * F.lit(BM25_K1 + 1.0) / (tf + norm)
+
+
+def weighed(index: Index, rows: DataFrame, terms: DataFrame, n_terms: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (term, field, ...) with df, n_docs and avg_dl of their term and field,
+    and the statistics of the batch's terms. Both are small by the same check as the
+    query table (a few fields a term) and broadcast then; else Spark shuffles."""
+    stats = index.stats_of(terms).select("term", "field", "df")
+    fstats = F.broadcast(index.field_stats.select("field", "n_docs", "avg_dl"))  # one row per field
+    few = _maybe_broadcast(stats, n_terms, BROADCAST_MAX_QUERY_TERMS)
+    return rows.join(few, ["term", "field"]).join(fstats, "field"), stats
+
+
 def score_matches(index: Index, q: DataFrame, n_terms: int, max_q: int = 64, n_queries: int = 0) -> DataFrame:
     """(query_id, doc_id, score, matched) for every matching document.
 
@@ -104,16 +134,16 @@ def score_matches(index: Index, q: DataFrame, n_terms: int, max_q: int = 64, n_q
     counted with 64-bit masks over each term's position in the query
     (``bit_or``), a fixed-width aggregate that combines map-side.
     """
+    if "parts" in q.columns:
+        from .clauses import score_clauses
+        return score_clauses(index, q, n_terms, n_queries)
     qt = q.select("query_id", "mode", "fields", F.posexplode("qterms").alias("ti", "term"))
     qt_b = _maybe_broadcast(qt, n_terms, BROADCAST_MAX_QUERY_TERMS)
-    terms = qt.select("term").distinct()
-    terms_b = _maybe_broadcast(terms, n_terms, BROADCAST_MAX_QUERY_TERMS)
+    terms_b = _maybe_broadcast(qt.select("term").distinct(), n_terms, BROADCAST_MAX_QUERY_TERMS)
 
-    # Only postings of the batch's terms are read; the semi join is pushed
-    # below the postings aggregate when the index is built in the same plan.
-    post = index.postings.join(terms_b, "term", "left_semi")
-    stats = index.term_stats.join(terms_b, "term", "left_semi").select("term", "field", "df")
-    fstats = F.broadcast(index.field_stats.select("field", "n_docs", "avg_dl"))  # one row per field
+    # Only postings of the batch's terms are read, and each is scored once.
+    post, stats = weighed(index, index.postings_of(terms_b), terms_b, n_terms)
+    post = post.select("term", "field", "doc_id", bm25(term_weight(), F.col("tf"), F.col("dl")).alias("part"))
 
     # OR: every posting of every query term
     hits_or = post.join(qt_b.where(F.col("mode") == "or"), "term").where(_in_scope())
@@ -122,19 +152,14 @@ def score_matches(index: Index, q: DataFrame, n_terms: int, max_q: int = 64, n_q
     term_df = (stats.join(and_qt.select("query_id", "term", "fields"), "term").where(_in_scope())
                .groupBy("query_id", "term").agg(F.sum("df").alias("df_all")))
     rare = term_df.groupBy("query_id").agg(F.min(F.struct("df_all", "term"))["term"].alias("term"))
-    rare = rare.join(and_qt.select("query_id", "term", "fields"), ["query_id", "term"])
+    rare = _maybe_broadcast(rare.join(and_qt.select("query_id", "term", "fields"), ["query_id", "term"]),
+                            max(n_terms, n_queries), BROADCAST_MAX_QUERY_TERMS)
     cand = (post.join(rare, "term").where(_in_scope()).select("query_id", "doc_id").distinct())
-    pairs = cand.join(and_qt, "query_id")
+    pairs = cand.join(_maybe_broadcast(and_qt, n_terms, BROADCAST_MAX_QUERY_TERMS), "query_id")
     hits_and = post.join(pairs, ["term", "doc_id"]).where(_in_scope())
 
-    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    norm = F.lit(BM25_K1) * (F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.col("avg_dl"))
-    part = idf * F.col("tf") * F.lit(BM25_K1 + 1.0) / (F.col("tf") + norm)
-    cols = ["query_id", "doc_id", "term", "field", "ti", "tf", "dl"]
-    hits = (hits_or.select(*cols).unionByName(hits_and.select(*cols))
-            .join(stats, ["term", "field"])
-            .join(fstats, "field")
-            .select("query_id", "doc_id", "ti", part.alias("part")))
+    hits = (hits_or.select("query_id", "doc_id", "ti", "part")
+            .unionByName(hits_and.select("query_id", "doc_id", "ti", "part")))
     words = max(1, (max_q + 63) // 64)
     masks = [F.bit_or(F.when(F.floor(F.col("ti") / 64) == w, F.expr("shiftleft(CAST(1 AS BIGINT), ti % 64)"))
                       .otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}") for w in range(words)]
@@ -174,6 +199,63 @@ def top_k(scored: DataFrame, q: DataFrame, max_rank: int, n_results: int, n_quer
             .select("query_id", (F.col("rn") - 1).cast("int").alias("rank"), "doc_id", "score"))
 
 
+# Blocks per query that are scored first, to learn what the page's last row scores at least.
+FIRST_BLOCKS = 8
+
+
+def top_scores(index: Index, q: DataFrame, max_rank: int, n_terms: int, max_q: int = 64, n_queries: int = 0) -> DataFrame:
+    """G4 for a page alone: (query_id, doc_id, score) of a set that holds each query's ``max_rank``
+    best, without scoring the rest. For an index with block maxima.
+
+    What the terms of a query can score at most in a block of documents bounds all of its
+    documents. The most promising blocks are scored first; with the ``max_rank``-th score
+    found there, blocks below it are left out. Queries that ask for all of their terms are
+    evaluated from their rarest term as ever.
+    """
+    from ..sources.index_store import doc_block
+    ranked = q.where(F.col("mode") == "or")
+    qt = _maybe_broadcast(ranked.select("query_id", "fields", F.explode("qterms").alias("term")), n_terms,
+                          BROADCAST_MAX_QUERY_TERMS)
+    terms = _maybe_broadcast(qt.select("term").distinct(), n_terms, BROADCAST_MAX_QUERY_TERMS)
+    maxima, _ = weighed(index, index.maxima_of(terms), terms, n_terms)
+    best = bm25(term_weight(), F.col("max_tf"), F.col("min_dl"))
+    bounds = (maxima.select("term", "field", "block", best.alias("best")).join(qt, "term").where(_in_scope())
+              .groupBy("query_id", "block").agg(F.sum("best").alias("bound")))
+    post, _ = weighed(index, index.postings_of(terms), terms, n_terms)
+    post = post.select("term", "field", "doc_id", doc_block("doc_id", index.n_blocks).alias("block"),
+                       bm25(term_weight(), F.col("tf"), F.col("dl")).alias("part"))
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        hits = post.join(qt, "term").where(_in_scope()).join(blocks, ["query_id", "block"], "left_semi")
+        return (hits.groupBy("query_id", "doc_id").agg(F.sum("part").alias("raw"))
+                .select("query_id", "doc_id", F.round("raw", SCORE_DECIMALS).alias("score")))
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    first = bounds.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIRST_BLOCKS)
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    last = (scored(_maybe_broadcast(first, n_queries * FIRST_BLOCKS, BROADCAST_MAX_RESULT_ROWS))
+            .withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= max_rank)
+            .groupBy("query_id").agg(F.max("_n").alias("_n"), F.min("score").alias("least"))
+            .where(F.col("_n") == max_rank).select("query_id", "least"))
+    slack = 2 * 10.0 ** -SCORE_DECIMALS                # scores are rounded, bounds are not
+    kept = (bounds.join(_maybe_broadcast(last, n_queries, BROADCAST_MAX_RESULT_ROWS), "query_id", "left")
+            .where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - slack)))
+    whole = score_matches(index, q.where(F.col("mode") != "or"), n_terms, max_q, n_queries)
+    return scored(kept).unionByName(whole.drop("matched"))
+
+
+def search_page(index: Index, queries: DataFrame) -> DataFrame:
+    """G7 without totals: (query_id, rank, doc_id, score) of each query's page, by block
+    maxima where the index has them."""
+    q = normalize_queries(queries, index.analyzer)
+    n_terms, max_rank, n_results, max_q, n_queries = _bounds(q)
+    if getattr(index, "blocks", None) is None or "parts" in q.columns:
+        scored = score_matches(index, q, n_terms, max_q, n_queries).drop("matched")
+    else:
+        scored = top_scores(index, q, max_rank, n_terms, max_q, n_queries)
+    return top_k(scored, q, max_rank, n_results, n_queries)
+
+
 def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """Match -> score -> count -> page -> stored fields -> extract.
 
@@ -181,7 +263,7 @@ def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOpti
     extract, hitcount)``; queries without hits give no rows (see
     :func:`search_totals` for their zero hitcount).
     """
-    q = normalize_queries(queries)
+    q = normalize_queries(queries, index.analyzer)
     n_terms, max_rank, n_results, max_q, n_queries = _bounds(q)
     scored = score_matches(index, q, n_terms, max_q, n_queries).drop("matched")
     totals = _maybe_broadcast(hit_totals(scored, q), n_queries, BROADCAST_MAX_RESULT_ROWS)
@@ -211,21 +293,21 @@ def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOpti
 
 def search_totals(index: Index, queries: DataFrame) -> DataFrame:
     """G5/G6 alone: ``(query_id, hitcount, max_score)`` for every query."""
-    q = normalize_queries(queries)
-    n_terms, _, _, max_q, _ = _bounds(q)
-    return hit_totals(score_matches(index, q, n_terms, max_q), q)
+    q = normalize_queries(queries, index.analyzer)
+    n_terms, _, _, max_q, n_queries = _bounds(q)
+    return hit_totals(score_matches(index, q, n_terms, max_q, n_queries), q)
 
 
 def matches(index: Index, queries: DataFrame) -> DataFrame:
     """G1-G4 alone: ``(query_id, doc_id, score, matched)`` for every hit."""
-    q = normalize_queries(queries)
-    n_terms, _, _, max_q, _ = _bounds(q)
-    return score_matches(index, q, n_terms, max_q)
+    q = normalize_queries(queries, index.analyzer)
+    n_terms, _, _, max_q, n_queries = _bounds(q)
+    return score_matches(index, q, n_terms, max_q, n_queries)
 
 
 def relative_scores(index: Index, queries: DataFrame) -> DataFrame:
     """G6 over the whole result: ``(query_id, doc_id, relative_score)``."""
-    q = normalize_queries(queries)
+    q = normalize_queries(queries, index.analyzer)
     n_terms, _, _, max_q, _ = _bounds(q)
     scored = score_matches(index, q, n_terms, max_q)
     best = scored.groupBy("query_id").agg(F.max("score").alias("max_score"))

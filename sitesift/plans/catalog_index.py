@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import build_extract
+from ..functions.text import Analyzer, build_extract
 from ..operators import index as ix
 from ..operators import search as se
-from .tables import benchmark_queries, documents_as_docs
+from ..session import scratch_path
+from ..sources.index_store import read_index, write_block_maxima, write_index
+from .tables import TEST_STOP_WORDS, benchmark_queries, clause_queries, documents_as_docs
 
 
 def _index(spark: SparkSession, sf: str) -> ix.Index:
@@ -92,6 +94,37 @@ def q_search(spark, sf) -> DataFrame:
     return se.search(_index(spark, sf), benchmark_queries(spark, sf))
 
 
+def q_clauses_must(spark, sf) -> DataFrame:
+    return se.matches(_index(spark, sf), clause_queries(spark, sf, "must"))
+
+
+def q_clauses_any(spark, sf) -> DataFrame:
+    return se.matches(_index(spark, sf), clause_queries(spark, sf, "any"))
+
+
+def q_phrase(spark, sf) -> DataFrame:
+    return se.matches(_index(spark, sf), clause_queries(spark, sf, "phrase"))
+
+
+def q_phrase_search(spark, sf) -> DataFrame:
+    return se.search(_index(spark, sf), clause_queries(spark, sf, "phrase"))
+
+
+def q_stop_list(spark, sf) -> DataFrame:
+    """Written with a stop list and opened again: queries go by the analyzer kept with the index."""
+    path = scratch_path(spark, "stop-index")
+    write_index(ix.Index.build(documents_as_docs(spark, sf), analyzer=Analyzer(stop_words=TEST_STOP_WORDS)), path)
+    return se.matches(read_index(spark, path), benchmark_queries(spark, sf))
+
+
+def q_search_page(spark, sf) -> DataFrame:
+    """The page without totals, by block maxima of a written index."""
+    path = scratch_path(spark, "page-index")
+    write_index(ix.Index.build(documents_as_docs(spark, sf)), path)
+    write_block_maxima(spark, path)
+    return se.search_page(read_index(spark, path), benchmark_queries(spark, sf))
+
+
 QUERIES = {
     "stored_documents": q_stored_documents,
     "tokenize": q_tokenize,
@@ -110,6 +143,12 @@ QUERIES = {
     "extract": q_extract,
     "highlight": q_highlight,
     "search": q_search,
+    "clauses_must": q_clauses_must,
+    "clauses_any": q_clauses_any,
+    "phrase": q_phrase,
+    "phrase_search": q_phrase_search,
+    "stop_list": q_stop_list,
+    "search_page": q_search_page,
 }
 
 
@@ -133,4 +172,10 @@ def oracle() -> dict[str, str]:
         "extract": o.sql_extract(),
         "highlight": o.sql_search(highlight=True),
         "search": o.sql_search(),
+        "clauses_must": o.sql_clauses("must"),
+        "clauses_any": o.sql_clauses("any"),
+        "phrase": o.sql_clauses("phrase"),
+        "phrase_search": o.sql_phrase_search(),
+        "stop_list": o.sql_stop_list(TEST_STOP_WORDS),
+        "search_page": o.sql_topk(),
     }

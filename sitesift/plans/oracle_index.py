@@ -173,3 +173,75 @@ def sql_extract() -> str:
 def sql_indexed_count() -> str:
     return _with(DOCS_CTE) + (
         "SELECT count(*) AS indexed_documents FROM docs WHERE title IS NOT NULL OR data IS NOT NULL")
+
+
+def _clause_rows(kind: str) -> str:
+    """(query_id, ci, occur, scope, terms) of the clauses that the derived queries hold."""
+    def word(i, n=1):
+        return f"array_to_string(list_slice(regexp_extract_all(text, '[^ \\n]+'), {i}, {i + n - 1}), ' ')"
+    rows = {
+        "must": [(word(1), "'data'", "must"), *[(word(i), "NULL", "should") for i in (2, 3, 4, 5)], (word(6), "'title'", "must_not")],
+        "any": [(word(2), "'title'", "should"), (word(3), "'data'", "should"), (word(4), "NULL", "should"),
+                (word(5), "NULL", "should"), (word(6), "'data'", "must_not")],
+        "phrase": [(word(1, 3), "'data'", "must"), (word(5, 2), "NULL", "should")],
+    }[kind]
+    return " UNION ALL ".join(
+        f"SELECT CAST(item_id AS INTEGER) AS query_id, {i} AS ci, '{occur}' AS occur, {field} AS scope, "
+        f"regexp_extract_all(lower({text}), '{TOKEN_PATTERN}', 1) AS terms FROM benchmark"
+        for i, (text, field, occur) in enumerate(rows))
+
+
+def _clause_ctes(kind: str) -> str:
+    return f"""cl AS ({_clause_rows(kind)}),
+tok AS (SELECT query_id, ci, occur, scope, len(terms) AS n, unnest(terms) AS term,
+               generate_subscripts(terms, 1) - 1 AS at FROM cl),
+-- every place where a clause may begin, kept when all of its terms agree on it
+st AS (
+  SELECT query_id, ci, occur, n, doc_id, field, dl, start FROM (
+    SELECT t.query_id, t.ci, t.occur, t.n, p.doc_id, p.field, p.dl, t.at, unnest(p.positions) - t.at AS start
+    FROM tok t JOIN postings p USING (term) WHERE t.scope IS NULL OR t.scope = p.field)
+  GROUP BY ALL HAVING count(*) = n),
+wt AS (
+  SELECT t.query_id, t.ci, ts.field, any_value(fs.avg_dl) AS avg_dl,
+         sum(ln(1 + (fs.n_docs - ts.df + 0.5) / (ts.df + 0.5))) AS weight
+  FROM tok t JOIN tstats ts USING (term) JOIN fstats fs ON fs.field = ts.field GROUP BY ALL),
+pt AS (
+  SELECT query_id, ci, occur, doc_id, weight * times * {BM25_K1 + 1.0}
+           / (times + {BM25_K1} * ({1.0 - BM25_B} + {BM25_B} * dl / avg_dl)) AS part
+  FROM (SELECT query_id, ci, occur, doc_id, field, dl, count(*) AS times FROM st GROUP BY ALL) JOIN wt USING (query_id, ci, field)),
+bl AS (
+  SELECT query_id, doc_id, sum(CASE WHEN occur = 'must_not' THEN 0 ELSE part END) AS raw,
+         count(DISTINCT ci) FILTER (occur = 'must') AS must, count(DISTINCT ci) FILTER (occur = 'should') AS should,
+         count(*) FILTER (occur = 'must_not') AS banned
+  FROM pt GROUP BY query_id, doc_id),
+scored AS (
+  SELECT query_id, doc_id, round(raw, {SCORE_DECIMALS}) AS score, CAST(must + should AS INTEGER) AS matched
+  FROM bl JOIN (SELECT query_id, count(*) FILTER (occur = 'must' AND len(terms) > 0) AS n_must FROM cl GROUP BY query_id) USING (query_id)
+  WHERE banned = 0 AND must = n_must AND must + should > 0)"""
+
+
+def sql_clauses(kind: str) -> str:
+    return _with(DOCS_CTE, FTOK_CTE, POSTINGS_CTE, FSTATS_CTE, TSTATS_CTE, _clause_ctes(kind)) + (
+        "SELECT query_id, doc_id, score, matched FROM scored")
+
+
+def sql_phrase_search() -> str:
+    return _with(DOCS_CTE, FTOK_CTE, POSTINGS_CTE, FSTATS_CTE, TSTATS_CTE, _clause_ctes("phrase")) + f"""SELECT
+  r.query_id, CAST(r.rn - 1 AS INTEGER) AS rank, r.doc_id, r.score,
+  CASE WHEN r.best > 0 THEN round(r.score / r.best, {SCORE_DECIMALS}) END AS relative_score,
+  d.title, d.url, {EXTRACT_SQL} AS extract, r.hitcount
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn,
+             max(score) OVER (PARTITION BY query_id) AS best, count(*) OVER (PARTITION BY query_id) AS hitcount
+      FROM scored) r JOIN docs d USING (doc_id) WHERE r.rn <= 10"""
+
+
+def sql_stop_list(words) -> str:
+    stop = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    kept = FTOK_CTE.replace(f"regexp_extract_all(lower(value), '{TOKEN_PATTERN}', 1)",
+                            f"list_filter(regexp_extract_all(lower(value), '{TOKEN_PATTERN}', 1), "
+                            f"lambda t: NOT list_contains({stop}, t))")
+    asked = queries_cte().replace(f"regexp_extract_all(lower(text), '{TOKEN_PATTERN}', 1)",
+                                  f"list_filter(regexp_extract_all(lower(text), '{TOKEN_PATTERN}', 1), "
+                                  f"lambda t: NOT list_contains({stop}, t))")
+    return _with(DOCS_CTE, kept, POSTINGS_CTE, FSTATS_CTE, TSTATS_CTE, asked, SCORED_CTES) + (
+        "SELECT query_id, doc_id, score, matched FROM scored")

@@ -56,6 +56,47 @@ def benchmark_queries(spark: SparkSession, sf_dir: str, limit: int = 10, offset:
     return and_q.unionByName(or_q)
 
 
+# Words that each clause query takes from a passage, by place (from 1): the term that must
+# match, those that should, the one that must not stand in the title, and the phrases.
+CLAUSE_WORDS = {"must": 1, "should": (2, 3, 4, 5), "must_not": 6}
+PHRASE_WORDS = ((1, 3), (5, 2))     # (first word, how many)
+
+
+def clause_queries(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """One query of clauses per benchmark passage.
+
+    ``must``: its first word must stand in the data, the next four should anywhere, the
+    sixth must not in the title. ``any``: no must; the second to fifth word should, two
+    by field, the sixth must not stand in the data. ``phrase``: its first three words as
+    a phrase must stand in the data, another two should stand together anywhere.
+    """
+    words = F.regexp_extract_all("text", F.lit(r"([^ \n]+)"), 1)
+
+    def clause(text, field, occur):
+        return F.struct(text.alias("text"), F.lit(field).cast("string").alias("field"), F.lit(occur).alias("occur"))
+
+    def word(i):
+        return F.get(words, F.lit(i - 1))
+
+    def phrase(first, n):
+        return F.array_join(F.slice(words, first, n), " ")
+
+    must, should, must_not = (CLAUSE_WORDS[k] for k in ("must", "should", "must_not"))
+    clauses = {
+        "must": [clause(word(must), "data", "must"), *[clause(word(i), None, "should") for i in should],
+                 clause(word(must_not), "title", "must_not")],
+        "any": [*[clause(word(i), f, "should") for i, f in zip(should, ("title", "data", None, None))],
+                clause(word(must_not), "data", "must_not")],
+        "phrase": [clause(phrase(*PHRASE_WORDS[0]), "data", "must"), clause(phrase(*PHRASE_WORDS[1]), None, "should")],
+    }[kind]
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("query_id"),
+                                                   F.array(*clauses).alias("clauses"))
+
+
+# The stop list of the registered query: frequent words of the test documents' languages.
+TEST_STOP_WORDS = ("the", "and", "of", "in", "on", "der", "die", "und", "le", "de", "la", "que")
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` with a fetch outcome derived from each page itself.
 
