@@ -39,13 +39,18 @@ STRIP_EDGES = r"^[ \t\n\f\r\x0B\x00]+|[ \t\n\f\r\x0B\x00]+$"
 ENTITY = r"&(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 LINK_ENTITY = r"&(amp|quot|gt|lt|#0*[0-9]{1,7}|#x0*[0-9a-fA-F]{1,6});"
 # The rest of a tag after its name, quoted values taken whole (possessive: the
-# JVM's matcher neither backtracks nor recurses), and one attribute of it.
-TAG_REST = r"(?:[ \t\n\f\r/](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?+>"
-ATTRIBUTE = r"[ \t\n\f\r/\"']([^ \t\n\f\r=>/\"']++)[ \t\n\f\r]*+=[ \t\n\f\r]*+(\"[^\"]*+\"|'[^']*+'|[^ \t\n\f\r\"'>]++)"
-# Blocks whose content is not markup for an HTML parser (links are not
-# looked for inside them).
-OPAQUE_BLOCKS = (r"(?is)<!--.*?-->|<script(?:" + WS + r"[^>]*)?>.*?</script" + WS + r"*>|<style(?:"
-                 + WS + r"[^>]*)?>.*?</style" + WS + r"*>")
+# JVM's matcher neither backtracks nor recurses), and one attribute of it. A tag
+# or value that never ends runs to the end of the page, so that no later tag is
+# scanned for from within it again; such a tag is none.
+TAG_REST = r"(?:[ \t\n\f\r/](?:[^>\"']++|\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z))*+)?+(?:>|\z)"
+ATTRIBUTE = r"[ \t\n\f\r/\"'][^ \t\n\f\r=>/\"']++[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"[^\"]*+\"|'[^']*+'|[^ \t\n\f\r\"'>]++)"
+# Blocks whose content is not markup for an HTML parser (links are not looked for
+# inside them): (what the opener begins with, opener, closer) by kind.
+BLOCKS = {"comment": ("<!--", "<!--", "-->")} | {
+    k: (f"<(?i:{k})[ \\t\\n\\f\\r>]", f"<(?i:{k})(?:{WS}[^>]*+)?>", f"</(?i:{k}){WS}*>") for k in ("script", "style")}
+OPAQUE_BLOCKS = "(?s)" + "|".join(f"{o}.*?{c}" for _, o, c in BLOCKS.values())
+# Put behind the "<" of an opener that nothing closes; a noncharacter, in no text.
+MARK = "\ufdd0"
 
 
 def named_entities() -> dict[str, str]:
@@ -106,31 +111,58 @@ def unescape_link(c) -> Column:
     return _decode_with(_col(c), LINK_ENTITY, LINK_ENTITIES)
 
 
-def _remove(c: Column, pattern: str, closers: str) -> Column:
-    """Remove all matches of ``pattern``, each of which ends with a closer. What
-    follows the last closer cannot match and is set aside, so that openers
-    without an end are not searched for one from each of them."""
-    def cut(x):
-        head = F.regexp_extract(x, rf"(?s)^(.*(?:{closers}))", 1)
-        return F.concat(F.regexp_replace(head, pattern, ""), F.substring(x, F.length(head) + 1, F.length(x)))
-    return let(c, cut)
+def _from(x: Column, head: Column) -> Column:
+    return F.substring(x, F.length(head) + 1, F.length(x))
+
+
+def _until_last(x: Column, closer: str) -> Column:
+    """``x`` up to and with the last match of ``closer``; empty when there is none."""
+    return F.regexp_extract(x, rf"(?s)^(.*(?:{closer}))", 1)
+
+
+def _disarm(x: Column, *kinds: tuple[str, str, str]) -> Column:
+    """``x`` with a mark in the openers that nothing closes: those beyond the last ``>``
+    before the last closer of their kind (a comment's opener needs no ``>``). A search
+    for whole blocks then takes every opener it meets and never scans in vain."""
+    def mark(x, begins, closer):
+        def cut(y):
+            open_ = F.regexp_extract(y, rf"(?s)^(.*){closer}", 1)
+            free = open_ if closer == "-->" else let(open_, lambda o: _until_last(o, ">"))
+            return let(free, lambda f: F.concat(
+                f, F.regexp_replace(_from(y, f), "<(?=" + begins.removeprefix("<") + ")", "<" + MARK)))
+        return let(x, lambda y: F.when(y.rlike(begins), cut(y)).otherwise(y))
+
+    for begins, _, closer in kinds:
+        x = mark(x, begins, closer)
+    return x
+
+
+def _armed(x: Column) -> Column:
+    return F.replace(x, F.lit(MARK), F.lit(""))
 
 
 def strip_comments(c) -> Column:
     """E5."""
-    return _remove(_col(c), COMMENT, "-->")
+    def cut(x):
+        head = _until_last(x, "-->")
+        return F.concat(F.regexp_replace(head, COMMENT, ""), _from(x, head))
+    return let(_col(c), cut)
 
 
 def strip_blocks(c) -> Column:
     """Script and style blocks removed (the first half of E6)."""
-    return _remove(_col(c), SCRIPT_STYLE, "</(?:script|style)[^>]*>")
+    kind = ("<(?:script|style)", "", "</(?:script|style)[^>]*>")
+    return let(_disarm(_col(c), kind), lambda x: F.when(x.rlike("<(?:script|style)"), _armed(F.regexp_replace(
+        x, SCRIPT_STYLE, ""))).otherwise(_armed(x)))
 
 
 def strip_tags(c) -> Column:
     """script/style blocks, then every tag (no space put in), whitespace
     runs to one space, edges trimmed."""
-    x = _remove(strip_blocks(c), ANY_TAG, ">")
-    x = F.regexp_replace(x, WS_RUN, " ")
+    def cut(x):
+        head = _until_last(x, ">")
+        return F.concat(F.regexp_replace(head, ANY_TAG, ""), _from(x, head))
+    x = F.regexp_replace(let(strip_blocks(c), cut), WS_RUN, " ")
     return F.regexp_replace(x, STRIP_EDGES, "")
 
 
@@ -144,53 +176,74 @@ def strip_edges(c) -> Column:
     return F.regexp_replace(_col(c), STRIP_EDGES, "")
 
 
-def element_inner_pattern(tag: str, attr: str | None = None, value: str | None = None,
-                          to_end: bool = False) -> str:
-    """Regex whose group 1 is the inner HTML of ``<tag attr=value>``.
+def _opening(tag: str) -> str:
+    import re as _re
+    return rf"<(?i:{_re.escape(tag)}){TAG_REST}"
 
-    For elements that do not nest into themselves (title, h1, p, body...).
-    ``to_end``: an unclosed element runs to the end of the page.
-    """
+
+def _closing(tag: str) -> str:
     import re as _re
-    t = _re.escape(tag)
-    if attr is None:
-        open_ = rf"<{t}{TAG_REST}"
-    else:
-        a, v = _re.escape(attr), _re.escape(value or "")
-        open_ = (rf"<{t}{WS}(?:[^>]*?{WS})?{a}{WS}*={WS}*"
-                 rf"(?:\"(?-i:{v})\"[^>]*|'(?-i:{v})'[^>]*|(?-i:{v})(?:[ \t\n\f\r/][^>]*)?)>")
-    end = rf"(?:</{t}{WS}*>|\z)" if to_end else rf"</{t}{WS}*>"
-    return rf"(?is){open_}(.*?){end}"
+    return rf"</(?i:{_re.escape(tag)}){WS}*>"
 
 
-def _elements(html, tag: str, attr: str | None, value: str | None) -> Column:
-    """(whole, inner) of every matching element and of every comment, script and
-    style block: these are matched first, so that no element is found inside
-    them, while a comment inside an element stays part of it."""
-    element = element_inner_pattern(tag, attr, value).removeprefix("(?is)")
-    p = F.lit(f"{OPAQUE_BLOCKS}|{element}")
-    closers = rf"-->|</(?i:script|style|{tag}){WS}*>"
+def _whole(opening_tag: Column) -> Column:
+    return opening_tag.endswith(">")
 
-    def found(h):
-        head = F.regexp_extract(h, rf"(?s)^(.*(?:{closers}))", 1)      # what follows cannot match
-        return let(head, lambda x: F.arrays_zip(F.regexp_extract_all(x, p, F.lit(0)).alias("whole"),
-                                                F.regexp_extract_all(x, p, F.lit(1)).alias("inner")))
-    return F.filter(let(_col(html), found), lambda e: ~e["whole"].rlike("(?i)^<(?:!--|(?:script|style)[ \\t\\n\\f\\r>])"))
+
+def _elements(html, tag: str, attr: str | None, value: str | None) -> Column:
+    """Inner HTML of every matching element that does not nest into itself (title, h1,
+    p ...). Comments, script and style blocks are matched first, so that no element is
+    found inside them, while a comment inside an element stays part of it."""
+    element = rf"{_opening(tag)}.*?(?:{_closing(tag)}|\z)"
+    blocks = [BLOCKS[k] for k in BLOCKS if k != tag.lower()]
+    search = F.lit("(?s)" + "|".join([*(f"{o}.*?{c}" for _, o, c in blocks), element]))
+    opening = _opening(tag)
+
+    def found(e):
+        return let(F.regexp_extract(e, "^" + opening, 0), lambda o: F.when(
+            _whole(o) & e.rlike(rf"(?s)^.*{_closing(tag)}\z") & _has(o, attr, value),
+            F.regexp_extract(_from(e, o), rf"(?s)^(.*){_closing(tag)}\z", 1)))
+
+    begins = opening[:opening.index(")") + 1] + r"[ \t\n\f\r/>]"
+    marked = _disarm(_col(html), *blocks, (begins, opening, _closing(tag)))
+    whole = let(marked, lambda x: F.regexp_extract_all(x, search, F.lit(0)))
+    inner = F.transform(F.filter(whole, lambda e: e.rlike("^" + opening)), found)
+    return F.transform(F.filter(inner, lambda e: e.isNotNull()), _armed)
+
+
+def _has(opening_tag: Column, attr: str | None, value: str | None) -> Column:
+    if attr is None:
+        return F.lit(True)
+    return F.coalesce(_attribute(opening_tag, attr) == F.lit(value or ""), F.lit(False))
 
 
 def select_all_inner(html, tag: str, attr: str | None = None, value: str | None = None) -> Column:
     """Inner HTML of all matching elements, joined (a string selector)."""
-    return F.array_join(F.transform(_elements(html, tag, attr, value), lambda e: e["inner"]), "")
+    return F.array_join(_elements(html, tag, attr, value), "")
 
 
 def select_first_inner(html, tag: str, attr: str | None = None, value: str | None = None,
                        to_end: bool = False) -> Column:
-    """Inner HTML of the first matching element, NULL when there is none. With
-    ``to_end`` (content, which loses its comments anyway) looked for in the markup."""
+    """Inner HTML of the first matching element, NULL when there is none. With ``to_end``
+    (content, which loses its comments anyway) looked for in the markup, where an
+    unclosed element runs to the end of the page."""
     if not to_end:
-        return F.get(_elements(html, tag, attr, value), F.lit(0))["inner"]
-    p = element_inner_pattern(tag, attr, value, to_end)
-    return let(markup(html), lambda h: F.when(h.rlike(p), F.regexp_extract(h, p, 1)))
+        return F.get(_elements(html, tag, attr, value), F.lit(0))
+    opening, closing = _opening(tag), _closing(tag)
+
+    def first(x):
+        if attr is None:
+            return let(F.regexp_extract(x, rf"(?s)({opening})", 1), lambda o: F.when(
+                _whole(o), let(F.regexp_extract(x, rf"(?s){opening}(.*)", 1), lambda rest: _up_to(rest, closing))))
+        each = F.regexp_extract_all(x, F.lit(rf"(?s){opening}.*?(?:{closing}|\z)"), F.lit(0))
+        hit = F.get(F.filter(each, lambda e: let(F.regexp_extract(e, "^" + opening, 0),
+                                                 lambda o: _whole(o) & _has(o, attr, value))), F.lit(0))
+        return let(hit, lambda e: _up_to(_from(e, F.regexp_extract(e, "^" + opening, 0)), closing))
+    return let(markup(html), first)
+
+
+def _up_to(x: Column, closer: str) -> Column:
+    return F.regexp_extract(x, rf"(?s)^(.*?)(?:{closer}|\z)", 1)
 
 
 def extract_title(html, tag: str = "title", attr: str | None = None, value: str | None = None) -> Column:
@@ -201,7 +254,8 @@ def extract_title(html, tag: str = "title", attr: str | None = None, value: str
 
 def body_inner(html) -> Column:
     """Inner HTML of ``<body>``; an unclosed body runs to the end of the page."""
-    return F.regexp_extract(markup(html), element_inner_pattern("body", to_end=True), 1)
+    inner = select_first_inner(html, "body", to_end=True)
+    return F.when(_col(html).isNotNull(), F.coalesce(inner, F.lit("")))
 
 
 def extract_content(html) -> Column:
@@ -215,18 +269,21 @@ def text_of(inner) -> Column:
 
 
 def _tags(html: Column, tag: str) -> Column:
-    """All opening tags of one name, as written; none begins after the last ``>``."""
-    closed = F.regexp_extract(html, "(?s)^(.*>)", 1)
-    return F.regexp_extract_all(closed, F.lit(rf"(?i)<{tag}{TAG_REST}"), F.lit(0))
+    """All opening tags of one name, as written."""
+    return F.filter(F.regexp_extract_all(html, F.lit(_opening(tag)), F.lit(0)), _whole)
 
 
 def _attribute(tag: Column, attr: str) -> Column:
     """The value of the first attribute of that name, NULL when there is none."""
+    def name(pair):
+        return F.lower(F.regexp_replace(F.substring_index(F.substring(pair, 2, 1 << 30), "=", 1), WS_RUN, ""))
+
+    def value(pair):
+        return let(F.regexp_replace(_from(pair, F.substring_index(pair, "=", 1)), f"^={WS}*", ""), _unquote)
+
     def pick(t):
-        pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(ATTRIBUTE), 1).alias("k"),
-                             F.regexp_extract_all(t, F.lit(ATTRIBUTE), 2).alias("v"))
-        return F.get(F.filter(pairs, lambda p: F.lower(p["k"]) == attr.lower()), F.lit(0))["v"]
-    return let(let(tag, pick), _unquote)
+        return F.get(F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0)), lambda p: name(p) == attr.lower()), F.lit(0))
+    return let(let(tag, pick), value)
 
 
 def _unquote(v: Column) -> Column:
@@ -240,9 +297,9 @@ def extract_links(html) -> Column:
         def values(tag, attr):
             return F.transform(_tags(h, tag), lambda t: _attribute(t, attr))
         vals = F.concat(*[values(t, a) for t, a in LINK_TAGS])
-        return F.transform(F.filter(vals, lambda v: v.isNotNull() & ~v.startswith("#")), unescape_link)
-    closers = r"-->|</(?:[sS][cC][rR][iI][pP][tT]|[sS][tT][yY][lL][eE])[ \t\n\f\r]*>"
-    return let(_remove(_col(html), OPAQUE_BLOCKS, closers), from_clean)
+        return F.transform(F.filter(vals, lambda v: v.isNotNull() & ~v.startswith("#")), lambda v: unescape_link(_armed(v)))
+    clean = let(_disarm(_col(html), *BLOCKS.values()), lambda x: F.regexp_replace(x, OPAQUE_BLOCKS, ""))
+    return let(clean, from_clean)
 
 
 def attribute_of_first(html, tag: str, attr: str, match_attr: str | None = None,

@@ -89,7 +89,8 @@ def markup(x: str) -> str:
 
 
 def inner_pattern(tag: str, to_end: bool = False) -> str:
-    return rf"(?is)<{re.escape(tag)}{REST}(.*?)(?:</{tag}{SPACE}*>{'|\z' if to_end else ''})"
+    end = r"|\z" if to_end else ""
+    return rf"(?is)<{re.escape(tag)}{REST}(.*?)(?:</{tag}{SPACE}*>{end})"
 
 
 def _elements(x: str, tag: str) -> str:

@@ -117,10 +117,25 @@ def test_attributes_are_taken_whole(spark):
     assert _one(spark, page, title=Selector("h1", "class", "name")).title == "yes"
 
 
-def test_unclosed_blocks_of_a_megabyte_are_linear(spark):
+def test_a_megabyte_of_openers_is_linear(spark):
+    """Openers that nothing closes, alone or before a closer of another kind, and quotes that never end."""
     import time
-    for unit in ("<script><p>", "<!--", "<a <", "<style>"):
-        df = _pages(spark, "<body>" + unit * (1_000_000 // len(unit))).repartition(2)
-        began = time.time()
-        df.select(F.length(H.extract_content("html")), F.size(H.extract_links("html"))).collect()
-        assert time.time() - began < 20, unit
+    units = (("<script>", "-->"), ("<title>", "-->"), ("<a '", '">'), ("<script ", "</script>"), ("<title '", '"></title>'),
+             ("<!--", ""), ("<style><p>", ""), ("<h1 class ", ">"), ("<a x='x=\"", ">"), ("<body '", '">'))
+    for unit, end in units:
+        df = _pages(spark, "<body>" + unit * (1_000_000 // len(unit)) + end).repartition(2)
+        for f in (lambda: F.size(H.extract_links("html")), lambda: F.length(H.extract_title("html")),
+                  lambda: F.length(H.extract_content("html")),
+                  lambda: F.length(H.select_first_inner("html", "h1", "class", "x"))):
+            began = time.time()
+            df.select(f()).collect()
+            assert time.time() - began < 5, unit
+
+
+def test_openers_without_an_end_hide_nothing(spark):
+    page = ("<title>T<!-- c --></title><script>x<title>no</title></script><!-- <a href=/no> --><a href='/1'>"
+            "<h1 class=y>no</h1><h1 class=x>yes</h1><script>open<a href=/2><style><title>two</title><!-- <a href=/3>")
+    r = _one(spark, page)
+    assert r.title == "Ttwo" and r.links == ["/1", "/2", "/3"]
+    assert _one(spark, page, title=Selector("h1", "class", "x")).title == "yes"
+    assert _one(spark, "<a href=/1><a href='/2").links == ["/1"]            # a tag that never ends is none
