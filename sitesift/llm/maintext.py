@@ -1,7 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a flat list of elements in page order. Elements that are
-boilerplate by tag, role or class are set aside. Every paragraph earns points
+boilerplate by tag, role or class are set aside; but one that holds most of the
+prose around it is a layout (a form around the page, a body of class
+``right-sidebar``), not boilerplate, when little prose is left without it or the
+headline or article stands in it. Every paragraph earns points
 for its length and commas and passes them to its parent, grandparent and so on
 with falling weight; a container's score is discounted by the share of its text
 that is links. The article or main element around the best container is kept as
@@ -28,17 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())    # xmp is shown as it is
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre
-section summary table tbody td tfoot th thead tr ul""".split())
+section summary table tbody td tfoot th thead tr ul xmp""".split())
 # Opening one of these ends the open elements named, up to the nearest of the bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
         "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}),
         "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "option": ({"option"}, {"select"})}
-DROPPED_TAGS = frozenset("""head script style noscript template iframe svg canvas object embed nav aside footer form
-button input select textarea fieldset dialog menu title""".split())
+NEVER_TEXT = frozenset("""head script style noscript template iframe svg canvas object embed noembed noframes button input
+select textarea dialog title""".split())
+ASIDE_TAGS = frozenset("nav aside footer form fieldset menu".split())
+# Names of places for readers' comments; such a place is a layout only if nothing else has prose.
+READERS = frozenset("comment comments commentlist discussion disqus feedback replies respond responses".split())
+LEAST_PROSE = 140                    # characters: less is no article beside a layout
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Parts of class names and ids that mark boilerplate, and those that mark content.
 BAD = frozenset("""ad ads adsense advert advertisement adverts adbox banner breadcrumb breadcrumbs comment comments
@@ -51,6 +58,7 @@ WEAK = frozenset("alert header head meta bar side tags warning".split())      #
 GOOD = frozenset("article body content entry hentry main page post story text blog".split())
 MODIFIERS = frozenset("has with no is without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd figcaption".split())
 TAG_SCORE = {"article": 25, "main": 25, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3,
              "dl": -3, "li": -3, "form": -3, "address": -3, "th": -5} | dict.fromkeys(HEADINGS, -5)
@@ -63,10 +71,10 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
-    """Elements in page order (tag, parent, dropped) and the page's text pieces."""
+    """Elements in page order (tag, parent, verdict, names) and the page's text pieces."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.dropped, self.names = ["#page"], [0], [False], [()]
+        self.tag, self.parent, self.verdict, self.names = ["#page"], [0], [SHOWN], [()]
         self.pieces: list[tuple[int, str | None]] = []        # (element, text); None begins a block
         self.stack, self.open = [0], {}
         self.unclosed: set[str] = set()
@@ -117,7 +125,10 @@ class Page:
                 if raw_end.get(tag) != -1:
                     stop = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
                     raw_end[tag] = stop.start() if stop else -1
-                at = raw_end[tag] if raw_end[tag] != -1 else len(html)
+                stop = raw_end[tag] if raw_end[tag] != -1 else len(html)
+                if tag == "xmp":
+                    self.text(html[at:stop].replace("&", "&amp;"))
+                at = stop
         if at < len(html):
             self.text(html[at:])
 
@@ -172,34 +183,91 @@ class Page:
         if tag in VOID:
             return
         up = self.stack[-1]
-        bad, names = boilerplate(tag, attributes, self.open)
+        verdict, names = boilerplate(tag, attributes, self.open)
         self.tag.append(tag)
         self.parent.append(up)
-        self.dropped.append(self.dropped[up] or bad)
+        self.verdict.append(verdict)
         self.names.append(names)
         self.stack.append(len(self.tag) - 1)
         self.open[tag] = self.open.get(tag, 0) + 1
 
 
-def boilerplate(tag: str, attributes: str, opened: dict) -> tuple[bool, tuple]:
-    """(whether the element is set aside, the parts of its class and id)."""
+SHOWN, ASIDE, HIDDEN = range(3)
+
+
+def boilerplate(tag: str, attributes: str, opened: dict) -> tuple[int, tuple]:
+    """(whether the element is shown, boilerplate by its looks or never text; the parts of its class and id)."""
     names: list[str] = []
+    aside = tag in ASIDE_TAGS or tag == "header" and not (opened.get("article") or opened.get("main"))
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 names += [p.lower() for p in PARTS.findall(value)]
-            elif key == "role" and value.strip().lower() in DROPPED_ROLES or key == "hidden" \
-                    or key == "aria-hidden" and value.lower() == "true" \
+            elif key == "role" and value.strip().lower() in DROPPED_ROLES:
+                aside = True
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" \
                     or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-                return True, ()
-    if tag in DROPPED_TAGS or tag == "header" and not (opened.get("article") or opened.get("main")):
-        return True, tuple(names)
-    if tag in ("html", "body", "article", "main"):
-        return False, tuple(names)
-    plain = [p for before, p in zip(["", *names], names, strict=False) if before not in MODIFIERS]
-    bad = any(p in BAD for p in plain) or any(p in WEAK for p in plain) and not any(p in GOOD for p in plain)
-    return bad, tuple(names)
+                return HIDDEN, ()
+    if tag in NEVER_TEXT:
+        return HIDDEN, tuple(names)
+    if tag not in ("html", "body", "article", "main"):
+        plain = [p for before, p in zip(["", *names], names, strict=False) if before not in MODIFIERS]
+        aside |= any(p in BAD for p in plain) or any(p in WEAK for p in plain) and not any(p in GOOD for p in plain)
+    return ASIDE if aside else SHOWN, tuple(names)
+
+
+def set_aside(page: Page, prose: list[int]) -> list[bool]:
+    """Which elements are left out. ``prose``: characters of each element's own text that are no links.
+
+    Going down, an element that looks like boilerplate is a layout if it holds over half of the prose of the
+    region (the page, or the layout around it) and either the prose of the region that stands in no such
+    element is less than ``LEAST_PROSE`` (and it holds that much itself), or a headline, article or main
+    element stands in it. A place for readers' comments needs the first."""
+    n = len(page.tag)
+    whole, clean, headed = list(prose), list(prose), [t in ("h1", "article", "main") for t in page.tag]
+    for i in range(n - 1, 0, -1):
+        up = page.parent[i]
+        if page.verdict[i] == HIDDEN:
+            continue
+        whole[up] += whole[i]
+        headed[up] = headed[up] or headed[i]
+        clean[up] += clean[i] if page.verdict[i] == SHOWN else 0
+    dropped, region = [False] * n, [0] * n
+    for i in range(1, n):
+        up = page.parent[i]
+        r = region[i] = region[up]
+        dropped[i] = dropped[up] or page.verdict[i] == HIDDEN
+        if dropped[i] or page.verdict[i] == SHOWN:
+            continue
+        rest = clean[r] < LEAST_PROSE
+        layout = rest and (headed[i] or whole[i] >= LEAST_PROSE) or headed[i] and not any(p in READERS for p in page.names[i])
+        if layout and whole[i] * 2 > whole[r]:
+            region[i] = i
+        else:
+            dropped[i] = True
+    return dropped
+
+
+def headed_lists(page: Page, pieces: list, length: list[int]) -> dict[int, tuple[int, bool]]:
+    """Lists that a heading stands right before: (the heading, whether its words name boilerplate)."""
+    block = [0] * len(page.tag)                        # the block that an element is or stands in
+    for i in range(1, len(page.tag)):
+        block[i] = i if page.tag[i] in BLOCKS else block[page.parent[i]]
+    words: dict[int, list[str]] = {}
+    for i, t in pieces:
+        if t and page.tag[block[i]] in HEADINGS:
+            words.setdefault(block[i], []).append(t)
+    said = {i: "".join(t) for i, t in words.items()}
+    out, before = {}, {}
+    for i in range(1, len(page.tag)):
+        up = page.parent[i]
+        if page.tag[i] in LISTS and before.get(up, 0) in said:
+            h = before[up]
+            out[i] = h, any(p.lower() in BAD for p in PARTS.findall(said[h]))
+        if length[i]:
+            before[up] = i
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -212,8 +280,13 @@ def main_text(html: str | None) -> str:
     linked = [False] * n
     for i in range(1, n):
         linked[i] = linked[page.parent[i]] or page.tag[i] == "a"
-    pieces = [(i, None if t is None else unescape(t) if "&" in t else t) for i, t in page.pieces
-              if not page.dropped[i]]
+    pieces = [(i, None if t is None else unescape(t) if "&" in t else t) for i, t in page.pieces]
+    prose = [0] * n
+    for i, t in pieces:
+        if t and not linked[i]:
+            prose[i] += len(" ".join(t.split()))
+    dropped = set_aside(page, prose)
+    pieces = [(i, t) for i, t in pieces if not dropped[i]]
     for i, t in pieces:
         if t:
             size = len(" ".join(t.split()))
@@ -232,7 +305,7 @@ def main_text(html: str | None) -> str:
         tag = page.tag[i]
         prose = tag in PARAGRAPHS or tag in ("div", "section", "article", "main", "body") and own[i] >= LEAST_PARAGRAPH
         size, seps = (length[i], commas[i]) if tag in PARAGRAPHS else (own[i], own[i] // 60)
-        if page.dropped[i] or not prose or size < LEAST_PARAGRAPH:
+        if dropped[i] or not prose or size < LEAST_PARAGRAPH:
             continue
         earned[i] = True
         points = 1 + seps + min(size / 100, 3)
@@ -253,7 +326,7 @@ def main_text(html: str | None) -> str:
         path = [best]
         while path[-1]:
             path.append(page.parent[path[-1]])
-        tops = [i for i in path if page.tag[i] in ("article", "main") and not page.dropped[i]]
+        tops = [i for i in path if page.tag[i] in ("article", "main") and not dropped[i]]
         # The article is kept as a whole, or main if it holds articles beside it.
         whole = next((i for i in tops if page.tag[i] == "main"), tops[0]) if tops else best
         kept.add(whole)
@@ -261,7 +334,7 @@ def main_text(html: str | None) -> str:
         for i in range(1, n):
             beside.setdefault(page.parent[i], []).append(i)
         for step in path[path.index(whole):-1]:
-            siblings = [i for i in beside[page.parent[step]] if i != step and not page.dropped[i]]
+            siblings = [i for i in beside[page.parent[step]] if i != step and not dropped[i]]
             taken = []
             for i in siblings:
                 dense = links[i] / max(1, length[i])
@@ -276,16 +349,20 @@ def main_text(html: str | None) -> str:
                 kept.update(i for i in siblings if i < last and page.tag[i] in HEADINGS and not links[i])
     else:
         for wanted in ("article", "main", "body"):
-            kept = {i for i in range(n) if page.tag[i] == wanted and not page.dropped[i] and length[i]}
+            kept = {i for i in range(n) if page.tag[i] == wanted and not dropped[i] and length[i]}
             if kept:
                 break
         kept = kept or {0}
     exempt = kept.union(path)
+    article = any(page.tag[i] in ("article", "main") for i in kept)
+    listed = headed_lists(page, pieces, length)
+    removed = {h for i, (h, bad) in listed.items() if links[i] > 0.5 * length[i] and (bad or not article)}
+    spared = {i for i, (_, bad) in listed.items() if article and not bad}
     inside, cleaned = [False] * n, [False] * n
     for i in range(n):
         up = page.parent[i]
-        cleaned[i] = (i > 0 and cleaned[up]) or page.tag[i] in ("ul", "ol", "div", "section", "table", "dl") \
-            and i not in exempt and links[i] > 0.5 * length[i]
+        cleaned[i] = (i > 0 and cleaned[up]) or i in removed or page.tag[i] in LISTS | {"div", "section"} \
+            and i not in exempt and i not in spared and links[i] > 0.5 * length[i]
         inside[i] = i in kept or (i > 0 and inside[up])
     blocks, line = [], []
     for i, t in pieces:

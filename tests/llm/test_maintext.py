@@ -91,3 +91,44 @@ def test_query_form(spark):
     out = extract(df).collect()
     assert sorted((r.text, r.n_chars) for r in out) == sorted([(WANT, len(WANT)), ("", 0), ("", 0), ("x", 1)])
     assert extract(df.limit(0)).count() == 0
+
+
+SENTENCES = "This is a sentence of the article, with commas, and more words to read. " * 4
+LAID = "<h1>Headline</h1>" + f"<p>{SENTENCES}</p>" * 4
+LAID_TEXT = "Headline\n\n" + "\n\n".join([SENTENCES.strip()] * 4)
+READER_BOX = "<div class=comments>" + ("<article class=comment><p>" + "I am a reader and have, really, a lot to say. " * 8
+                                    + "</p></article>") * 8 + "</div>"
+
+
+def framed(body):
+    return ("<html><head><title>x</title></head><body><nav><a href=/>Home</a> <a href=/a>About</a></nav>" + body
+            + "<footer>Copyright, all rights reserved</footer></body></html>")
+
+
+def test_a_layout_around_the_article_is_no_boilerplate():
+    layouts = ["<form id=aspnetForm><div>{}</div></form>", "<fieldset>{}</fieldset>", "<div role=form>{}</div>",
+               "<header>{}</header>", "<aside class=x><section>{}</section></aside>"]
+    layouts += [f'<div class="{c}"><div>{{}}</div></div>' for c in (
+        "right-sidebar", "layout-sidebar", "comments-open", "social-share-on", "menu-closed", "legal-content")]
+    layouts += [f'<div id="{c}"><div>{{}}</div></div>' for c in ("print-area", "search-results")]
+    layouts += [f'<form><div class="{c}"><div>{{}}</div></div></form>' for c in ("right-sidebar", "comments-open")]
+    for layout in layouts:
+        assert main_text(framed(layout.format(LAID))) == LAID_TEXT, layout
+        assert main_text(framed(layout.format(f"<article>{LAID}</article>"))) == LAID_TEXT, layout
+
+
+def test_boilerplate_longer_than_the_article_stays_out():
+    advert = "<div class=sidebar><p>" + "Buy this thing now, it is great and cheap and new. " * 60 + "</p></div>"
+    for page in (f"<div class=post>{LAID}</div>{READER_BOX}", f"<div class=post>{LAID}</div>{advert}",
+                 f"<form><div class=right-sidebar><div class=post>{LAID}</div>{advert}{READER_BOX}</div></form>",
+                 f"<main><article>{LAID}</article></main>{READER_BOX}{advert}"):
+        assert main_text(framed(page)) == LAID_TEXT, page
+
+
+def test_link_lists_of_an_article_and_xmp_stay():
+    links = "<h2>Sources</h2><ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ul>"
+    got = main_text(framed(f"<article>{LAID}{links}<xmp>a <b> &amp;</xmp></article>"))
+    assert got == LAID_TEXT + "\n\nSources\n\nFirst source\n\nSecond source\n\na <b> &amp;"
+    related = "<h2>Related stories</h2><ul><li><a href=/1>First story</a></li><li><a href=/2>Second story</a></li></ul>"
+    assert main_text(framed(f"<article>{LAID}{related}</article>")) == LAID_TEXT
+    assert main_text(framed(f"<div>{LAID}{related.replace('Related', 'Latest')}</div>")) == LAID_TEXT
