@@ -8,15 +8,19 @@ the prefix sum of sizes comes nearest to the target.
 
 At scale: the prefix sum runs in two levels. Sizes are summed per
 (source, key bucket) with map-side combine, which places the cut of every
-source in one bucket; only that bucket's rows are sorted. A source with a
-third of all rows is therefore never sorted in one task, and no text is
-shuffled.
+source in one bucket; only that bucket's groups of equal rows are sorted.
+Buckets are ranges of the key's logarithm, whose distribution has the same
+spread whatever the weight: none holds over 1 % of a source's distinct rows,
+and their number grows with the rows. Equal rows share a key and are counted,
+not sorted; if a cut falls among them, as many as bring the source nearest to
+its target are taken, by their place in the written table, again in two levels.
+No text is shuffled.
 
 Defined cases: null text has size 0 and weight 1; a null source is a source of
 its own, sorted last; documents of size 0 are taken when their key lies before
 the cut; a source without words has target 0 and takes nothing; rows that
-repeat a doc_id (or hold null) with equal key stand or fall together; an empty
-table gives an empty result; other columns pass through ``mix`` unchanged,
+repeat a doc_id (or hold null) draw different keys if their texts differ, and are
+taken one by one if not; an empty table gives an empty result; other columns pass through ``mix`` unchanged,
 but for one named like an output column, which is replaced.
 """
 
@@ -31,7 +35,7 @@ SOURCE_WEIGHTS = (3, 1, 2)     # repeating, over sources by code point
 SHARE = 1.5                    # of all sizes
 MAX_EPOCHS = 2                 # a target stops at so many times its source's size
 SEED = "mix"
-MIN_BUCKETS, ROWS_PER_BUCKET = 1024, 20_000
+LEAST_PER_UNIT, ROWS_PER_BUCKET = 64, 20_000      # buckets a unit of ln(key), of which the densest holds 0.37 of the rows
 MIN_QUALITY = 0.1
 
 
@@ -43,10 +47,11 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(MIN_QUALITY), kept / n)).otherwise(F.lit(1.0))
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight, u in (0, 1) from 52 bits of a hash of the id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))),
-                              1, 13), 16, 10).cast("double")
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: str = SEED) -> Column:
+    """-ln(u) / weight, u in (0, 1) from 52 bits of a hash of the id and the text."""
+    shown = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), shown, F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
+    bits = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double")
     return -F.log((bits + 0.5) / float(2 ** 52)) / weight
 
 
@@ -54,7 +59,8 @@ def measure(docs: DataFrame, weight: Column | None = None, seed: str = SEED) ->
     """The columns the sampling needs: doc_id, source, size, key."""
     w = quality_weight(F.col("text")) if weight is None else weight
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       word_count(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), w, seed).alias("key"))
+                       word_count(F.col("text")).alias("size"),
+                       sampling_key(F.col("doc_id"), F.col("text"), w, seed).alias("key"))
 
 
 def source_targets(sizes: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE,
@@ -84,12 +90,13 @@ def source_targets(sizes: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHAR
 
 
 def cuts(rows: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS):
-    """(one row per source with its target, epochs and cut; number of buckets)
-    for measured ``rows``, which are read three times (pass a staged table)."""
+    """(one row per source with its target, epochs, cut and how many of the cut's equal
+    rows are taken; buckets a unit) for measured ``rows``, which are read three times
+    (pass a staged table)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     sizes = staged(sizes, "mix-sizes")
     n = sizes.agg(F.sum("_n")).first()[0] or 0
-    buckets = max(MIN_BUCKETS, n // ROWS_PER_BUCKET)
+    buckets = max(LEAST_PER_UNIT, int(0.37 * n) // ROWS_PER_BUCKET)
     targets = (source_targets(sizes.select("source", "source_size"), weights, share, max_epochs)
                .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                            .otherwise(0).cast("int"))
@@ -108,29 +115,53 @@ def cuts(rows: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE, max_epoc
 
     inside = (rows.join(cut_bucket, F.col("source").eqNullSafe(F.col("_source"))
                         & (bucket_of(F.col("key"), buckets) == F.col("cut_bucket")))
-              .groupBy("source", "base", "key", "doc_id").agg(F.sum("size").alias("_sum"))
-              .withColumn("_cum", F.col("base") + F.sum("_sum").over(
-                  Window.partitionBy("source").orderBy("key", "doc_id"))))
+              .groupBy("source", "base", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("_rows"))
+              .withColumn("_before", F.col("base") + F.coalesce(F.sum(F.col("_rows") * F.col("size")).over(
+                  Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(
+                      Window.unboundedPreceding, -1)), F.lit(0))))
+    # A row is taken when its middle lies before the end; the first group of equal rows not taken whole is the cut.
+    room = 2 * (F.col("rest") - F.col("_before"))
+    some = F.when(F.col("size") == 0, F.when(room >= 0, F.col("_rows")).otherwise(0)).otherwise(
+        F.greatest(F.lit(0), F.floor((room + F.col("size")) / (2 * F.col("size"))))).cast("long")
     cut = (inside.join(t, F.col("source").eqNullSafe(F.col("_source")))
-           .where(F.col("_cum") * 2 - F.col("_sum") > F.col("rest") * 2)
-           .groupBy("source").agg(F.min(F.struct("key", "doc_id")).alias("cut"))
-           .select(F.col("source").alias("_cut_source"), "cut"))
+           .withColumn("_some", some).where(F.col("_some") < F.col("_rows"))
+           .groupBy("source").agg(F.min(F.struct(F.struct("key", "doc_id").alias("cut"), "_some")).alias("_c"))
+           .select(F.col("source").alias("_cut_source"), "_c.cut", F.col("_c._some").alias("some")))
     out = (targets.join(cut_bucket, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
            .join(cut, F.col("source").eqNullSafe(F.col("_cut_source")), "left")
-           .select("source", "source_size", "target", "epochs", "cut_bucket", "cut"))
+           .select("source", "source_size", "target", "epochs", "cut_bucket", "cut", F.coalesce("some", F.lit(0)).alias("some")))
     return small_side(out, "mix-cuts"), buckets
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
-    return F.floor((1 - F.exp(-key)) * buckets)
+    return F.floor(F.log(key) * buckets)
 
 
-def copies_of(buckets: int) -> Column:
-    """Epochs, plus one for documents before the cut of their source."""
+def copied(rows: DataFrame, cut: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` (with doc_id, source, key) joined with their source's ``cut``, and ``copies``: its epochs, plus
+    one before the cut. Where a cut falls among equal rows, as many of them as it says."""
     b = bucket_of(F.col("key"), buckets)
-    taken = (b < F.col("cut_bucket")) | ((b == F.col("cut_bucket"))
-                                         & (F.col("cut").isNull() | (F.struct("key", "doc_id") < F.col("cut"))))
-    return (F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("int")).cast("long")
+    place = F.struct("key", "doc_id")
+    before = (b < F.col("cut_bucket")) | ((b == F.col("cut_bucket")) & (F.col("cut").isNull() | (place < F.col("cut"))))
+    whole = rows.join(cut, F.col("source").eqNullSafe(F.col("_source")))
+    taken = whole.withColumn("copies", F.col("epochs").cast("long") + F.coalesce(before, F.lit(False)).cast("long"))
+    if not cut.where("some > 0").take(1):
+        return taken
+    split = F.coalesce((b == F.col("cut_bucket")) & (place == F.col("cut")) & (F.col("some") > 0), F.lit(False))
+    equal = staged(whole.where(split).withColumn("_at", F.monotonically_increasing_id()), "mix-equal")
+    # How many lie in each part of the written table, then places within the part that holds the last one.
+    part = F.shiftright("_at", 33)
+    per = (equal.groupBy("_source", "some", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+           .withColumn("_before", F.sum("_n").over(Window.partitionBy("_source").orderBy("_part")) - F.col("_n")))
+    last = (per.where((F.col("_before") < F.col("some")) & (F.col("_before") + F.col("_n") >= F.col("some")))
+            .select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), "_before"))
+    last = small_side(last, "mix-parts")
+    end = (equal.join(last, F.col("_source").eqNullSafe(F.col("_s")) & (part == F.col("_p")))
+           .withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy("_at")) + F.col("_before"))
+           .where(F.col("_i") == F.col("some")).select("_s", F.col("_at").alias("_end")))
+    equal = (equal.join(small_side(end, "mix-ends"), F.col("_source").eqNullSafe(F.col("_s")))
+             .withColumn("copies", F.col("epochs").cast("long") + (F.col("_at") <= F.col("_end")).cast("long")))
+    return taken.where(~split).unionByName(equal.select(*taken.columns))
 
 
 def allocate(measured: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE,
@@ -138,9 +169,7 @@ def allocate(measured: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE,
     """doc_id, size, source_size, target, copies, taken, source for every measured row."""
     rows = staged(measured, "mix-rows")
     cut, buckets = cuts(rows, weights, share, max_epochs)
-    cut = cut.withColumnRenamed("source", "_source")
-    return (rows.join(cut, F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("copies", copies_of(buckets))
+    return (copied(rows, cut.withColumnRenamed("source", "_source"), buckets)
             .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
                     "copies", "source"))
 
@@ -153,13 +182,11 @@ def mix(docs: DataFrame, weight: Column | None = None, weights=SOURCE_WEIGHTS, s
     cut, buckets = cuts(staged(measure(docs, weight, seed), "mix-rows"), weights, share, max_epochs)
     w = quality_weight(F.col("text")) if weight is None else weight
     names = docs.columns
-    cut = cut.select("epochs", "cut_bucket", "cut", F.col("source").alias("_mix_source"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"),
                         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                        sampling_key(F.col("doc_id"), w, seed).alias("key"))
-    return (whole.join(cut, F.col("source").eqNullSafe(F.col("_mix_source")))
-            .withColumn("_copies", copies_of(buckets)).where("_copies > 0")
-            .select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_i"))
+                        sampling_key(F.col("doc_id"), F.col("text"), w, seed).alias("key"))
+    return (copied(whole, cut.withColumnRenamed("source", "_source"), buckets).where("copies > 0")
+            .select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_i"))
             .select("_doc.*"))
 
 
@@ -170,7 +197,7 @@ WITH d AS (
          CASE WHEN length(text) > 0
               THEN greatest(0.1::DOUBLE, length(regexp_replace(text, '[!-`{-~]+', '', 'g'))::DOUBLE / length(text))
               ELSE 1.0::DOUBLE END AS w,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE AS h
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE AS h
   FROM documents),
 k AS (SELECT *, -ln((h + 0.5) / 4503599627370496.0::DOUBLE) / w AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
@@ -184,13 +211,11 @@ l AS (SELECT *, row_number() OVER o AS pos,
 f AS (SELECT min(pos) AS p, min_by(lev, pos) AS lev FROM l WHERE cap / sw > l.lev),
 t AS (SELECT source, source_size, CASE WHEN f.p IS NULL OR l.pos < f.p THEN cap ELSE sw * f.lev END AS target FROM l, f),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::INT AS epochs FROM t),
-g AS (SELECT source, key, doc_id, sum(size) AS gs FROM k GROUP BY ALL),
-q AS (SELECT *, sum(gs) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST) AS cum FROM g)
-SELECT k.doc_id, k.size, e.source_size, e.target, k.source,
-       (epochs + CASE WHEN source_size > 0 AND cum * 2 - gs <= (target - epochs * source_size) * 2 THEN 1 ELSE 0 END)::BIGINT
-         AS copies,
-       (k.size * (epochs + CASE WHEN source_size > 0 AND cum * 2 - gs <= (target - epochs * source_size) * 2
-                                THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
-JOIN q ON k.source IS NOT DISTINCT FROM q.source AND k.key = q.key AND k.doc_id IS NOT DISTINCT FROM q.doc_id
+q AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM k),
+z AS (SELECT q.*, e.source_size, e.target,
+             (epochs + CASE WHEN e.source_size > 0 AND cum * 2 - size <= (target - epochs * e.source_size) * 2 THEN 1 ELSE 0 END)
+               ::BIGINT AS copies
+      FROM q JOIN e ON q.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, source, copies, (size * copies)::BIGINT AS taken FROM z
 """

@@ -74,3 +74,40 @@ def test_hot_source_equals_sql(spark, tmp_path):
     cols = rel.columns
     got = sorted(repr({c: r[c] for c in cols}) for r in mixing.allocate(mixing.measure(spark.read.parquet(path))).collect())
     assert got == want
+
+
+def nearness(rows):
+    """{source: (target, taken, largest size)}"""
+    out = {}
+    for r in rows:
+        target, taken, most = out.get(r.source, (r.target, 0, 0))
+        out[r.source] = (target, taken + r.taken, max(most, r["size"]))
+    return out
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    """All rows equal, ids null: the taken words come within a document of the target, in both operators."""
+    equal = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("four words of text").alias("text"),
+                                     F.lit("s").alias("source")).repartition(7)
+    more = spark.range(500).select((F.col("id") % 3).alias("doc_id"), F.lit("one two three").alias("text"),
+                                   (F.col("id") % 2).cast("string").alias("source"))
+    for docs in (equal, equal.unionByName(more), more):
+        rows = mixing.allocate(mixing.measure(docs)).collect()
+        for target, taken, most in nearness(rows).values():
+            assert abs(taken - target) <= most / 2 + 1e-6
+        assert mixing.mix(docs).count() == sum(r.copies for r in rows) and len(rows) == docs.count()
+
+
+def test_one_id_with_many_texts(spark):
+    docs = spark.range(1000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+                                    F.lit("s").alias("source"))
+    (target, taken, _), = nearness(mixing.allocate(mixing.measure(docs)).collect()).values()
+    assert abs(target - taken) <= 1
+
+
+def test_no_bucket_holds_more_than_a_hundredth(spark):
+    shouting = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("ABC").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.measure(shouting)
+    assert rows.select(mixing.quality_weight(F.lit("ABC"))).first()[0] == 0.1
+    per = rows.groupBy(mixing.bucket_of(F.col("key"), mixing.LEAST_PER_UNIT).alias("b")).count()
+    assert per.agg(F.max("count")).first()[0] < 2000
