@@ -2,7 +2,8 @@
 
 Base entities (e-mail, IP address, card and phone number) are found by fixed
 patterns and checks, leftmost and non-overlapping per kind. They are the seeds:
-the two words before a seed are a lexical pattern. Tokens that hold a digit or
+the two words before a seed are a lexical pattern, and so is its shape (digits as
+0, letters as a), which texts without a cue before their identifiers share. Tokens that hold a digit or
 an at-sign, and runs of digit groups written with single spaces, that look like a
 kind but fail its base pattern, are the unseen instances. On the graph of patterns and instances, scores go back and forth for
 ``ROUNDS`` rounds: a pattern's confidence for a kind is the summed score of its
@@ -96,6 +97,11 @@ def pattern_of(left: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(words), rf"[{SPACE}]+", " "), "[0-9]", "0")
 
 
+def shape_of(m: Column) -> Column:
+    """The shape of an instance as a pattern, marked so that no words before one are equal to it."""
+    return F.concat(F.lit("\0"), F.regexp_replace(F.regexp_replace(m, "[A-Za-z]+", "a"), "[0-9]", "0"))
+
+
 def looks_like(kind: str, m: Column) -> Column:
     """Whether an unseen token has the shape of a kind."""
     n = F.length(_digits(m))
@@ -156,7 +162,9 @@ def discovered(base: DataFrame, unseen: DataFrame) -> DataFrame:
     """(m, k): unseen instances that reach the confidence, each with its best kind."""
     seeds = base.select("p", "k", "m", F.lit(1.0).alias("seed"), F.lit(True).alias("own"))
     other = unseen.select("p", "m", "own", F.explode_outer("ks").alias("k"))
-    seen = seeds.unionByName(other.select("p", "k", "m", F.lit(0.0).alias("seed"), "own")).where("p <> ''")
+    seen = seeds.unionByName(other.select("p", "k", "m", F.lit(0.0).alias("seed"), "own"))
+    patterns = F.array_distinct(F.array("p", shape_of(F.col("m"))))
+    seen = seen.select(F.explode(patterns).alias("p"), "k", "m", "seed", "own").where("p <> ''")
     edges = staged(seen.groupBy("p", "k", "m").agg(F.max("seed").alias("seed"), F.max("own").alias("own")), "pii-edges")
     supported = staged(edges.where("seed = 1").groupBy("p", "k").agg(F.count(F.lit(1)).alias("n"))
                        .where(F.col("n") >= SUPPORT).select(F.col("p").alias("_p"), F.col("k").alias("_k")), "pii-support")
