@@ -46,10 +46,10 @@ def file_url(path) -> Column:
     return F.regexp_replace(p, r"^file:/+", "file:///")
 
 
-def file_scan(spark: SparkSession, root: str, cfg: CrawlConfig | None = None) -> DataFrame:
+def file_scan(spark: SparkSession, root: str | list[str], cfg: CrawlConfig | None = None) -> DataFrame:
     """A4: ``(url, path, length, modificationTime, content_type, content)``
-    for every listed file below ``root`` (recursively), after the file
-    chain (scheme, path include/exclude)."""
+    for every listed file below ``root`` (recursively; a folder, a file or
+    several), after the file chain (scheme, path include/exclude)."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
           .option("pathGlobFilter", LISTING_GLOB).load(root))
     df = df.select(file_url("path").alias("url"), "path", "length", "modificationTime",
