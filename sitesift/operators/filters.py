@@ -109,7 +109,11 @@ def depth_ok(depth, max_depth: int | None) -> Column:
 # ------------------------------------------------------------ DataFrame ops
 def filter_hosts(df: DataFrame, host_col: str, hosts) -> DataFrame:
     """C3 on a DataFrame: IN list for short lists, broadcast semi join else
-    (the list is a driver-side config value, so its size is known)."""
+    (the list is a driver-side config value, so its size is known). ``hosts`` may
+    also be a DataFrame with a ``host`` column, which may grow with the data: a
+    semi join that Spark plans from its size."""
+    if isinstance(hosts, DataFrame):
+        return df.join(hosts.select(F.col("host").alias(host_col)).distinct(), host_col, "left_semi")
     hs = CrawlConfig.hosts(hosts)
     if not hs:
         return df

@@ -108,7 +108,7 @@ def _write_bucketed(spark: SparkSession, df: DataFrame, path: str, key: str) ->
     stage = path + "_stage"
     rows = _write_counted(df, stage)
     n = max(1, -(-rows // ROWS_PER_BUCKET))
-    name = "sitesift_" + os.path.basename(os.path.dirname(path)).replace("-", "_") + "_" + os.path.basename(path)
+    name = _table_name(path)
     try:
         (spark.read.parquet(stage).repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
          .option("path", path).format("parquet").saveAsTable(name))
@@ -143,10 +143,22 @@ def _done(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def _table_name(path: str) -> str:
+    return "sitesift_" + os.path.basename(os.path.dirname(path)).replace("-", "_") + "_" + os.path.basename(path)
+
+
+def _forget(spark: SparkSession, *paths: str) -> None:
+    """Drop the catalog entries of a finished crawl's static tables; their files stay with it."""
+    for path in paths:
+        name = _table_name(path)
+        if spark.catalog.tableExists(name):
+            spark.sql(f"DROP TABLE {name}")
+
+
 def _reopen(spark: SparkSession, path: str) -> DataFrame:
     """A static table of an interrupted crawl: the bucketed table when this
     session still knows it, else its staged Parquet files."""
-    name = "sitesift_" + os.path.basename(os.path.dirname(path)).replace("-", "_") + "_" + os.path.basename(path)
+    name = _table_name(path)
     if spark.catalog.tableExists(name):
         return spark.table(name)
     return spark.read.parquet(path + "_stage")
@@ -235,4 +247,5 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
         new = anti_join_seen(cand, visited, "url")
         d += 1
         n = _write_counted(new.select("url", "referrer", "pos"), lvl("frontier", d))
+    _forget(spark, cap_path, edge_path)
     return CrawlResult(root, levels)

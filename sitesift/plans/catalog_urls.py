@@ -80,9 +80,8 @@ def q_hostname_filter(spark, sf):
     """Resolved links kept when their host is one of the captured sites
     (a semi join: the host set grows with the data, so it is not inlined)."""
     links = U.with_resolved(_hrefs(spark, sf), "href", "src_url", "url").select("page_id", "pos", "url")
-    hosts = _pages(spark, sf).select(U.uri_host("url").alias("host")).distinct()
-    return (links.withColumn("host", U.uri_host("url")).join(hosts, "host", "left_semi")
-            .select("page_id", "pos", "url"))
+    hosts = _pages(spark, sf).select(U.uri_host("url").alias("host"))
+    return C.filter_hosts(links.withColumn("host", U.uri_host("url")), "host", hosts).select("page_id", "pos", "url")
 
 
 def q_url_inclusion_filter(spark, sf):

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 # Session defaults for the engine. AQE re-plans joins from runtime sizes
@@ -80,7 +81,7 @@ def partitions_for(df, target_bytes: int = TARGET_INPUT_BYTES) -> int:
     spark = df.sparkSession
     try:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no statistics: fall back to the session setting
+    except Py4JError:        # no statistics: fall back to the session setting
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_size = -(-size // target_bytes)
     return int(max(spark.sparkContext.defaultParallelism, min(by_size, MAX_PARTITIONS)))

@@ -50,6 +50,11 @@ def test_fixture_graph(spark):
     assert "http://other/z" not in front                   # host filter
 
 
+def test_a_finished_crawl_leaves_no_tables(spark):
+    _kept(spark)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("sitesift_crawl")]
+
+
 def test_fixture_graph_max_depth(spark):
     kept, _ = _kept(spark, max_depth=1)
     assert [u for u, _ in kept] == ["http://h/a", "http://h/b", "http://h/c"]
