@@ -33,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -230,17 +230,20 @@ def windows(found: DataFrame) -> DataFrame:
         "doc_id", "th", "start", (F.col("start") + LEAST).alias("end"), kept.alias("kept"))
 
 
-def merged(spans: Column) -> Column:
-    """Sorted, overlapping or touching spans joined."""
-    kind = "array<struct<start:int,end:int>>"
+def merged(found: DataFrame) -> DataFrame:
+    """(th, spans, cut) of the passages of every text: overlapping or touching ones joined, all of them and
+    those that are not kept. A window over a text's sorted passages finds where a joined one begins."""
+    every = (found.select("th", F.lit(0).alias("which"), "start", "end")
+             .unionByName(found.where(~F.col("kept")).select("th", F.lit(1).alias("which"), "start", "end")).distinct())
+    order = Window.partitionBy("th", "which").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = every.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    joined = (begins.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy("th", "which", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")))
 
-    sorted_spans = F.array_sort(spans)
-    return F.aggregate(sorted_spans, F.array().cast(kind), lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["start"] <= F.get(acc, F.size(acc) - 1)["end"]),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
-            F.get(acc, F.size(acc) - 1)["start"].alias("start"),
-            F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))))
+    def of(which: int) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("which") == which, F.struct("start", "end"))))
+    return joined.groupBy("th").agg(of(0).alias("spans"), of(1).alias("cut"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -263,9 +266,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     around = staged(contexts(fetched), "suffix-contexts")
     found = staged(matched(around.where("not crowded").drop("crowded")).unionByName(
         windows(around.where("crowded"))), "suffix-matches")
-    span = F.struct("start", "end")
-    by_text = found.groupBy("th").agg(
-        merged(F.collect_set(span)).alias("spans"), merged(F.collect_set(F.when(~F.col("kept"), span))).alias("cut"))
+    by_text = merged(found)
 
     # Documents by text: copies repeat as wholes, and all but the first are cut as wholes.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"),

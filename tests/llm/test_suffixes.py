@@ -119,3 +119,21 @@ def test_words_in_chunks(monkeypatch):
     whole = suffixes.word_hashes(text)
     monkeypatch.setattr(suffixes, "CHUNK", 7)
     assert (suffixes.word_hashes(text) == whole).all() and len(whole) == 150
+
+
+def test_many_spans_of_one_text_are_joined(spark):
+    """40,000 passages of a text, some touching, some inside others, in time that grows with them."""
+    spans = [(1, 10 * i, 10 * i + 5 + 5 * (i % 3 == 0) + 12 * (i % 7 == 0), i % 5 == 0) for i in range(40_000)]
+    found = spark.createDataFrame(spans * 2, "th long, start int, end int, kept boolean").repartition(4)
+
+    def joined(rows):
+        out = []
+        for a, b in sorted(rows):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+    got, = suffixes.merged(found).collect()
+    assert [tuple(x) for x in got.spans] == joined((a, b) for _, a, b, _ in spans)
+    assert [tuple(x) for x in got.cut] == joined((a, b) for _, a, b, kept in spans if not kept)
