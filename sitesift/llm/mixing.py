@@ -18,7 +18,7 @@ No text is shuffled.
 
 Defined cases: null text has size 0 and weight 1; a null source is a source of
 its own, sorted last; documents of size 0 are taken when their key lies before
-the cut; a source without words has target 0 and takes nothing; rows that
+the cut, and never beyond the epochs of a source that has none; a source without words has target 0 and takes nothing; rows that
 repeat a doc_id (or hold null) draw different keys if their texts differ, and are
 taken one by one if not; an empty table gives an empty result; other columns pass through ``mix`` unchanged,
 but for one named like an output column, which is replaced.
@@ -108,7 +108,7 @@ def cuts(rows: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE, max_epoc
     cum = F.sum("_sum").over(Window.partitionBy("source").orderBy("cut_bucket"))
     t = targets.select(F.col("source").alias("_source"), "rest")
     cut_bucket = (by_bucket.withColumn("_cum", cum).join(t, F.col("source").eqNullSafe(F.col("_source")))
-                  .where(F.col("_cum") > F.col("rest")).groupBy("source")
+                  .where((F.col("rest") > 0) & (F.col("_cum") > F.col("rest"))).groupBy("source")
                   .agg(F.min(F.struct("cut_bucket", (F.col("_cum") - F.col("_sum")).alias("base"))).alias("_b"))
                   .select(F.col("source").alias("_source"), "_b.*"))
     cut_bucket = small_side(cut_bucket, "mix-buckets")
@@ -214,7 +214,7 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE
 q AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM k),
 z AS (SELECT q.*, e.source_size, e.target,
-             (epochs + CASE WHEN e.source_size > 0 AND cum * 2 - size <= (target - epochs * e.source_size) * 2 THEN 1 ELSE 0 END)
+             (epochs + CASE WHEN target > epochs * e.source_size AND cum * 2 - size <= (target - epochs * e.source_size) * 2 THEN 1 ELSE 0 END)
                ::BIGINT AS copies
       FROM q JOIN e ON q.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, source, copies, (size * copies)::BIGINT AS taken FROM z
