@@ -12,7 +12,7 @@ from ..operators.dedup import etag_dedup, first_per_key
 from ..operators.graph import degree_counts, link_edges
 from . import sql_html as SH
 from . import sql_urls as SU
-from .tables import read
+from .tables import captures, read
 
 # Fixed parameters of the registered queries (illustrative site settings).
 INDEX_DOCUMENT = "index.html"
@@ -23,6 +23,8 @@ PATH_EXCLUDE = (r"\.html$",)
 # Site crawl over captured pages: every host passes, spam hosts excluded.
 SITE = C.CrawlConfig(include_hosts=None, exclude_documents=EXCLUDE_DOCUMENTS)
 DOC_HOST_URL = "http://docs.test/"
+# A link's target is also written as the file of a local copy of the site.
+WEB_PREFIX, FILE_PREFIX = r"^https?://", "file:///"
 
 
 def _pages(spark, sf) -> DataFrame:
@@ -68,12 +70,21 @@ def q_remove_trailing_slash(spark, sf):
     return _pages(spark, sf).select("page_id", U.normalize("url", None, True).alias("url"))
 
 
+def _link_forms(spark, sf):
+    """Every link as written, as resolved, and as the file that holds a copy of its target."""
+    links = U.with_resolved(_hrefs(spark, sf), "href", "src_url", "url")
+    forms = {"written": F.col("href"), "resolved": F.col("url"),
+             "file": F.regexp_replace("url", WEB_PREFIX, FILE_PREFIX)}
+    return links.select("page_id", "pos", F.inline(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("link"))
+                                                             for k, v in forms.items()])))
+
+
 def q_scheme_filter_http(spark, sf):
-    return _hrefs(spark, sf).where(C.scheme_http("href")).select("page_id", "pos", "href")
+    return _link_forms(spark, sf).where(C.scheme_http("link"))
 
 
 def q_scheme_filter_file(spark, sf):
-    return _hrefs(spark, sf).where(C.scheme_file("href")).select("page_id", "pos", "href")
+    return _link_forms(spark, sf).where(C.scheme_file("link"))
 
 
 def q_hostname_filter(spark, sf):
@@ -107,8 +118,12 @@ def q_filter_chain(spark, sf):
 
 
 def q_needs_indexing(spark, sf):
-    from ..operators.extract import extract_pages
-    return C.needs_indexing(extract_pages(_pages(spark, sf), keep=("page_id",))).select("page_id")
+    """Captures of which a title or a body was extracted: no bodies, and types that are
+    not HTML, have neither."""
+    from ..operators.extract import dispatch, extract_pages
+    d = dispatch(captures(spark, sf))
+    d = d.withColumn("html", F.when(F.col("extractor") == "html", F.col("html")))
+    return C.needs_indexing(extract_pages(d, keep=("page_id",))).select("page_id")
 
 
 def q_link_edges(spark, sf):
@@ -164,6 +179,11 @@ def chain_sql(cfg: C.CrawlConfig, href: str, ref: str) -> tuple[str, str]:
 
 def oracle() -> dict[str, str]:
     w = "WITH " + HREFS_SQL + " "
+    forms = (w + f", resolved AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, href, "
+             f"{SU.resolve('href', 'src_url')} AS url FROM hrefs), "
+             f"forms AS (SELECT page_id, pos, 'written' AS form, href AS link FROM resolved "
+             f"UNION ALL SELECT page_id, pos, 'resolved', url FROM resolved "
+             f"UNION ALL SELECT page_id, pos, 'file', regexp_replace(url, '^https?://', 'file:///') FROM resolved) ")
     fc = C.CrawlConfig(include_hosts=None, index_document=INDEX_DOCUMENT, exclude_documents=EXCLUDE_DOCUMENTS)
     fc_url, fc_where = chain_sql(fc, "href", "src_url")
     chain = (w + f", c AS (SELECT page_id, pos, href, {fc_url} AS url FROM hrefs WHERE {fc_where}) "
@@ -184,10 +204,8 @@ def oracle() -> dict[str, str]:
         "strip_fragment": f"SELECT page_id, {SU.strip_fragment('url')} AS url FROM pages",
         "append_index_document": f"SELECT page_id, {SU.normalize('url', INDEX_DOCUMENT)} AS url FROM pages",
         "remove_trailing_slash": f"SELECT page_id, {SU.normalize('url', None, True)} AS url FROM pages",
-        "scheme_filter_http": w + f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM hrefs "
-                                  f"WHERE {SU.scheme_http('href')}",
-        "scheme_filter_file": w + f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM hrefs "
-                                  f"WHERE {SU.scheme_file('href')}",
+        "scheme_filter_http": forms + f"SELECT * FROM forms WHERE {SU.scheme_http('link')}",
+        "scheme_filter_file": forms + f"SELECT * FROM forms WHERE {SU.scheme_file('link')}",
         "hostname_filter": w + f", l AS (SELECT page_id, pos, {SU.resolve('href', 'src_url')} AS url FROM hrefs) "
                                f"SELECT page_id, CAST(pos AS INTEGER) AS pos, url FROM l "
                                f"WHERE {SU.host('url')} IN (SELECT {SU.host('url')} FROM pages)",
@@ -199,8 +217,10 @@ def oracle() -> dict[str, str]:
                                  f"coalesce({SU.any_match(SU.part('url', 'path'), PATH_EXCLUDE)}, FALSE)",
         "filter_chain": chain.replace("SELECT page_id, pos, href, url FROM c",
                                       "SELECT page_id, CAST(pos AS INTEGER) AS pos, href, url FROM c"),
-        "needs_indexing": (f"SELECT page_id FROM (SELECT page_id, {SH.extract_title('html')} AS t, "
-                           f"{SH.extract_content('html')} AS c FROM pages) WHERE t IS NOT NULL OR c IS NOT NULL"),
+        "needs_indexing": (f"WITH {SH.captures_cte()} SELECT page_id FROM (SELECT page_id, "
+                           f"{SH.extract_title('html')} AS t, {SH.extract_content('html')} AS c FROM captures "
+                           f"WHERE {SH.content_route('content_type')} = 'html' AND html IS NOT NULL) "
+                           f"WHERE t IS NOT NULL OR c IS NOT NULL"),
         "link_edges": edges,
         "link_degrees": (f"WITH e AS ({edges}), o AS (SELECT src_url AS url, count(*) AS out_degree FROM e GROUP BY 1), "
                          f"i AS (SELECT dst_url AS url, count(*) AS in_degree FROM e GROUP BY 1) "

@@ -170,11 +170,15 @@ def content_route(ct: str) -> str:
 def captures_cte() -> str:
     charset = attribute_of_first("html", "meta", "charset")
     return f"""captures AS (
-  SELECT page_id, url, html,
-         CASE WHEN length(html) > 0 THEN 200 ELSE 404 END AS status,
-         CASE WHEN ({charset}) IS NOT NULL THEN 'text/html; charset=' || lower({charset})
-              ELSE 'text/html' END AS content_type,
-         md5(html) AS etag,
+  SELECT page_id, url, CASE WHEN status = 200 THEN html END AS html, status, content_type,
+         CASE WHEN status = 200 THEN md5(html) END AS etag,
          CASE WHEN regexp_matches(url, {q(r'\?[^#]*utm_source=')})
               THEN regexp_replace(url, {q(r'[?#].*$')}, '') END AS redirect_to
-  FROM pages)"""
+  FROM (SELECT page_id, url, html,
+               CASE page_id % 16 WHEN 3 THEN 500 WHEN 7 THEN 403 WHEN 11 THEN 404
+                    ELSE CASE WHEN length(html) > 0 THEN 200 ELSE 404 END END AS status,
+               CASE page_id % 16 WHEN 1 THEN 'application/pdf' WHEN 5 THEN 'application/msword'
+                    WHEN 9 THEN 'text/plain' WHEN 13 THEN 'application/xhtml+xml'
+                    ELSE CASE WHEN ({charset}) IS NOT NULL THEN 'text/html; charset=' || lower({charset})
+                              ELSE 'text/html' END END AS content_type
+        FROM pages))"""

@@ -6,6 +6,7 @@ with the table; nothing here is made-up or fixed-size input.
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,23 +98,37 @@ def clause_queries(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 TEST_STOP_WORDS = ("the", "and", "of", "in", "on", "der", "die", "und", "le", "de", "la", "que")
 
 
+# Fixed values of the derived fetch outcomes, by page_id modulo OUTCOMES: statuses that
+# are no success (their captures have no body) and content types that are not the page's own.
+OUTCOMES = 16
+STATUS_BY_PAGE = {3: 500, 7: 403, 11: 404}
+TYPE_BY_PAGE = {1: "application/pdf", 5: "application/msword", 9: "text/plain", 13: "application/xhtml+xml"}
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` with a fetch outcome derived from each page itself.
+    """Every row of ``pages`` with a fetch outcome derived from the page itself.
 
-    status 200 for a non-empty body (else 404); content type from the page's
-    ``<meta charset>``; etag = md5 of the body (exact copies share it); a
-    tracking URL (``utm_source=`` in its query) redirects to the same URL
-    without query and fragment.
+    status by ``page_id`` (STATUS_BY_PAGE), else 200 for a non-empty body and 404
+    without one; a capture that is no success has a null body; content type by
+    ``page_id`` (TYPE_BY_PAGE), else from the page's ``<meta charset>``; etag = md5
+    of the body (exact copies share it, null without a body); a tracking URL
+    (``utm_source=`` in its query) redirects to the same URL without query and fragment.
     """
     from ..functions.html import attribute_of_first
-    p = read(spark, sf_dir, "pages")
+    outcome = F.pmod(F.col("page_id"), F.lit(OUTCOMES))
+
+    def by_page(values, otherwise):
+        return functools.reduce(lambda c, kv: F.when(outcome == kv[0], F.lit(kv[1])).otherwise(c),
+                                values.items(), otherwise)
+
+    status = by_page(STATUS_BY_PAGE, F.when(F.length("html") > 0, F.lit(200)).otherwise(F.lit(404)))
     charset = attribute_of_first("html", "meta", "charset")
+    own_type = F.when(charset.isNotNull(), F.concat(F.lit("text/html; charset="), F.lower(charset))).otherwise(
+        F.lit("text/html"))
+    p = read(spark, sf_dir, "pages").withColumns({"status": status, "content_type": by_page(TYPE_BY_PAGE, own_type)})
+    p = p.withColumn("html", F.when(F.col("status") == 200, F.col("html")))
     return p.select(
-        "page_id", "url", "html",
-        F.when(F.length("html") > 0, F.lit(200)).otherwise(F.lit(404)).alias("status"),
-        F.when(charset.isNotNull(), F.concat(F.lit("text/html; charset="), F.lower(charset)))
-        .otherwise(F.lit("text/html")).alias("content_type"),
-        F.md5("html").alias("etag"),
+        "page_id", "url", "html", "status", "content_type", F.md5("html").alias("etag"),
         F.when(F.col("url").rlike(r"\?[^#]*utm_source="), F.regexp_replace("url", r"[?#].*$", ""))
         .alias("redirect_to"),
     )
