@@ -62,11 +62,24 @@ def q_stream_visited_dedup(spark, sf):
     schema = read(spark, sf, "pages").schema
     out, ckpt = S.stream_paths(scratch_path(spark, "stream-dedup"))
     stream = S.file_stream(spark, sf, schema, glob="pages.parquet")
-    S.use_rocksdb_state(spark)
-    S.run_available(S.admitted_urls(stream, PAGES_CRAWL), out, ckpt)
+    with S.rocksdb_state(spark):
+        S.run_available(S.admitted_urls(stream, PAGES_CRAWL), out, ckpt)
     return spark.read.parquet(out).select("url")
 
 
+def q_stream_etag_dedup(spark, sf):
+    """D2 on a stream: documents arrive with the md5 of their text as tag, ordered by
+    ``doc_id`` in a micro-batch; the first of each tag is admitted."""
+    schema = read(spark, sf, "documents").schema
+    out, ckpt = S.stream_paths(scratch_path(spark, "stream-etag"))
+    stream = S.file_stream(spark, sf, schema, glob="documents.parquet")
+    docs = stream.select(F.concat(F.lit(DOC_URL_PREFIX), F.col("doc_id").cast("string")).alias("url"),
+                         F.md5("text").alias("etag"), "doc_id")
+    with S.rocksdb_state(spark):
+        S.run_available(S.admitted_tags(docs, "doc_id"), out, ckpt)
+    return spark.read.parquet(out).select("url", "etag", F.col("arrival").alias("doc_id"))
+
+
 def q_stream_index_append(spark, sf):
     """H2: documents streamed into the index batch by batch."""
     schema = read(spark, sf, "documents").schema
@@ -89,6 +102,7 @@ QUERIES = {
     "index_sink": q_index_sink,
     "rewrite_uri": q_rewrite_uri,
     "stream_visited_dedup": q_stream_visited_dedup,
+    "stream_etag_dedup": q_stream_etag_dedup,
     "stream_index_append": q_stream_index_append,
 }
 
@@ -106,5 +120,8 @@ def oracle() -> dict[str, str]:
         "rewrite_uri": (f"SELECT CAST(doc_id AS BIGINT) AS doc_id, '{PUBLIC_PREFIX}' || CAST(doc_id AS VARCHAR) "
                         f"AS url FROM documents"),
         "stream_visited_dedup": f"WITH {_pages_crawl_ctes(PAGES_CRAWL)} SELECT url FROM lvl0",
+        "stream_etag_dedup": (f"WITH d AS (SELECT doc_id, md5(text) AS etag, row_number() OVER (PARTITION BY md5(text) "
+                              f"ORDER BY doc_id) AS rn FROM documents) SELECT '{DOC_URL_PREFIX}' || "
+                              f"CAST(doc_id AS VARCHAR) AS url, etag, doc_id FROM d WHERE rn = 1 OR etag IS NULL"),
         "stream_index_append": OI.sql_postings(),
     }

@@ -5,6 +5,10 @@ once (``dropDuplicates`` keeps the seen URLs in the state store; RocksDB
 keeps that state off-heap and on disk, as it is unbounded like the
 reference's visited set).
 
+D2 on the stream: of the pages that carry one ETag, the first to arrive is kept.
+The arrival order is the micro-batch, then the ``arrival`` column, then the URL;
+the state of a tag is the URL that holds it.
+
 H2: each micro-batch of documents is added to the open index as its own
 batch directory (``batch=<batch_id>``), so a replayed micro-batch rewrites
 the same files (idempotent) and statistics are re-summed on read.
@@ -13,16 +17,21 @@ the same files (idempotent) and statistics are re-summed on read.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.filters import CrawlConfig, http_chain
 from ..operators.index import Index
 from ..sources.index_store import write_index
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,9 +45,19 @@ def file_stream(spark: SparkSession, directory: str, schema, glob: str | None =
     return r.load(directory)
 
 
-def use_rocksdb_state(spark: SparkSession) -> None:
-    """Keep streaming state in RocksDB (set before the query first starts)."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB; a query takes the setting
+    with it when it starts, so the session has its own back afterwards."""
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB_PROVIDER)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_PROVIDER)
+        else:
+            spark.conf.set(STATE_PROVIDER, before)
 
 
 def admitted_urls(stream: DataFrame, cfg: CrawlConfig, url_col: str = "url",
@@ -60,6 +79,34 @@ def admitted_urls(stream: DataFrame, cfg: CrawlConfig, url_col: str = "url",
     return s.select("url", "depth").dropDuplicates(["url"])
 
 
+def admitted_tags(stream: DataFrame, arrival: str) -> DataFrame:
+    """D2 plan: ``url``, ``etag`` and ``arrival`` of the pages kept, one per non-empty
+    ETag and every page without one.
+
+    Only these three columns travel. A tag that is already held is dropped at once; of a
+    new one the rows of the micro-batch are read chunk by chunk and only the first is
+    held, so a tag that a third of the pages share takes one chunk of memory.
+    """
+    s = stream.select("url", "etag", F.col(arrival).alias("arrival"))
+    untagged = F.coalesce(F.col("etag"), F.lit("")) == ""
+    kinds = dict(s.dtypes)
+    rows = ", ".join(f"{c} {kinds[c]}" for c in s.columns)
+
+    def first(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        best = None
+        for chunk in chunks:
+            both = chunk if best is None else pd.concat([best, chunk])
+            best = both.sort_values(["arrival", "url"], kind="stable").head(1)
+        state.update((best["url"].iloc[0],))
+        yield best
+
+    tagged = s.where(~untagged).groupBy("etag").applyInPandasWithState(
+        first, rows, "first_url string", "append", GroupStateTimeout.NoTimeout)
+    return s.where(untagged).unionByName(tagged)
+
+
 def run_available(df: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Process everything available now into a Parquet sink and stop."""
     q = (df.writeStream.format("parquet").outputMode("append")

@@ -38,3 +38,31 @@ def test_stream_dedup_within_watermark(spark):
     S.run_available(S.admitted_urls(stream, cfg, event_time="ts", delay="1 hour"), out, ckpt)
     got = [r.url for r in spark.read.parquet(out).collect()]
     assert len(got) == len(set(got)) > 0
+
+
+def test_stream_etags_equal_a_sequential_replay(spark):
+    """Four arrivals, one file a micro-batch; tags repeat inside and across them, some are missing."""
+    tags = [None, "", "a", "b", "c", "d", "e"]
+    src = scratch_path(spark, "test-stream-tags")
+    batches, n = [], 0
+    for b in range(4):
+        rows = [(f"u{(n + i) * 7 % 200:03d}", tags[(n * 3 + i * 5 + b) % (4 + b)], (i * 11) % 10) for i in range(30)]
+        n += len(rows)
+        batches.append(rows)
+        spark.createDataFrame(rows, "url string, etag string, at int").coalesce(1).write.parquet(f"{src}/chunk={b}")
+    held, want = set(), []
+    for rows in batches:                                    # the replay, page by page
+        for url, etag, at in sorted(rows, key=lambda r: (r[2], r[0])):
+            if not etag or etag not in held:
+                want.append((url, etag, at))
+                held.add(etag)
+    before = spark.conf.get(S.STATE_PROVIDER, None)
+    out, ckpt = S.stream_paths(scratch_path(spark, "test-stream-tags-out"))
+    stream = (spark.readStream.schema("url string, etag string, at int").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    with S.rocksdb_state(spark):
+        assert spark.conf.get(S.STATE_PROVIDER) == S.ROCKSDB_PROVIDER
+        S.run_available(S.admitted_tags(stream, "at"), out, ckpt)
+    assert spark.conf.get(S.STATE_PROVIDER, None) == before
+    got = [(r.url, r.etag, r.arrival) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(held) == 7
