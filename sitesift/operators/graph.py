@@ -12,7 +12,10 @@ The crawl is a level-synchronous BFS over a precomputed edge table:
 
 Every level is written to Parquet under the session's checkpoint folder and
 read back, so lineage never grows with the number of levels and a lost
-executor recomputes one level at most. Only per-level row counts reach the
+executor recomputes one level at most. What was visited and which tags were seen
+is also kept in runs: every ``RUN_LEVELS`` levels their keys are merged into one
+folder, and as many of those into a larger one, so a level reads a number of
+folders that grows with the logarithm of the depth. Only per-level row counts reach the
 driver.
 """
 
@@ -32,6 +35,10 @@ from ..sources.pages import capture_index, fetch, seed_frontier
 from .dedup import anti_join_seen, first_per_key
 from .filters import CrawlConfig, http_chain
 
+# Levels per run and runs per larger run; rows per file of a run.
+RUN_LEVELS = 8
+ROWS_PER_RUN_FILE = 5_000_000
+
 FRONTIER_COLS = ["url", "referrer", "depth", "pos"]
 
 
@@ -143,6 +150,71 @@ def _done(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+class LevelRuns:
+    """Keys gathered over the levels of a crawl: ``column`` of the rows of
+    ``<root>/<levels>/depth=<d>`` that satisfy ``where``.
+
+    Levels are merged under ``<root>/<name>/run=<lo>-<hi>`` (levels lo to hi - 1) in
+    sizes that are powers of RUN_LEVELS; a row is rewritten once per size. A run
+    counts once its ``_SUCCESS`` marker is there, so a crawl that is resumed uses what
+    was finished and reads single levels for the rest.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str, levels: str, column: str, where=None):
+        self.spark, self.root, self.name, self.levels, self.column, self.where = (
+            spark, root, name, levels, column, where)
+        self.written: set[tuple[int, int]] = set()
+
+    def _run(self, lo: int, hi: int) -> str:
+        return os.path.join(self.root, self.name, f"run={lo}-{hi}")
+
+    def _has(self, lo: int, hi: int) -> bool:
+        if (lo, hi) not in self.written and _done(self.spark, self._run(lo, hi)):
+            self.written.add((lo, hi))
+        return (lo, hi) in self.written
+
+    def cover(self, lo: int, hi: int, below: int | None = None) -> list[tuple[int, int]]:
+        """The finished runs and single levels that make up levels ``lo`` to ``hi - 1``;
+        only runs smaller than ``below`` levels, if given."""
+        out = []
+        while lo < hi:
+            size = grown = 1
+            while lo % (grown := grown * RUN_LEVELS) == 0 and lo + grown <= hi and (below is None or grown < below):
+                if self._has(lo, lo + grown):
+                    size = grown
+            out.append((lo, lo + size))
+            lo += size
+        return out
+
+    def _keys(self, parts: list[tuple[int, int]]) -> DataFrame:
+        single = [os.path.join(self.root, self.levels, f"depth={lo}") for lo, hi in parts if hi - lo == 1]
+        runs = [self._run(lo, hi) for lo, hi in parts if hi - lo > 1]
+        keys = None
+        if runs:
+            keys = self.spark.read.schema(f"{self.column} string").parquet(*runs)
+        if single:
+            rows = self.spark.read.parquet(*single)
+            rows = rows.select(self.column) if self.where is None else rows.where(self.where).select(self.column)
+            keys = rows if keys is None else keys.unionByName(rows)
+        return keys
+
+    def keys(self, levels: int) -> DataFrame | None:
+        """The keys of levels 0 to ``levels - 1``."""
+        parts = self.cover(0, levels)
+        return self._keys(parts) if parts else None
+
+    def merge(self, levels: int) -> None:
+        """Write the runs that end with level ``levels - 1``."""
+        size = RUN_LEVELS
+        while levels % size == 0:
+            lo = levels - size
+            if not self._has(lo, levels):
+                keys = self._keys(self.cover(lo, levels, below=size))
+                _write(keys.coalesce(max(1, -(-keys.count() // ROWS_PER_RUN_FILE))), self._run(lo, levels))
+                self.written.add((lo, levels))
+            size *= RUN_LEVELS
+
+
 def _table_name(path: str) -> str:
     return "sitesift_" + os.path.basename(os.path.dirname(path)).replace("-", "_") + "_" + os.path.basename(path)
 
@@ -190,14 +262,9 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
     # work would grow with the number of files written so far).
     schemas: dict[str, T.StructType] = {}
 
-    def read_back(name, d=None):
-        path = os.path.join(root, name) if d is None else lvl(name, d)
+    def read_back(name, d):
         sch = schemas.get(name)
-        if sch is None:
-            return spark.read.parquet(path)
-        if d is None:
-            sch = T.StructType(sch.fields + [T.StructField("depth", T.IntegerType())])
-        return spark.read.schema(sch).parquet(path)
+        return (spark.read if sch is None else spark.read.schema(sch)).parquet(lvl(name, d))
 
     if resume and _done(spark, lvl("frontier", 0)):
         cap, edg = _reopen(spark, cap_path), _reopen(spark, edge_path)
@@ -217,21 +284,22 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
     schemas["frontier"] = spark.read.parquet(lvl("frontier", 0)).schema
     if not use_etags:
         cap = cap.withColumn("etag", F.lit(None).cast("string"))
+    visited = LevelRuns(spark, root, "visited", "frontier", "url")
+    tags = LevelRuns(spark, root, "tags", "fetched", "etag",
+                     F.col("keep") & F.col("etag").isNotNull() & (F.col("etag") != ""))
     levels = d
     while n > 0:
         levels = d + 1
         if not _done(spark, lvl("fetched", d)):
             level = read_back("frontier", d).withColumn("depth", F.lit(d))
-            seen = None
-            if d > 0:
-                seen = (read_back("fetched").where(F.col("depth") < d)
-                        .where(F.col("keep")).select("etag")
-                        .where(F.col("etag").isNotNull() & (F.col("etag") != "")))
+            seen = tags.keys(d)
             out = mark_kept(fetch(level, cap), seen).drop("depth")
             _write(out, lvl("fetched", d))
             schemas["fetched"] = out.schema
         if cfg.max_depth is not None and d + 1 > cfg.max_depth:
             break
+        visited.merge(d + 1)
+        tags.merge(d + 1)
         fetched = read_back("fetched", d)
         # links are followed from kept html documents only; other types have none
         children = (fetched.where(F.col("keep") & (F.col("extractor") == "html"))
@@ -241,10 +309,9 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
                      .select(F.col("redirect_url").alias("url"), F.col("url").alias("referrer"),
                              F.lit(-1).alias("pos")))
         cand = first_per_key(children.unionByName(redirects), "url", ["referrer", "pos"])
-        visited = read_back("frontier").where(F.col("depth") <= d).select("url")
         # semi then anti join: AQE broadcasts the candidates when they are
         # small at runtime, so the growing visited set is scanned, not shuffled
-        new = anti_join_seen(cand, visited, "url")
+        new = anti_join_seen(cand, visited.keys(d + 1), "url")
         d += 1
         n = _write_counted(new.select("url", "referrer", "pos"), lvl("frontier", d))
     _forget(spark, cap_path, edge_path)

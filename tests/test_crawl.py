@@ -1,6 +1,7 @@
 import hashlib
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sitesift.operators.dedup import etag_dedup, first_per_key
@@ -152,7 +153,6 @@ def test_crawl_resumes_after_interruption(spark):
 
     G._write_counted = failing
     try:
-        import pytest
         with pytest.raises(RuntimeError):
             crawl(spark, ["http://h/a"], _captures(spark), cfg, root=root)
     finally:
@@ -162,6 +162,44 @@ def test_crawl_resumes_after_interruption(spark):
     assert kept == [("http://h/a", 0), ("http://h/b", 1), ("http://h/c", 1), ("http://h/d", 2), ("http://h/e", 3)]
 
 
+def test_levels_are_read_in_few_runs(spark, monkeypatch):
+    """A chain of 20 pages with runs of three levels: every page once, few folders a level, and a
+    crawl cut after level 12 that finds one of its runs unfinished gives the same result."""
+    import os
+
+    from sitesift.operators import graph as G
+    from sitesift.session import scratch_path
+    monkeypatch.setattr(G, "RUN_LEVELS", 3)
+    n = 20
+    rows = [(i, f"http://h/{i}", _page(str(i + 1), str(max(0, i - 4))), 200, "text/html", f"t{i % 17}", None)
+            for i in range(n)]
+    caps = spark.createDataFrame(rows, "page_id long, url string, html string, status int, content_type string, "
+                                       "etag string, redirect_to string")
+    cfg = CrawlConfig(include_hosts=("h",))
+    read = []
+    real = G.LevelRuns._keys
+    monkeypatch.setattr(G.LevelRuns, "_keys", lambda self, parts: read.append(parts) or real(self, parts))
+    real_write = G._write_counted
+
+    def failing(df, path):
+        if "depth=13" in path:
+            raise RuntimeError("driver lost")
+        return real_write(df, path)
+
+    root = scratch_path(spark, "test-runs")
+    monkeypatch.setattr(G, "_write_counted", failing)
+    with pytest.raises(RuntimeError):
+        crawl(spark, ["http://h/0"], caps, cfg, root=root)
+    monkeypatch.setattr(G, "_write_counted", real_write)
+    os.remove(os.path.join(root, "visited", "run=9-12", "_SUCCESS"))
+    res = crawl(spark, ["http://h/0"], caps, cfg, root=root, resume=True)
+    # pages 17 and on carry a tag that was seen: fetched, not kept, not followed
+    assert sorted((r.url, r.depth) for r in res.kept(spark).collect()) == sorted((f"http://h/{i}", i) for i in range(17))
+    assert res.fetched(spark).count() == 18 and res.levels == 18
+    assert max(len(p) for p in read) <= 7 and any((0, 9) in p for p in read)
+    assert [p for p in read if (9, 10) in p and (0, 9) in p]        # the unfinished run is read level by level
+
+
 def test_fetch_routes(spark):
     rows = [(1, "http://h/a", _page("gone", "missing", "moved", "pdf"), 200, "text/html", None, None),
             (2, "http://h/gone", "", 404, "text/html", None, None),
