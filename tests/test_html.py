@@ -1,7 +1,12 @@
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from sitesift.functions import html as H
-from sitesift.operators.extract import AttributeSelector, Selector, extract_pages
+from sitesift.functions.select import first_inner
+from sitesift.operators.extract import AttributeSelector, Selector, _inner_py, extract_pages
 
 from .html_fixtures import CUSTOM, ENTITIES, FRAMESET, IMAGEMAP, SIMPLE
 
@@ -139,3 +144,52 @@ def test_openers_without_an_end_hide_nothing(spark):
     assert r.title == "Ttwo" and r.links == ["/1", "/2", "/3"]
     assert _one(spark, page, title=Selector("h1", "class", "x")).title == "yes"
     assert _one(spark, "<a href=/1><a href='/2").links == ["/1"]            # a tag that never ends is none
+
+
+PATHS = [Selector("div"), Selector("DIV", "id", "x"), Selector("div", classes=("lead", "big")),
+         Selector("p", within=(Selector("div", "id", "x"),)),
+         Selector("div", within=(Selector("section"), Selector("div", classes=("lead",)))),
+         Selector("div", within=(Selector("div"),))]
+
+
+def test_paths_equal_a_parser(spark):
+    """The fold over tags against the standard library's parser, on random nested pages, some
+    of them with tags that nothing closes, empty elements, comments and scripts."""
+    r = random.Random(7)
+
+    def element(depth):
+        if depth == 0 or r.random() < 0.25:
+            return r.choice(["text ", "a > b ", "<!-- <div id=x>no</div> -->", "<script>'</div><div>'</script>", "<br/>", "<div/>"])
+        tag = r.choice(["div", "div", "DIV", "section", "p", "divider"])
+        attrs = r.choice(["", "", ' id="x"', " id=x", " class='big lead'", ' class="lead"', ' title="a>b" id=\'x\'',
+                          '\n class="big\n lead x"'])
+        inside = "".join(element(depth - 1) for _ in range(r.randint(0, 3)))
+        return f"<{tag}{attrs}>{inside}" + ("" if r.random() < 0.05 else f"</{tag}>") + ("</div>" if r.random() < 0.03 else "")
+    pages = ["".join(element(5) for _ in range(3)) for _ in range(300)] + ["", "<div", "<div id=x", "</div>", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").repartition(8)
+    for sel in PATHS:
+        got = {x.i: x.t for x in df.select("i", first_inner("html", sel.steps()).alias("t")).collect()}
+        want = {i: _inner_py(p, sel) for i, p in enumerate(pages)}
+        assert got == want and sum(v is not None for v in want.values()) > 5, sel
+
+
+def test_selectors_in_order_with_ancestors_and_classes(spark):
+    page = ("<body><div class='lead'>out</div><div id=main><p class='lead big'>one <b>two</b></p><p class=lead>three</p></div>"
+            "<h2>Sub</h2><title>T</title></body>")
+    lead = Selector("p", classes=("lead",), within=(Selector("div", "id", "main"),))
+    assert _one(spark, page, content=lead).content == "one two"
+    assert _one(spark, page, content=Selector("p", first=False, classes=("lead",), within=lead.within)).content == "one twothree"
+    assert _one(spark, page, content=(Selector("article"), Selector("div", classes=("lead",)), lead)).content == "out"
+    assert _one(spark, page, title=(Selector("h1"), AttributeSelector("meta", "content"), Selector("h2"))).title == "Sub"
+    assert _one(spark, page, title=(Selector("h1"), Selector("div", "id", "none"))).title == "T"
+    plan = extract_pages(_pages(spark, page), title=lead, content=lead)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div></div>", "<div id='", "<!-- <div>", "</div>", "<div id=x><p>"])
+def test_paths_in_linear_time(spark, unit):
+    page = unit * ((1 << 20) // len(unit))
+    df = _pages(spark, page).select(F.length(first_inner("html", PATHS[3].steps())).alias("n"))
+    t0 = time.time()
+    df.collect()
+    assert time.time() - t0 < 10
