@@ -72,17 +72,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # Compressed input bytes per partition when a job sizes its own shuffle.
 TARGET_INPUT_BYTES = 256 * 1024 * 1024
 MAX_PARTITIONS = 100_000
+# From this size on a leaf's statistics are Spark's default for "not known".
+UNKNOWN_SIZE = 1 << 62
 
 
 def partitions_for(df, target_bytes: int = TARGET_INPUT_BYTES) -> int:
-    """A partition count for shuffling ``df``: one per ``target_bytes`` of its
-    estimated input (Catalyst's plan statistics, no job), and never fewer
-    than the cluster's default parallelism."""
+    """A partition count for shuffling ``df``: one per ``target_bytes`` of the
+    tables its plan reads (Catalyst's statistics of the leaves, no job; a join's own
+    estimate is the product of its sides), and never fewer than the cluster's default
+    parallelism. Where a leaf has no size, the session's setting."""
     spark = df.sparkSession
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Py4JError:        # no statistics: fall back to the session setting
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    except Py4JError:        # no statistics
+        sizes = [UNKNOWN_SIZE]
+    if max(sizes, default=0) >= UNKNOWN_SIZE:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(sizes)
     by_size = -(-size // target_bytes)
     return int(max(spark.sparkContext.defaultParallelism, min(by_size, MAX_PARTITIONS)))
 

@@ -8,6 +8,8 @@ from sitesift.sources.index_store import rewrite_prefix
 
 from .html_fixtures import SIMPLE
 
+from .conftest import SF001
+
 
 def test_file_listing_and_mime(spark):
     root = tempfile.mkdtemp(prefix="sitesift-files-")
@@ -55,3 +57,14 @@ def test_file_tree_index(spark):
                               "offset int, limit int")
     q = q.withColumn("terms", F.array(F.lit("tide"), F.lit("second")))
     assert [r.url for r in se.search(idx, q).collect()] == ["http://www.h/docs/a.html"]
+
+
+def test_partitions_follow_the_size_of_what_is_read(spark):
+    from sitesift.session import partitions_for
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert partitions_for(docs) == cores
+    both = docs.join(docs.select("doc_id"), "doc_id").where("doc_id > 0")
+    assert 20 * cores < partitions_for(both, target_bytes=4096) < 1000 * cores       # sums, no products
+    unknown = docs.join(spark.createDataFrame([(1,)], "doc_id long"), "doc_id")
+    assert partitions_for(unknown) == int(spark.conf.get("spark.sql.shuffle.partitions"))
