@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from sitesift.operators.filters import CrawlConfig, http_chain
+from sitesift.plans import registry
 from sitesift.session import scratch_path
 from sitesift.streaming import crawl_stream as S
 
@@ -66,3 +67,18 @@ def test_stream_etags_equal_a_sequential_replay(spark):
     assert spark.conf.get(S.STATE_PROVIDER, None) == before
     got = [(r.url, r.etag, r.arrival) for r in spark.read.parquet(out).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(held) == 7
+
+
+def test_registered_streams_read_tables_of_several_files(spark):
+    """Large tables are folders of part files; each stream reads them all."""
+    sf = scratch_path(spark, "test-stream-folders")
+    (spark.createDataFrame([(1, "http://h/a", "<p>x</p>"), (2, "http://h/a", "y"), (3, "http://h/b", "z")],
+                           "page_id long, url string, html string").repartition(3, "page_id").write.parquet(f"{sf}/pages.parquet"))
+    (spark.createDataFrame([(1, "ebb\ntide"), (2, "ebb\ntide"), (3, "neap")], "doc_id long, text string")
+     .repartition(3, "doc_id").write.parquet(f"{sf}/documents.parquet"))
+    q = registry.queries()
+    assert sorted(r.url for r in q["stream_visited_dedup"](spark, sf).collect()) == ["http://h/a", "http://h/b"]
+    assert sorted(r.doc_id for r in q["stream_etag_dedup"](spark, sf).collect()) == [1, 3]
+    data = q["stream_index_append"](spark, sf).where("field = 'data'")
+    assert sorted((r.term, r.doc_id) for r in data.select("term", "doc_id").collect()) == [
+        ("ebb", 1), ("ebb", 2), ("neap", 3), ("tide", 1), ("tide", 2)]
