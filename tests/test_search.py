@@ -1,9 +1,12 @@
+import re
+
 from pyspark.sql import functions as F
 
 from sitesift.functions.text import build_extract, tokenize
 from sitesift.operators import search as se
 from sitesift.operators.index import Index
 from sitesift.plans.tables import benchmark_queries, documents_as_docs
+from sitesift.operators.search import matches, query_table
 from sitesift.session import scratch_path
 from sitesift.sources.index_store import read_index, write_index
 
@@ -137,3 +140,19 @@ def test_paging_beyond_int_and_empty_fields(spark):
                               "query_id int, terms array<string>, mode string, fields array<string>, "
                               "offset int, limit int")
     assert [r.query_id for r in se.search(Index.build(docs), q).collect()] == [2]
+
+
+def test_matching_shuffles_documents_only(spark):
+    """A row per posting, or per posting and query, is never shuffled: postings lie by document."""
+    docs = spark.createDataFrame([(i, f"doc://{i}", f"t{i % 3}", f"ebb tide {i % 5} ebb") for i in range(30)],
+                                 "doc_id long, url string, title string, data string")
+    index = Index.build(docs)
+    and_q, or_q = query_table(spark, [(1, "ebb 3")]), query_table(spark, [(2, "tide 4")], mode="or", fields=["data"])
+    found = matches(index, and_q.unionByName(or_q))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)", plan) + re.findall(r"hashpartitioning\(([^)]*)", index.postings._jdf.queryExecution().executedPlan().toString())
+    assert not [k for k in keys if "doc_id" in k and re.search("term|query_id", k)], plan
+    got = {(r.query_id, r.doc_id) for r in found.collect()}
+    assert got == {(1, i) for i in range(30) if i % 5 == 3} | {(2, i) for i in range(30)}
+    times = {(r.doc_id, r.tf): r.positions for r in index.postings.where("term = 'ebb'").collect()}
+    assert times == {(i, 2): [0, 3] for i in range(30)}
