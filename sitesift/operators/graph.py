@@ -25,20 +25,24 @@ import os
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.html import content_route, extract_links
 from ..session import scratch_path
 from ..sources.pages import capture_index, fetch, seed_frontier
-from .dedup import anti_join_seen, first_per_key
+from .dedup import SMALL_SIDE_ROWS, anti_join_seen, first_per_key
 from .filters import CrawlConfig, http_chain
 
 # Levels per run and runs per larger run; rows per file of a run.
 RUN_LEVELS = 8
 ROWS_PER_RUN_FILE = 5_000_000
 
+# Levels of at most this many rows are joined as broadcasts and marked in one task: a long
+# crawl has hundreds of small levels, and each exchange costs more than their rows.
+FEW_ROWS = 10_000
+
 FRONTIER_COLS = ["url", "referrer", "depth", "pos"]
 
 
@@ -144,6 +148,25 @@ def mark_kept(fetched: DataFrame, seen_etags: DataFrame | None) -> DataFrame:
             .drop("__first"))
 
 
+def _hits(seen: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The keys of ``few`` that were seen: few again, as the crawl keeps a key once."""
+    return F.broadcast(seen.join(F.broadcast(few.select(key)), key, "left_semi"))
+
+
+def mark_few_kept(fetched: DataFrame, seen_etags: DataFrame | None) -> DataFrame:
+    """:func:`mark_kept` for a level of few rows in one partition: no exchange."""
+    ok = F.col("route") == "success"
+    tagged = ok & F.col("etag").isNotNull() & (F.col("etag") != "")
+    first = F.row_number().over(Window.partitionBy("etag", tagged).orderBy("url")) == 1
+    if seen_etags is not None:
+        hits = _hits(seen_etags, fetched.where(tagged), "etag").select("etag", F.lit(True).alias("__seen"))
+        fetched = fetched.join(F.broadcast(hits), "etag", "left").select(*fetched.columns, "__seen")
+        first = first & F.col("__seen").isNull()
+    return (fetched.withColumn("__first", first)
+            .withColumn("keep", ok & (F.col("etag").isNull() | (F.col("etag") == "") | F.col("__first")))
+            .drop("__first", "__seen"))
+
+
 def _done(spark: SparkSession, path: str) -> bool:
     """A folder written completely by Spark (its ``_SUCCESS`` marker exists)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
@@ -164,6 +187,7 @@ class LevelRuns:
         self.spark, self.root, self.name, self.levels, self.column, self.where = (
             spark, root, name, levels, column, where)
         self.written: set[tuple[int, int]] = set()
+        self.schema: T.StructType | None = None          # of the levels, once known: no footers are read then
 
     def _run(self, lo: int, hi: int) -> str:
         return os.path.join(self.root, self.name, f"run={lo}-{hi}")
@@ -193,7 +217,7 @@ class LevelRuns:
         if runs:
             keys = self.spark.read.schema(f"{self.column} string").parquet(*runs)
         if single:
-            rows = self.spark.read.parquet(*single)
+            rows = (self.spark.read if self.schema is None else self.spark.read.schema(self.schema)).parquet(*single)
             rows = rows.select(self.column) if self.where is None else rows.where(self.where).select(self.column)
             keys = rows if keys is None else keys.unionByName(rows)
         return keys
@@ -282,28 +306,39 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
         n = _write_counted(seeds, lvl("frontier", 0))
         d = 0
     schemas["frontier"] = spark.read.parquet(lvl("frontier", 0)).schema
+    # what a level can lead to at most, by its number of rows: links of the fullest page and a redirect
+    most = 1 + (edg.groupBy("src_url").count().agg(F.max("count")).first()[0] or 0)
     if not use_etags:
         cap = cap.withColumn("etag", F.lit(None).cast("string"))
     visited = LevelRuns(spark, root, "visited", "frontier", "url")
     tags = LevelRuns(spark, root, "tags", "fetched", "etag",
                      F.col("keep") & F.col("etag").isNotNull() & (F.col("etag") != ""))
+    visited.schema = schemas["frontier"]
     levels = d
     while n > 0:
         levels = d + 1
+        few = n <= FEW_ROWS and n * most <= SMALL_SIDE_ROWS
         if not _done(spark, lvl("fetched", d)):
             level = read_back("frontier", d).withColumn("depth", F.lit(d))
-            seen = tags.keys(d)
-            out = mark_kept(fetch(level, cap), seen).drop("depth")
+            if few:
+                level = level.coalesce(1)
+            out = fetch(level, cap, few)
+            if not use_etags:
+                out = out.withColumn("keep", F.col("route") == "success")
+            else:
+                out = (mark_few_kept if few else mark_kept)(out, tags.keys(d))
+            out = out.drop("depth")
             _write(out, lvl("fetched", d))
-            schemas["fetched"] = out.schema
+            schemas["fetched"] = tags.schema = out.schema
         if cfg.max_depth is not None and d + 1 > cfg.max_depth:
             break
         visited.merge(d + 1)
-        tags.merge(d + 1)
+        if use_etags:
+            tags.merge(d + 1)
         fetched = read_back("fetched", d)
         # links are followed from kept html documents only; other types have none
-        children = (fetched.where(F.col("keep") & (F.col("extractor") == "html"))
-                    .select(F.col("url").alias("src_url")).join(edg, "src_url")
+        parents = fetched.where(F.col("keep") & (F.col("extractor") == "html")).select(F.col("url").alias("src_url"))
+        children = ((F.broadcast(parents) if few else parents).join(edg, "src_url")
                     .select(F.col("dst_url").alias("url"), F.col("src_url").alias("referrer"), "pos"))
         redirects = (fetched.where((F.col("route") == "redirect") & (F.col("redirect_url") != ""))
                      .select(F.col("redirect_url").alias("url"), F.col("url").alias("referrer"),
@@ -311,7 +346,8 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
         cand = first_per_key(children.unionByName(redirects), "url", ["referrer", "pos"])
         # semi then anti join: AQE broadcasts the candidates when they are
         # small at runtime, so the growing visited set is scanned, not shuffled
-        new = anti_join_seen(cand, visited.keys(d + 1), "url")
+        before = visited.keys(d + 1)
+        new = cand.join(_hits(before, cand, "url"), "url", "left_anti") if few else anti_join_seen(cand, before, "url")
         d += 1
         n = _write_counted(new.select("url", "referrer", "pos"), lvl("frontier", d))
     _forget(spark, cap_path, edge_path)

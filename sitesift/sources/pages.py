@@ -72,7 +72,7 @@ def status_route(status, redirect_url, page_id) -> F.Column:
             .otherwise(F.lit("dropped")))
 
 
-def fetch(frontier: DataFrame, cap_index: DataFrame) -> DataFrame:
+def fetch(frontier: DataFrame, cap_index: DataFrame, few: bool = False) -> DataFrame:
     """A2 + A3: frontier rows with their capture and route.
 
     A left join can only broadcast its right side (the big capture table),

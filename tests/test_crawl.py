@@ -218,3 +218,22 @@ def test_fetch_routes(spark):
     }
     # the redirect target was already visited: nothing new at depth 2
     assert res.levels == 2
+
+
+def test_small_levels_need_few_jobs_and_match_the_large_path(spark, monkeypatch):
+    """A level is two writes of a few stages each; the path for large levels gives the same log."""
+    from sitesift.operators import graph as G
+    rows = [(i, f"http://h/{i}", _page(str(i + 1), str(i // 2)), 200, "text/html", ("", None, f"t{i % 5}")[i % 3], None)
+            for i in range(9)]
+    caps = spark.createDataFrame(rows, "page_id long, url string, html string, status int, content_type string, "
+                                       "etag string, redirect_to string")
+    sc, cfg, logs = spark.sparkContext, CrawlConfig(include_hosts=("h",)), {}
+    for few in (10_000, 0):
+        monkeypatch.setattr(G, "FEW_ROWS", few)
+        sc.setJobGroup(f"crawl-{few}", "levels")
+        res = crawl(spark, ["http://h/0", "http://h/4"], caps, cfg)
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"crawl-{few}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        logs[few] = (sorted(map(str, res.fetched(spark).collect())), res.levels)
+        assert few == 0 or jobs <= 15 * res.levels + 40
+    assert logs[10_000] == logs[0] and logs[0][1] > 3
