@@ -173,8 +173,9 @@ def hit_totals(scored: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def shared(index: Index, scored: DataFrame) -> DataFrame:
-    """``scored`` behind an exchange of its own, for plans that read it twice: Spark reuses it."""
-    return scored.repartition(index_partitions(index.docs), F.xxhash64("query_id", "doc_id"))
+    """``scored`` behind an exchange of its own, for plans that read it twice: Spark reuses it.
+    All columns are in its key, so that no reader's exchange lacks one and is another."""
+    return scored.repartition(index_partitions(index.docs), F.xxhash64("query_id", "doc_id", "score"))
 
 
 def top_k(scored: DataFrame, q: DataFrame, max_rank: int, n_results: int, n_queries: int = 0) -> DataFrame:
