@@ -14,7 +14,7 @@ A hot term never becomes one row: postings stay one row per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Analyzer
@@ -59,13 +59,17 @@ def postings(docs: DataFrame, fields=INDEX_FIELDS, keys: tuple[str, ...] = (),
     them needs no further exchange.
     """
     toks = field_tokens(docs, fields, keys, analyzer)
-    exploded = toks.select("doc_id", *keys, "field", "dl", F.posexplode("tokens").alias("pos", "term"))
+    # Outer: for an inner one Spark tests the array first, by tokenizing the text once more for each test.
+    exploded = (toks.select("doc_id", *keys, "field", "dl", F.posexplode_outer("tokens").alias("pos", "term"))
+                .where(F.col("term").isNotNull()))
     if analyzer.stop_words:
         exploded = exploded.where(analyzer.kept(F.col("term")))
-    return (exploded.groupBy("term", "field", "doc_id", *keys)
+    # By document first: its rows come together, so that a sort compares hardly more than ``doc_id``.
+    return (exploded.groupBy("doc_id", *keys, "field", "term")
             .agg(F.count(F.lit(1)).alias("tf"),
                  F.max("dl").alias("dl"),
-                 F.sort_array(F.collect_list("pos")).alias("positions")))
+                 F.sort_array(F.collect_list("pos")).alias("positions"))
+            .select("term", "field", "doc_id", *keys, "tf", "dl", "positions"))
 
 
 def term_statistics(post: DataFrame) -> DataFrame:
@@ -112,7 +116,8 @@ class Index:
     """The tables of one index, as lazily evaluated DataFrames."""
 
     def __init__(self, docs: DataFrame, postings: DataFrame, term_stats: DataFrame,
-                 field_stats: DataFrame, fields: tuple[str, ...] | None = None, analyzer: Analyzer = Analyzer()):
+                 field_stats: DataFrame, fields: tuple[str, ...] | None = None, analyzer: Analyzer = Analyzer(),
+                 by_doc: DataFrame | None = None):
         self.docs = docs
         self.postings = postings
         self.term_stats = term_stats
@@ -121,6 +126,8 @@ class Index:
         # re-plan the derivation around its own partitioning)
         self.fields = fields
         self.analyzer = analyzer
+        # the documents of a derived index, spread by doc_id
+        self.by_doc = by_doc
 
     def postings_of(self, terms: DataFrame) -> DataFrame:
         """The postings of a table of terms; the semi join is pushed below the
@@ -134,10 +141,34 @@ class Index:
     def stats_of(self, terms: DataFrame) -> DataFrame:
         return self.term_stats.join(terms, "term", "left_semi")
 
+    def weights_of(self, terms: DataFrame, few: bool) -> DataFrame:
+        """(term, field, df, n_docs, avg_dl) of a table of terms. ``few``: they may be broadcast.
+
+        An index derived in the same plan tokenizes its texts once for both statistics:
+        every field of a document also holds the empty term, which no text has, so
+        that the rows of that term count the field's documents and their lengths."""
+        if self.by_doc is None:
+            return (self.stats_of(terms).select("term", "field", "df")
+                    .join(F.broadcast(self.field_stats.select("field", "n_docs", "avg_dl")), "field"))
+        own = F.col("term") == ""
+        asked = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+        toks = field_tokens(self.by_doc, self.fields, analyzer=self.analyzer)
+        per_doc = (toks.select("doc_id", "field", "dl", F.explode_outer(
+                       F.concat(F.array(F.lit("")), self.analyzer.only_kept(F.col("tokens")))).alias("term"))
+                   .join(F.broadcast(asked) if few else asked, "term", "left_semi")
+                   .groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("dl").alias("len")))
+        per_term = per_doc.groupBy("term", "field").agg(
+            F.count(F.lit(1)).alias("df"), F.sum("rows").alias("rows"), F.sum("len").alias("len"))
+        field = Window.partitionBy("field")
+        return (per_term.withColumns({"n_docs": F.max(F.when(own, F.col("rows"))).over(field),
+                                      "total_len": F.max(F.when(own, F.col("len"))).over(field)})
+                .where(~own).select("term", "field", "df", "n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_dl")))
+
     @classmethod
     def build(cls, docs: DataFrame, fields=INDEX_FIELDS, analyzer: Analyzer = Analyzer()) -> "Index":
         """The documents are spread by ``doc_id`` once, as text; grouping by term, field and
         document, and all that a search groups by document, then needs no further exchange."""
         d = stored_documents(docs)
-        p = postings(d.repartition(index_partitions(d), "doc_id"), fields, analyzer=analyzer)
-        return cls(d, p, term_statistics(p), field_statistics(d, None, fields, analyzer), tuple(fields), analyzer)
+        by_doc = d.repartition(index_partitions(d), "doc_id")
+        p = postings(by_doc, fields, analyzer=analyzer)
+        return cls(d, p, term_statistics(p), field_statistics(d, None, fields, analyzer), tuple(fields), analyzer, by_doc)

@@ -119,10 +119,8 @@ def weighed(index: Index, rows: DataFrame, terms: DataFrame, n_terms: int) -> tu
     """``rows`` (term, field, ...) with df, n_docs and avg_dl of their term and field,
     and the statistics of the batch's terms. Both are small by the same check as the
     query table (a few fields a term) and broadcast then; else Spark shuffles."""
-    stats = index.stats_of(terms).select("term", "field", "df")
-    fstats = F.broadcast(index.field_stats.select("field", "n_docs", "avg_dl"))  # one row per field
-    few = _maybe_broadcast(stats, n_terms, BROADCAST_MAX_QUERY_TERMS)
-    return rows.join(few, ["term", "field"]).join(fstats, "field"), stats
+    stats = index.weights_of(terms, n_terms <= BROADCAST_MAX_QUERY_TERMS)
+    return rows.join(_maybe_broadcast(stats, n_terms, BROADCAST_MAX_QUERY_TERMS), ["term", "field"]), stats
 
 
 def score_matches(index: Index, q: DataFrame, n_terms: int, max_q: int = 64, n_queries: int = 0) -> DataFrame:

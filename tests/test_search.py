@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sitesift.functions.text import build_extract, tokenize
+from sitesift.functions.text import Analyzer, build_extract, tokenize
 from sitesift.operators import search as se
 from sitesift.operators.index import Index
 from sitesift.plans.tables import benchmark_queries, documents_as_docs
@@ -156,3 +156,20 @@ def test_matching_shuffles_documents_only(spark):
     assert got == {(1, i) for i in range(30) if i % 5 == 3} | {(2, i) for i in range(30)}
     times = {(r.doc_id, r.tf): r.positions for r in index.postings.where("term = 'ebb'").collect()}
     assert times == {(i, 2): [0, 3] for i in range(30)}
+
+
+def test_texts_are_tokenized_once_for_postings_and_once_for_statistics(spark):
+    docs = [(1, "u", "a b", "b c"), (2, None, None, "c c d"), (3, "u", "", None), (4, "u", "a the", "the a"),
+            (1, "u", "a", "e"), (5, None, "x", "")]                                 # a doc_id may repeat
+    df = spark.createDataFrame(docs, "doc_id long, url string, title string, data string")
+    terms = spark.createDataFrame([(t,) for t in ("a", "c", "e", "the", "nowhere")], "term string")
+    for analyzer in (Analyzer(), Analyzer(stop_words=("the",))):
+        index = Index.build(df, analyzer=analyzer)
+        want = index.stats_of(terms).join(index.field_stats, "field").select("term", "field", "df", "n_docs", "avg_dl")
+        for few in (True, False):
+            got = index.weights_of(terms, few)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+            assert got.count() == (4 if analyzer.stop_words else 6)
+        for made in (index.postings, index.weights_of(terms, True)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("regexp_extract_all(lower(value") == 1, plan
