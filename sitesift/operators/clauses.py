@@ -11,11 +11,13 @@ clause, at least one should clause. Its score sums the BM25 parts of must and sh
 a phrase scores like a term that weighs what its terms weigh together and occurs as often as
 the phrase.
 
-    postings of the batch's terms ⋈ single terms                     -> clause hits
-    postings ⋈ rarest term of each phrase -> (phrase, doc, field)    candidates
-    postings ⋈ candidates ⋈ the phrase's terms -> positions shifted by their place and
-        intersected as arrays, at most one row per term of the phrase -> clause hits
-    groupBy(query_id, doc_id): masks of matched clauses, sum, excluded (combined map-side)
+    statistics of the batch's terms ⋈ places of terms in clauses -> weights by term and field [broadcast]
+    postings of the single terms ⋈ weights                       -> clause hits
+    postings of the phrases' terms ⋈ weights, groupBy(clause, doc, field): where all terms are,
+        positions shifted by their place and intersected as arrays, at most one row per
+        term of the phrase                                       -> clause hits
+    groupBy(query_id, doc_id): masks of matched clauses, sum, excluded
+        without an exchange: postings lie by doc_id, and are read once by either kind of clause
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def phrase_starts(placed: Column) -> Column:
 
 def score_clauses(index: Index, q: DataFrame, n_terms: int, n_queries: int = 0) -> DataFrame:
     """(query_id, doc_id, score, matched) of every matching document; ``matched`` counts clauses."""
-    from .search import BROADCAST_MAX_QUERY_TERMS, SCORE_DECIMALS, _maybe_broadcast, bm25, term_weight, weighed
+    from .search import BROADCAST_MAX_QUERY_TERMS, SCORE_DECIMALS, _maybe_broadcast, bm25, term_weight
 
     def small(df: DataFrame) -> DataFrame:
         return _maybe_broadcast(df, max(places, n_queries), BROADCAST_MAX_QUERY_TERMS)
@@ -67,25 +69,28 @@ def score_clauses(index: Index, q: DataFrame, n_terms: int, n_queries: int = 0)
     clauses = q.select("query_id", F.posexplode("parts").alias("ci", "_p")).select(
         "query_id", "ci", "_p.occur", F.col("_p.field").alias("scope"), "_p.terms", F.size("_p.terms").alias("n"))
     placed = clauses.select("query_id", "ci", "occur", "scope", "n", F.inline("terms"))
-    terms = small(placed.select("term").distinct())
-
-    post, stats = weighed(index, index.postings_of(terms), terms, max(n_terms, places))
-    post = index.by_document(post.select("term", "field", "doc_id", "tf", "dl", "positions", "avg_dl", "df", "n_docs"))
-    single = small(placed.where("n = 1").select("query_id", "ci", "occur", "scope", "term"))
-    hits = (post.join(single, "term").where(_in_field())
-            .select("query_id", "ci", "occur", "doc_id", bm25(term_weight(), F.col("tf"), F.col("dl")).alias("part")))
-
-    phrase = small(placed.where("n > 1"))
-    df = (stats.join(phrase.select("query_id", "ci", "scope", "term").distinct(), "term").where(_in_field())
-          .groupBy("query_id", "ci", "scope", "term").agg(F.sum("df").alias("df_all")))
-    rare = small(df.groupBy("query_id", "ci", "scope").agg(F.min(F.struct("df_all", "term"))["term"].alias("term")))
-    found = post.join(rare, "term").where(_in_field()).select("query_id", "ci", "doc_id", F.col("field").alias("there"))
-    # The fields are compared by order: as a key of the join, the postings would be shuffled by it.
-    whole = (post.join(found.hint("shuffle_hash"), "doc_id")
-             .where((F.col("field") >= F.col("there")) & (F.col("field") <= F.col("there")))
-             .join(phrase.select("query_id", "ci", "occur", "n", "at", "term"), ["query_id", "ci", "term"])
-             .groupBy("query_id", "ci", "occur", "doc_id", "field", "n", "dl", "avg_dl")
-             .agg(F.collect_list(F.struct("at", "positions")).alias("placed"), F.sum(term_weight()).alias("weight"))
+
+    def terms_of(kind: DataFrame) -> DataFrame:
+        return small(kind.select("term").distinct())
+
+    # The batch's terms are weighed before they meet the postings, by the fields they are asked in.
+    weights = index.weights_of(terms_of(placed), max(n_terms, places) <= BROADCAST_MAX_QUERY_TERMS)
+
+    def asked(kind: DataFrame) -> DataFrame:
+        return small(weights.join(small(kind), "term").where(_in_field()).select(
+            "query_id", "ci", "occur", "n", "at", "term", "field", "avg_dl", term_weight().alias("weight")))
+
+    def found(kind: DataFrame, *columns: str) -> DataFrame:
+        post = index.by_document(index.postings_of(terms_of(kind)).select("term", "field", "doc_id", "dl", *columns))
+        return post.join(asked(kind), ["term", "field"])
+
+    # doc_id renamed to itself: a union keeps the names of its first side down to the scan, and the
+    # documents' exchange would differ from the one below the weights, so that Spark could not reuse it.
+    hits = found(placed.where("n = 1"), "tf").select(
+        "query_id", "ci", "occur", F.col("doc_id").alias("doc_id"), bm25(F.col("weight"), F.col("tf"), F.col("dl")).alias("part"))
+    whole = (found(placed.where("n > 1"), "positions")
+             .groupBy("doc_id", "query_id", "ci", "field", "occur", "n", "dl", "avg_dl")
+             .agg(F.collect_list(F.struct("at", "positions")).alias("placed"), F.sum("weight").alias("weight"))
              .where(F.size("placed") == F.col("n"))
              .withColumn("times", F.size(phrase_starts(F.col("placed")))).where("times > 0")
              .select("query_id", "ci", "occur", "doc_id", bm25(F.col("weight"), F.col("times"), F.col("dl")).alias("part")))

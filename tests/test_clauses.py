@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from sitesift.functions.text import STOP_WORDS_EN, Analyzer
 from sitesift.operators import search as se
 from sitesift.operators.index import Index
-from sitesift.plans.tables import benchmark_queries, documents_as_docs
+from sitesift.plans.tables import benchmark_queries, clause_queries, documents_as_docs
 from sitesift.session import scratch_path
 from sitesift.sources.index_store import read_index, write_block_maxima, write_index
 
@@ -192,3 +193,12 @@ def test_block_maxima_give_the_same_page_from_fewer_postings(spark):
     assert scored < 0.5 * se.matches(index, ranked).count()
     write_index(Index.build(docs.where("doc_id < 20")), path, create=False)         # a later version has none
     assert read_index(spark, path).blocks is None
+
+
+@pytest.mark.parametrize("kind", ["must", "any", "phrase"])
+def test_clauses_spread_the_documents_once_and_join_no_postings_with_postings(spark, kind):
+    df = se.matches(Index.build(documents_as_docs(spark, SF001)), clause_queries(spark, SF001, kind))
+    assert df.count() > 0 and df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(set(re.findall(r"Exchange hashpartitioning\(doc_id.*plan_id=(\d+)", plan))) == 1, plan     # reused ones name the first
+    assert "Join [doc_id" not in plan
