@@ -16,22 +16,30 @@ executor recomputes one level at most. What was visited and which tags were seen
 is also kept in runs: every ``RUN_LEVELS`` levels their keys are merged into one
 folder, and as many of those into a larger one, so a level reads a number of
 folders that grows with the logarithm of the depth. Only per-level row counts reach the
-driver.
+driver, and the rows of levels that are small (``Walk``): a long crawl has hundreds of
+those, and planning and running the steps above for each takes far longer than their
+rows. Such a level is looked up in one scan and its verdicts are made on the driver, by
+the same rules; the same folders are written.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.html import content_route, extract_links
 from ..session import scratch_path
-from ..sources.pages import capture_index, fetch, seed_frontier
+from ..sources.pages import capture_index, fetch, routed, seed_frontier
 from .dedup import SMALL_SIDE_ROWS, anti_join_seen, first_per_key
 from .filters import CrawlConfig, http_chain
 
@@ -42,6 +50,12 @@ ROWS_PER_RUN_FILE = 5_000_000
 # Levels of at most this many rows are joined as broadcasts and marked in one task: a long
 # crawl has hundreds of small levels, and each exchange costs more than their rows.
 FEW_ROWS = 10_000
+# Levels of FEW_ROWS at most that lead to at most this many rows are walked on the driver, while
+# the URLs visited and the tags seen are at most SEEN_KEYS each (16 bytes on the driver).
+WALK_ROWS = 200_000
+SEEN_KEYS = 4_000_000
+# Rows per file of the table in which a walk looks up its levels.
+ROWS_PER_SITE_FILE = 100_000
 
 FRONTIER_COLS = ["url", "referrer", "depth", "pos"]
 
@@ -128,8 +142,38 @@ def _write_bucketed(spark: SparkSession, df: DataFrame, path: str, key: str) ->
         return spark.read.parquet(stage)
 
 
-def _write_counted(df: DataFrame, path: str) -> int:
+class Rows:
+    """A few rows on the driver, written as one Parquet file without a Spark job: by the file
+    system of the folder, whole once ``_SUCCESS`` is there, like those that Spark writes."""
+
+    def __init__(self, spark: SparkSession, rows: list[tuple], schema: T.StructType):
+        self.spark = spark
+        self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+        arrow = to_arrow_schema(self.schema)
+        columns = list(zip(*rows)) or [()] * len(arrow)
+        self.table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def frame(self) -> DataFrame:
+        return self.spark.createDataFrame(self.table, self.schema)
+
+    def write(self, path: str) -> int:
+        file = pa.BufferOutputStream()
+        pq.write_table(self.table, file)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        p = at(path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(p, True)
+        for name, content in (("part-00000.parquet", file.getvalue().to_pybytes()), ("_SUCCESS", b"")):
+            out = fs.create(at(p, name), True)
+            out.write(bytearray(content))
+            out.close()
+        return self.table.num_rows
+
+
+def _write_counted(df: DataFrame | Rows, path: str) -> int:
     """Write and return the row count, observed during the write itself."""
+    if isinstance(df, Rows):
+        return df.write(path)
     obs = Observation()
     _write(df.observe(obs, F.count(F.lit(1)).alias("n")), path)
     return int(obs.get["n"])
@@ -239,6 +283,109 @@ class LevelRuns:
             size *= RUN_LEVELS
 
 
+class SeenKeys:
+    """A set of strings, held as 128 bits of their SHA-256: the newest in a set, the rest sorted."""
+
+    def __init__(self, digests: bytes = b""):
+        self.sorted = np.sort(np.frombuffer(digests, "S16"))
+        self.new: set[bytes] = set()
+
+    @classmethod
+    def of(cls, keys: DataFrame | None, column: str) -> "SeenKeys | None":
+        """The keys of a table; None if they are more than SEEN_KEYS."""
+        if keys is None:
+            return cls()
+        keys = keys.where(F.col(column).isNotNull())
+        if keys.count() > SEEN_KEYS:
+            return None
+        digests = keys.select(F.unhex(F.substring(F.sha2(column, 256), 1, 32)).alias("k")).toArrow()["k"]
+        return cls(b"".join(digests.to_pylist()))
+
+    def __len__(self) -> int:
+        return len(self.sorted) + len(self.new)
+
+    @staticmethod
+    def _digests(keys: list[str]) -> list[bytes]:
+        return [hashlib.sha256(k.encode()).digest()[:16] for k in keys]
+
+    def among(self, keys: list[str]) -> set[str]:
+        """Those of ``keys`` that are in the set."""
+        digests = self._digests(keys)
+        found = {k for k, x in zip(keys, digests) if x in self.new}
+        if len(self.sorted) and keys:
+            asked = np.array(digests, "S16")
+            at = np.minimum(np.searchsorted(self.sorted, asked), len(self.sorted) - 1)
+            found.update(keys[i] for i in np.flatnonzero(self.sorted[at] == asked))
+        return found
+
+    def add(self, keys: list[str]) -> None:
+        self.new.update(self._digests(keys))
+        if len(self.new) > max(50_000, len(self.sorted) // 8):
+            self.sorted = np.sort(np.concatenate([self.sorted, np.array(list(self.new), "S16")]))
+            self.new = set()
+
+
+def _site(spark: SparkSession, cap: DataFrame, edg: DataFrame, path: str) -> DataFrame:
+    """Per captured URL its capture, route and links, in files over which a lookup is spread."""
+    if not _done(spark, path):
+        links = (edg.groupBy(F.col("src_url").alias("url"))
+                 .agg(F.collect_list(F.struct("dst_url", "pos")).alias("links")))
+        files = max(1, -(-cap.count() // ROWS_PER_SITE_FILE))
+        _write(routed(cap).join(links, "url", "left").repartition(files, "url"), path)
+    return spark.read.parquet(path)
+
+
+def _nulls_first(*values) -> tuple:
+    return tuple((v is not None, v) for v in values)
+
+
+class Walk:
+    """Small levels one after the other, each with one scan for the captures and links of its
+    URLs. The level, the URLs visited and the tags seen are on the driver; what a level is
+    follows :func:`fetch`, :func:`mark_kept` and the joins of :func:`crawl`."""
+
+    def __init__(self, spark: SparkSession, site: DataFrame, level: DataFrame, visited: SeenKeys, tags: SeenKeys):
+        self.spark, self.site, self.visited, self.tags = spark, site, visited, tags
+        self.frontier_schema = level.schema
+        self.level = [tuple(r) for r in level.collect()]          # url, referrer, pos
+        self.captured = [f for f in site.schema.fields if f.name not in ("url", "links")]
+        self.fetched_schema = T.StructType([*level.schema.fields, *self.captured, T.StructField("keep", T.BooleanType())])
+
+    def fetch(self) -> Rows:
+        """The level with captures, routes and ``keep``."""
+        asked = Rows(self.spark, [(u,) for u, _, _ in self.level], T.StructType(self.frontier_schema.fields[:1]))
+        found = {r["url"]: r for r in self.site.join(F.broadcast(asked.frame()), "url").toArrow().to_pylist()}
+        missing = {f.name: None for f in self.captured} | {"route": "fetch_error", "links": None}
+        rows = [(*row, found.get(row[0], missing)) for row in self.level]
+        ok = sorted((r[0], r[3]["etag"]) for r in rows if r[3]["route"] == "success" and r[3]["etag"])
+        seen = self.tags.among(list({etag for _, etag in ok}))
+        first: dict[str, str] = {}
+        for url, etag in ok:
+            if etag not in seen:
+                first.setdefault(etag, url)
+        self.tags.add(list(first))
+        self.links, fetched = [], []
+        for url, referrer, pos, c in rows:
+            keep = c["route"] == "success" and (not c["etag"] or first.get(c["etag"]) == url)
+            fetched.append((url, referrer, pos, *[c[f.name] for f in self.captured], keep))
+            if keep and c["extractor"] == "html":
+                self.links += [(x["dst_url"], url, x["pos"]) for x in c["links"] or ()]
+            if c["route"] == "redirect" and c["redirect_url"] != "":
+                self.links.append((c["redirect_url"], url, -1))
+        return Rows(self.spark, fetched, self.fetched_schema)
+
+    def follow(self) -> Rows:
+        """What the level leads to and was not visited, which is the next level."""
+        first: dict[str | None, tuple] = {}
+        for link in self.links:
+            if link[0] not in first or _nulls_first(*link[1:]) < _nulls_first(*first[link[0]][1:]):
+                first[link[0]] = link
+        visited = self.visited.among([u for u in first if u is not None])
+        self.level = [link for u, link in first.items() if u not in visited]
+        self.visited.add([u for u, _, _ in self.level if u is not None])
+        return Rows(self.spark, self.level, self.frontier_schema)
+
+
 def _table_name(path: str) -> str:
     return "sitesift_" + os.path.basename(os.path.dirname(path)).replace("-", "_") + "_" + os.path.basename(path)
 
@@ -268,8 +415,9 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
     ``captures``: ``(page_id, url, html, status, content_type, etag,
     redirect_to)``. ``edges`` may be given precomputed (``src_url, dst_url,
     pos`` over normalised URLs); else they are extracted from the captures.
-    Two Spark jobs per level: the fetch log (with the ETag verdict) and the
-    next frontier; its size is observed while it is written.
+    Two writes per level: the fetch log (with the ETag verdict) and the
+    next frontier; its size is observed while it is written. Levels of few
+    rows are walked (:class:`Walk`), as long as the driver can hold what was seen.
 
     ``resume=True`` with the ``root`` of an interrupted crawl continues after
     the last completely written step (every step is a whole folder with a
@@ -315,8 +463,31 @@ def crawl(spark: SparkSession, start_urls, captures: DataFrame, cfg: CrawlConfig
                      F.col("keep") & F.col("etag").isNotNull() & (F.col("etag") != ""))
     visited.schema = schemas["frontier"]
     levels = d
+    walk, walks = None, True
     while n > 0:
         levels = d + 1
+        if walks and n <= FEW_ROWS and n * most <= WALK_ROWS:
+            if walk is None:
+                seen = [SeenKeys.of(visited.keys(d + 1), "url"), SeenKeys.of(tags.keys(d) if use_etags else None, "etag")]
+                if walks := None not in seen:
+                    walk = Walk(spark, _site(spark, cap, edg, os.path.join(root, "site")), read_back("frontier", d), *seen)
+            elif max(len(walk.visited), len(walk.tags)) > SEEN_KEYS:
+                walk, walks = None, False
+        else:
+            walk = None
+        if walk:
+            out = walk.fetch()
+            schemas["fetched"] = tags.schema = out.schema
+            if not _done(spark, lvl("fetched", d)):
+                out.write(lvl("fetched", d))
+            if cfg.max_depth is not None and d + 1 > cfg.max_depth:
+                break
+            visited.merge(d + 1)
+            if use_etags:
+                tags.merge(d + 1)
+            d += 1
+            n = _write_counted(walk.follow(), lvl("frontier", d))
+            continue
         few = n <= FEW_ROWS and n * most <= SMALL_SIDE_ROWS
         if not _done(spark, lvl("fetched", d)):
             level = read_back("frontier", d).withColumn("depth", F.lit(d))

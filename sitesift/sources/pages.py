@@ -81,6 +81,10 @@ def fetch(frontier: DataFrame, cap_index: DataFrame, few: bool = False) -> DataF
     join runs against those few rows.
     """
     hit = cap_index.join(frontier.select("url"), "url", "left_semi")
-    f = frontier.join(hit, "url", "left")
+    return routed(frontier.join(hit, "url", "left"))
+
+
+def routed(f: DataFrame) -> DataFrame:
+    """A3: captures with their route and, of a success, their extractor."""
     return f.withColumn("route", status_route("status", "redirect_url", "page_id")).withColumn(
         "extractor", F.when(F.col("route") == "success", content_route("content_type")))

@@ -237,3 +237,39 @@ def test_small_levels_need_few_jobs_and_match_the_large_path(spark, monkeypatch)
         logs[few] = (sorted(map(str, res.fetched(spark).collect())), res.levels)
         assert few == 0 or jobs <= 15 * res.levels + 40
     assert logs[10_000] == logs[0] and logs[0][1] > 3
+
+
+def test_walked_levels_need_a_lookup_each_and_match_the_other_paths(spark, monkeypatch):
+    """Small levels take one lookup each, a few jobs; the paths by joins, and a crawl that changes
+    from one to the other on its way, give the same log."""
+    from sitesift.operators import graph as G
+    n = 11
+    rows = [(i, f"http://h/{i}", _page(str(i + 1), f"{i}/gone", str(i // 2), str(i + 1)), 200, "text/html",
+             ("", None, f"t{i % 4}")[i % 3], None) for i in range(n)]
+    rows += [(40, f"http://h/{n}", "", 301, "text/html", None, "http://h/moved"), (41, "http://h/moved", "", 301, "text/html", None, "::"),
+             (42, "http://h/4/gone", "", 404, "text/html", None, None), (43, "http://h/3", _page("late"), 200, "text/html", "t9", None),
+             (44, "http://h/5/gone", "%PDF", 200, "application/pdf", "t0", None)]
+    caps = spark.createDataFrame(rows, "page_id long, url string, html string, status int, content_type string, "
+                                       "etag string, redirect_to string")
+    sc, cfg, logs = spark.sparkContext, CrawlConfig(include_hosts=("h",)), []
+    for few, walked, keys in ((10_000, 200_000, 1_000), (10_000, 0, 1_000), (10_000, 200_000, 6), (0, 0, 1_000)):
+        monkeypatch.setattr(G, "FEW_ROWS", few)
+        monkeypatch.setattr(G, "WALK_ROWS", walked)
+        monkeypatch.setattr(G, "SEEN_KEYS", keys)
+        sc.setJobGroup(f"walk-{len(logs)}", "levels")
+        res = crawl(spark, ["http://h/0"], caps, cfg)
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"walk-{len(logs)}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        logs.append((sorted(map(str, res.fetched(spark).collect())), sorted(map(str, res.frontier(spark).collect())), res.levels))
+        assert logs[0][2] >= 8 and (len(logs) > 1 or jobs <= 3 * res.levels + 40)
+    assert all(x == logs[0] for x in logs)
+
+
+def test_seen_keys_find_what_was_added():
+    from sitesift.operators.graph import SeenKeys
+    seen, keys = SeenKeys(), [f"http://h/{i}" for i in range(130_000)]
+    for at in range(0, len(keys), 10_000):
+        assert not seen.among(keys[at:at + 10_000])
+        seen.add(keys[at:at + 10_000])
+    assert len(seen) == len(keys) and len(seen.sorted) > 0 and len(seen.new) > 0
+    assert seen.among(["http://h/0", "http://h/129999", "http://h/130000", ""]) == {"http://h/0", "http://h/129999"}
