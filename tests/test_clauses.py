@@ -195,6 +195,26 @@ def test_block_maxima_give_the_same_page_from_fewer_postings(spark):
     assert read_index(spark, path).blocks is None
 
 
+def test_a_page_by_block_maxima_scores_queries_of_all_terms_by_block_too(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"u{i}", f"t {i % 3}", " ".join(w for k, w in enumerate(("ash", "birch", "cedar", "elm"))
+                                                                      if i % (k + 2) == 0) + f" oak {i}") for i in range(60)],
+                                 "doc_id long, url string, title string, data string")
+    path = scratch_path(spark, "test-and-blocks")
+    write_index(Index.build(docs), path)
+    write_block_maxima(spark, path, documents=3)
+    index = read_index(spark, path)
+    # two of all terms, one of them in a field, one with a term that is nowhere, one without terms, two of any, one of them in no field
+    queries = spark.createDataFrame([(1, ["ash birch"], "and", None, 0, 4), (2, ["ash oak t"], "and", ["data", "data"], 0, 4),
+                                     (3, ["cedar oak"], "and", ["data"], 1, 3), (4, ["ash absent"], "and", None, 0, 4),
+                                     (5, [""], "and", None, 0, 4), (6, ["elm cedar"], "or", ["*"], 0, 5),
+                                     (7, ["elm"], "or", ["body"], 0, 5)],
+                                    "query_id int, terms array<string>, mode string, fields array<string>, offset int, limit int")
+    want = sorted(map(tuple, se.search(index, queries).select("query_id", "rank", "doc_id", "score").collect()))
+    monkeypatch.setattr(se, "score_matches", None)                  # not all documents by all terms
+    assert sorted(map(tuple, se.search_page(index, queries).collect())) == want
+    assert {r[0] for r in want} == {1, 3, 6}
+
+
 @pytest.mark.parametrize("kind", ["must", "any", "phrase"])
 def test_clauses_spread_the_documents_once_and_join_no_postings_with_postings(spark, kind):
     df = se.matches(Index.build(documents_as_docs(spark, SF001)), clause_queries(spark, SF001, kind))
